@@ -60,3 +60,23 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
             yield batch.slice(start, stop - start)
             base = int(ends[stop - 1])
             start = stop
+
+
+#: Keys with at least 1/HOT_SHARE of all rows are joined by broadcast; there are HOT_SHARE of them at most.
+HOT_SHARE, HOT_LEAST = 200, 1000
+
+
+def join_skewed(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of rows with groups, one row per key, whose column `size` has the rows of each key.
+
+    Keys that hold a large share of all rows would meet in one task; as there are at most HOT_SHARE of them,
+    they are broadcast, and only the others are shuffled.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(HOT_LEAST, total // HOT_SHARE + 1)
+    hot = groups.where(F.col(size) >= least)
+    if total < HOT_LEAST or not hot.take(1):
+        return rows.join(groups, keys)
+    warm = rows.join(F.broadcast(hot), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) < least), keys)
+    return warm.unionByName(cold)

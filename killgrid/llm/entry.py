@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, html_extract, packing
+from . import chat_format, exact_dedup, fingerprint, html_extract, language_id, near_dedup, packing, quality, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_html_extract": html_extract.op1_html_extract,
+        "op2_quality": quality.op2_quality,
         "op4_pack": packing.op4_pack,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op6_language_id": language_id.op6_language_id,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
