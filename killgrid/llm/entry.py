@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, fingerprint, html_extract, language_id, near_dedup, packing, quality, suffix_dedup
+from . import chat_format, exact_dedup, fingerprint, html_extract, language_id, mixing, near_dedup, packing, quality, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_html_extract": html_extract.op1_html_extract,
         "op2_quality": quality.op2_quality,
+        "op3_mix": mixing.op3_mix,
         "op4_pack": packing.op4_pack,
         "op5_chat_format": chat_format.op5_chat_format,
         "op6_language_id": language_id.op6_language_id,
