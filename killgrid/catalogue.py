@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import analytics, custom, registry  # noqa: F401  analytics registers its statements
+
 
 def queries() -> dict:
-    return {}
+    return registry.queries() | custom.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.oracle_sql()
