@@ -127,7 +127,7 @@ query("entropy_score", """WITH n AS (SELECT user_id, CASE event_type WHEN 'purch
  p AS (SELECT user_id, code, cast(c AS double) / sum(c) OVER (PARTITION BY user_id) AS p FROM n), s AS (SELECT user_id, -sum(p * ln(p)) / ln(cast(3 AS double)) AS h, sum(CASE WHEN code <> 0 THEN p ELSE 0 END) AS d FROM p GROUP BY user_id)
 SELECT user_id, round(h, 4) AS entropy, round(d, 4) AS diff_rate, round(cast(0.7 AS double) * h + cast(0.3 AS double) * d, 4) AS information FROM s""")
 # --- plots' data -------------------------------------------------------------------------------
-query("box_stats", "SELECT l_returnflag AS method, round(@quantile(l_extendedprice, cast(0.25 AS double)), 2) AS q1, round(@quantile(l_extendedprice, cast(0.5 AS double)), 2) AS q2, round(@quantile(l_extendedprice, cast(0.75 AS double)), 2) AS q3, round(avg(l_extendedprice), 2) AS mean FROM {lineitem} GROUP BY l_returnflag")
+query("box_stats", "SELECT l_returnflag AS method, round(@quantile(l_extendedprice, cast(0.25 AS double)), 4) AS q1, round(@quantile(l_extendedprice, cast(0.5 AS double)), 4) AS q2, round(@quantile(l_extendedprice, cast(0.75 AS double)), 4) AS q3, round(avg(l_extendedprice), 4) AS mean FROM {lineitem} GROUP BY l_returnflag")
 query("histogram", """WITH b AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem}) SELECT cast(least(11, floor((l_quantity - lo) / (hi - lo) * 12)) AS bigint) AS bin, count(*) AS n FROM {lineitem} CROSS JOIN b GROUP BY cast(least(11, floor((l_quantity - lo) / (hi - lo) * 12)) AS bigint)""")
 query("sorted_delta", "SELECT o_orderkey AS id, round(delta, 2) AS delta, row_number() OVER (ORDER BY delta, o_orderkey) AS rank FROM (SELECT o_orderkey, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS delta FROM {orders}) t")
 # --- scalar functions -----------------------------------------------------------------------------
