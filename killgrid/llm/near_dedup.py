@@ -13,9 +13,11 @@ Links are needed only as far as they join components. In each band bucket all
 members are compared with one member, the links found are closed to
 components, and only buckets that still hold several components go on: small
 ones are compared pair by pair between different components, large ones with
-further members in turn, each of which then leaves its bucket. So a bucket of
-n near copies costs n comparisons, not n squared, and no link that matters is
-lost. Hot buckets and hot classes are joined by broadcast of at most HOT_SHARE
+further members in turn, each of which then leaves its bucket. From then on
+each set's shingles that no other candidate has are counted: what two sets have
+in common can't exceed what is left, which rules out most of the heavily edited
+copies without a comparison. So a bucket of n near copies costs about n
+comparisons, not n squared, and no link that matters is lost. Hot buckets and hot classes are joined by broadcast of at most HOT_SHARE
 keys.
 
 Defined results: null text is empty; a text without words has n_shingles 0 and
@@ -41,7 +43,7 @@ from .components import connected_components
 
 BANDS, ROWS, SKETCH_BITS, SEED = 32, 4, 512, 5
 #: Buckets of at most SMALL members are compared between all their components; larger ones with CENTRES members a round.
-SMALL, CENTRES = 24, 16
+SMALL, CENTRES = 24, 64
 #: Standard deviations of the MinHash estimate that the sketch's estimate may lie below the threshold.
 SIGMAS = 6.0
 WORD_CACHE = 400_000
@@ -157,24 +159,55 @@ def _confirm(percent: int):
     return run
 
 
-def _pairs(active: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of this round among members (key, id, comp), and the members that stay in their buckets."""
-    sizes = active.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "size")
-    sizes = persist(sizes, "mixed")
-    live = persist(join_skewed(active, sizes, ["key"], "size"), "live")
+def _possible(na: str, fa: str, nb: str, fb: str, percent: int) -> str:
+    """SQL: whether sets of na and nb shingles, of which fa and fb occur in some other set, can be linked."""
+    return f"100 * least({fa}, {fb}) >= {percent} * ({na} + {nb} - least({fa}, {fb}))"
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(values.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), i))], names=["shingle", "id"])
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(id, n, f): set size, and how many of its shingles some other candidate has. No link can have more in common."""
+    unique = sets.mapInArrow(_flat, "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    sizes = sets.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n")).groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("rows"))
+    # rows that share an id have several sets: nothing is ruled out for them
+    return sizes.join(unique, "id", "left").select("id", "n", F.when(F.col("rows") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("f"))
+
+
+def _mixed(members: DataFrame, what: str) -> DataFrame:
+    """The members of buckets that hold several components, with the bucket's size and least n."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("key", "size", "least_n")
+    return persist(join_skewed(members, persist(sizes, f"{what}-sizes"), ["key"], "size"), what)
+
+
+def _pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of this round among members (key, id, comp, n, f), and the members that stay in their buckets."""
+    live = _mixed(members, "mixed")
+    # members that can't be linked with any set as large as the bucket's smallest leave it
+    live = _mixed(live.where(f"100 * f >= {percent} * (n + greatest(least_n, f) - f)").drop("size", "least_n"), "live").drop("least_n")
     small = live.where(F.col("size") <= SMALL)
-    pairs = small.select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a")).join(small.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b")), "key").where("a < b and comp_a <> comp_b").drop("key")
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "f")))
+    possible = F.expr(_possible("n_a", "f_a", "n_b", "f_b", percent))
+    a, b = side(small, "a"), side(small, "b").withColumnRenamed("key", "key_b")
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & possible)
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     large = live.where(F.col("size") > SMALL).drop("size")
-    # the CENTRES smallest ids of each large bucket, gathered with bounded state
+    # CENTRES members of each large bucket, those of its smallest components first: once they have met all
+    # others, mostly one component is left. Gathered with bounded state.
+    own = persist(large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("mates")), "mates")
+    large = persist(join_skewed(large, own, ["key", "comp"], "mates"), "large")
     spread = large.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
-    order = Window.partitionBy("key", "part").orderBy("id")
-    top = spread.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CENTRES)
-    order = Window.partitionBy("key").orderBy("id")
-    top = persist(top.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CENTRES).select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a")), "centres")
-    counted = top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "comp_a"))).alias("tops"), F.lit(1 << 20).alias("size"))
-    met = join_skewed(large, counted, ["key"], "size").select(F.explode("tops").alias("t"), F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-    met = met.select("t.a", "b", "t.comp_a", "comp_b").where("a <> b and comp_a <> comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "comp_a", "comp_b")
-    rest = large.join(top.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+    top = spread.withColumn("r", F.row_number().over(Window.partitionBy("key", "part").orderBy("mates", "id"))).where(F.col("r") <= CENTRES)
+    top = persist(top.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("mates", "id"))).where(F.col("r") <= CENTRES).drop("r", "part"), "centres")
+    b = side(large, "b").withColumnRenamed("key", "key_b")
+    met = side(top, "a").join(b, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & possible)
+    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    rest = large.join(top.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
     return pairs.unionByName(met), rest
 
 
@@ -186,15 +219,18 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -
     active = persist(join_skewed(members, sizes, ["key"], "size").select("key", "id", "a"), "buckets")
     sketches = classes.select("id", "sketch")
     low = percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
-    links = labels = sets = None
+    links = labels = sets = shared = None
     checked = None
     while True:
         if labels is None:
             candidates = active.where("id <> a").select("a", F.col("id").alias("b"))
             rest = active.select("key", "id")
         else:
-            named = rest.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
-            candidates, rest = _pairs(persist(named, "members"))
+            if shared is None:
+                shared = persist(_shared(sets), "shared")
+            named = rest.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").join(shared.where(f"100 * f >= {percent} * n"), "id")
+            candidates, rest = _pairs(persist(named.select("key", "id", F.coalesce("label", "id").alias("comp"), "n", "f"), "members"), percent)
+            rest = persist(rest, "rest")
         candidates = candidates.select("a", "b").distinct()
         if checked is not None:
             candidates = candidates.join(checked.select("a", "b"), ["a", "b"], "left_anti")
