@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics, custom, registry  # noqa: F401  analytics registers its statements
+from .plans import analytics, custom, registry, vectors  # noqa: F401  analytics and vectors register their statements
 
 
 def queries() -> dict:

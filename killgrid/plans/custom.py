@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mutation
+from ..functions import code
+from ..operators import mutation, rounds
 
 _TASKS = [
     ("add", "def add(a, b):\n    if a > b and b != 0:\n        return a + b * 2\n    return a - b\n", "def check(candidate):\n    assert candidate(3, 1) == 5\n    assert candidate(1, 2) == -1\n"),
@@ -38,5 +39,27 @@ def ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutation.ward_groups(rows)
 
 
+def mock_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of three layers and of a baseline, without network."""
+    tasks = _tasks(spark).select("problem_id", F.lit("").alias("prompt"), "source", F.col("problem_id").alias("entry"))
+    layers = [rounds.Layer(f"Layer{i + 1}", "mock", attempts=n) for i, n in enumerate((3, 2, 1))]
+    return rounds.run_layers(tasks, [*layers, rounds.Layer("Baseline", "mock", attempts=10, method="baseline")])
+
+
+def extract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies = _tasks(spark).select("problem_id", F.concat(F.lit("Here it is:\n```python\n"), "test", F.lit("```\nDone.")).alias("reply"))
+    found = code.column(code.extract_check)
+    return replies.select("problem_id", found("reply").alias("check_text"), code.column(code.digest)(found("reply")).alias("digest"))
+
+
+def mutant_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change each mutant makes, and the first mutant of each change."""
+    tasks = _tasks(spark)
+    pairs = mutation.mutants(tasks).join(tasks.select("problem_id", "source"), "problem_id")
+    diff = F.pandas_udf(lambda a, b: a.combine(b, code.source_diff), "string")
+    rows = pairs.select("problem_id", "mutant_id", "operator", diff("source", "mutated_source").alias("diff"))
+    return rows.groupBy("problem_id", "diff").agg(F.min_by("operator", "mutant_id").alias("operator"), F.min("mutant_id").alias("mutant_id"))
+
+
 def queries() -> dict:
-    return {"ast_mutants": ast_mutants, "sandbox_eval": sandbox_eval, "contract_check": contract_check, "ward_clusters": ward_clusters}
+    return {"ast_mutants": ast_mutants, "sandbox_eval": sandbox_eval, "contract_check": contract_check, "ward_clusters": ward_clusters, "mock_round": mock_round, "extract_check": extract_check, "mutant_diffs": mutant_diffs}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 #: Where the dialects differ: (Spark, oracle).
 DIALECT = {
     "@quantile(": ("percentile(", "quantile_cont("),
@@ -16,7 +17,12 @@ DIALECT = {
     "@md5(": ("md5(", "md5("),
     "@double": ("double", "double"),
     "@text": ("string", "varchar"),
+    "@vector": ("array<double>", "double[]"),
+    "@first": ("0", "1"),
 }
+#: @distance(x; y): Euclidean distance of two vectors.
+_DISTANCE = re.compile(r"@distance\(([^;]+); ([^)]+)\)")
+_DISTANCES = (r"sqrt(aggregate(zip_with(\1, \2, (u, v) -> (u - v) * (u - v)), cast(0 AS double), (s, u) -> s + u))", r"list_distance(\1, \2)")
 _statements: dict[str, tuple[str, str]] = {}
 
 
@@ -47,6 +53,7 @@ def _long_counts(sql: str) -> str:
 def query(name: str, sql: str, oracle: str | None = None) -> None:
     """Register a statement; oracle only where the engines need different wording."""
     spark, twin = _long_counts(sql), _long_counts(oracle or sql)
+    spark, twin = _DISTANCE.sub(_DISTANCES[0], spark), _DISTANCE.sub(_DISTANCES[1], twin)
     for mark, (s, o) in DIALECT.items():
         spark, twin = spark.replace(mark, s), twin.replace(mark, o)
     _statements[name] = spark, twin.replace("regexp_replace_all(", "regexp_replace(")
