@@ -10,11 +10,11 @@ left out, all others are confirmed on the full shingle sets (64-bit hashes of
 shingles).
 
 Links are needed only as far as they join components. In each band bucket all
-members are compared with one member, the links found are closed to
+members are compared with one member, which then leaves it; the links found are closed to
 components, and only buckets that still hold several components go on: small
 ones are compared pair by pair between different components, large ones with
-further members in turn, each of which then leaves its bucket. From then on
-each set's shingles that no other candidate has are counted: what two sets have
+further members in turn, each of which then leaves its bucket. Before that
+each set's shingles that no other member of these buckets has are counted: what two sets have
 in common can't exceed what is left, which rules out most of the heavily edited
 copies without a comparison. So a bucket of n near copies costs about n
 comparisons, not n squared, and no link that matters is lost. Hot buckets and hot classes are joined by broadcast of at most HOT_SHARE
@@ -179,17 +179,30 @@ def _shared(sets: DataFrame) -> DataFrame:
     return sizes.join(unique, "id", "left").select("id", "n", F.when(F.col("rows") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("f"))
 
 
-def _mixed(members: DataFrame, what: str) -> DataFrame:
-    """The members of buckets that hold several components, with the bucket's size and least n."""
+def _mixed(members: DataFrame, what: str, used: list[DataFrame]) -> DataFrame:
+    """The members of buckets that hold several components, with the bucket's size and least n. used: gets the frames written."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("key", "size", "least_n")
-    return persist(join_skewed(members, persist(sizes, f"{what}-sizes"), ["key"], "size"), what)
+    sizes = persist(sizes, f"{what}-sizes")
+    live = persist(join_skewed(members, sizes, ["key"], "size"), what)
+    used += [sizes, live]
+    return live
 
 
-def _pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _with_components(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    return rest.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the rows with these ids."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return persist(own.join(ids.distinct(), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+
+
+def _pairs(members: DataFrame, percent: int, used: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of this round among members (key, id, comp, n, f), and the members that stay in their buckets."""
-    live = _mixed(members, "mixed")
+    live = _mixed(members, "mixed", used)
     # members that can't be linked with any set as large as the bucket's smallest leave it
-    live = _mixed(live.where(f"100 * f >= {percent} * (n + greatest(least_n, f) - f)").drop("size", "least_n"), "live").drop("least_n")
+    live = _mixed(live.where(f"100 * f >= {percent} * (n + greatest(least_n, f) - f)").drop("size", "least_n"), "live", used).drop("least_n")
     small = live.where(F.col("size") <= SMALL)
     side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "f")))
     possible = F.expr(_possible("n_a", "f_a", "n_b", "f_b", percent))
@@ -207,11 +220,12 @@ def _pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     b = side(large, "b").withColumnRenamed("key", "key_b")
     met = side(top, "a").join(b, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & possible)
     met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    used += [own, large, top]
     rest = large.join(top.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
     return pairs.unionByName(met), rest
 
 
-def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame | None:
+def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, label) of all classes that are linked with another one."""
     members = classes.select("id", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("a")).where("size > 1")
@@ -219,43 +233,50 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -
     active = persist(join_skewed(members, sizes, ["key"], "size").select("key", "id", "a"), "buckets")
     sketches = classes.select("id", "sketch")
     low = percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
-    links = labels = sets = shared = None
-    checked = None
+    links = labels = sets = shared = checked = None
+    used = [sizes, active]
     while True:
         if labels is None:
             candidates = active.where("id <> a").select("a", F.col("id").alias("b"))
-            rest = active.select("key", "id")
+            rest = active.where("id <> a").select("key", "id")
         else:
             if shared is None:
+                live = _mixed(_with_components(rest, labels).withColumn("n", F.lit(0)), "open", used)
+                rest = live.select("key", "id")
+                sets = _sets_of(docs, rest.select("id"), width)
                 shared = persist(_shared(sets), "shared")
-            named = rest.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").join(shared.where(f"100 * f >= {percent} * n"), "id")
-            candidates, rest = _pairs(persist(named.select("key", "id", F.coalesce("label", "id").alias("comp"), "n", "f"), "members"), percent)
+            named = persist(_with_components(rest, labels).join(shared.where(f"100 * f >= {percent} * n"), "id"), "members")
+            used.append(named)
+            candidates, rest = _pairs(named, percent, used)
             rest = persist(rest, "rest")
         candidates = candidates.select("a", "b").distinct()
         if checked is not None:
             candidates = candidates.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         near = candidates.join(sketches.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
         near = persist(near.where(sketch_similarity("sa", "sb") >= low).select("a", "b"), "near")
-        if not near.take(1):
-            if labels is None:
-                return None
-            if not rest.take(1):
-                return labels
-            continue
-        if sets is None:
-            wanted = active.select("id").distinct()
-            own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(wanted, "id", "left_semi")
-            sets = persist(own.mapInArrow(_sets(width), "id long, shingles binary"), "sets")
-        filled = near.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").select("a", "b", "x", "y")
-        done = persist(filled.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "confirmed")
-        checked = done if checked is None else checked.unionByName(done)
-        new = done.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if new.take(1):
-            labels = connected_components(links)
-        elif labels is None:
+        if labels is None:
+            # the first round's sets; later rounds have pairs of members of open buckets only
+            sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")), width)
+        else:
+            release(*used)
+            used = [rest]
+        if near.take(1):
+            filled = near.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").select("a", "b", "x", "y")
+            done = persist(filled.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "confirmed")
+            checked = done if checked is None else checked.unionByName(done)
+            new = done.where("linked").select("a", "b")
+            links = new if links is None else links.unionByName(new)
+            if new.take(1):
+                if labels is not None and labels.inputFiles():
+                    release(labels)
+                labels = connected_components(links)
+        release(near)
+        if shared is None:
+            release(sets)
+        if labels is None:
             labels = docs.sparkSession.createDataFrame([], "node long, label long")
         if not rest.take(1):
+            release(*used, *([sets, shared] if shared is not None else []))
             return labels
 
 
@@ -268,11 +289,10 @@ def _classified(docs: DataFrame, percent: int, width: int) -> DataFrame:
     classes = persist(rows.where("n > 0").join(groups.select("same", F.col("rep").alias("id")), ["same", "id"], "left_semi").select("id", "same", "keys", "sketch").dropDuplicates(["id", "same"]), "bands")
     labels = _components(docs, classes, percent, width)
     reps = groups.select("same", "rep", "size")
-    if labels is not None:
-        reps = reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("same", F.coalesce("label", "rep").alias("component"), "size")
-    else:
-        reps = reps.select("same", F.col("rep").alias("component"), "size")
-    found = join_skewed(rows.where("n > 0").select("id", "n", "same"), persist(reps, "class-components"), ["same"], "size").select("id", "n", "component")
+    release(classes)
+    reps = persist(reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("same", F.coalesce("label", "rep").alias("component"), "size"), "class-components")
+    release(groups, labels)
+    found = join_skewed(rows.where("n > 0").select("id", "n", "same"), reps, ["same"], "size").select("id", "n", "component")
     return found.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
 
 
