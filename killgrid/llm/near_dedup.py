@@ -6,7 +6,9 @@ bring classes together: at a similarity of 0.85 a pair is missed with a chance
 of 5e-11, at 0.8 of 5e-8. The samples are also folded into a 512-bit parity
 bitmap (odd sketch), whose XOR population count estimates high similarities
 closely; candidates more than six standard deviations below the threshold are
-left out, all others are confirmed on the full shingle sets (64-bit hashes of
+left out. A second odd sketch holds the parities of the whole set: its XOR
+population count can't exceed the number of shingles that only one of two sets
+has, so it rules out pairs without error. All others are confirmed on the full shingle sets (64-bit hashes of
 shingles).
 
 Links are needed only as far as they join components. In each band bucket all
@@ -104,11 +106,29 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1, bitorder="little").view(np.int64)
 
 
-def sketch_similarity(a: str, b: str) -> Column:
-    """Similarity by two odd sketches: their XOR count c gives the samples that differ as -n/2 ln(1 - 2c/n) / 2."""
-    ones = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    share = F.greatest(1 - 2.0 * ones / SKETCH_BITS, F.lit(1e-9))
-    return 1 + F.log(share) * SKETCH_BITS / 4.0 / (BANDS * ROWS)
+def whole_sketch(values: np.ndarray) -> np.ndarray:
+    """Parity bitmap of all the values of a set, SKETCH_BITS / 64 words."""
+    return np.packbits(np.bincount((values >> np.uint64(20) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1, bitorder="little").view(np.int64)
+
+
+def _differing(a: str, b: str, start: int) -> Column:
+    ones = [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(start, start + SKETCH_BITS // 64)]
+    return sum(ones[1:], ones[0])
+
+
+def sketches_alike(a: str, b: str, percent: int) -> Column:
+    """Whether two sketch columns (samples' odd sketch, whole set's odd sketch, set size) allow for a similarity of percent.
+
+    Sets of S shingles together, of which D are in one only, are linked if (100 + percent) D <= (100 - percent) S;
+    D is at least the differing bits of the whole sets' sketches. With c differing bits of n in the samples'
+    sketches, a share -n/4 ln(1 - 2c/n) / samples of the samples differs; the bound on that is taken as one on c.
+    """
+    wanted = percent / 100
+    low = wanted - SIGMAS * (wanted * (1 - wanted) / (BANDS * ROWS)) ** 0.5
+    most = SKETCH_BITS / 2 * (1 - np.exp((low - 1) * 4 * BANDS * ROWS / SKETCH_BITS))
+    words = SKETCH_BITS // 64
+    size = F.get(F.col(a), F.lit(2 * words)) + F.get(F.col(b), F.lit(2 * words))
+    return ((100 + percent) * _differing(a, b, words) <= (100 - percent) * size) & (_differing(a, b, 0) <= float(most))
 
 
 def _features(width: int):
@@ -122,7 +142,7 @@ def _features(width: int):
                     samples = signature(values)
                     same.append(xxhash.xxh3_128_digest(values.tobytes()))
                     keys.append(band_keys(samples))
-                    sketches.append(odd_sketch(samples))
+                    sketches.append(np.concatenate([odd_sketch(samples), whole_sketch(values), [len(values)]]))
                 else:
                     same.append(None)
                     keys.append(None)
@@ -199,13 +219,14 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _pairs(members: DataFrame, percent: int, used: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of this round among members (key, id, comp, n, f), and the members that stay in their buckets."""
+    """Candidate pairs of this round among members (key, id, comp, n, f, sketch), and the members that stay in their buckets."""
     live = _mixed(members, "mixed", used)
     # members that can't be linked with any set as large as the bucket's smallest leave it
     live = _mixed(live.where(f"100 * f >= {percent} * (n + greatest(least_n, f) - f)").drop("size", "least_n"), "live", used).drop("least_n")
     small = live.where(F.col("size") <= SMALL)
-    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "f")))
-    possible = F.expr(_possible("n_a", "f_a", "n_b", "f_b", percent))
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "f", "sketch")))
+    # in the join itself, so that pairs ruled out are never made
+    possible = F.expr(_possible("n_a", "f_a", "n_b", "f_b", percent)) & sketches_alike("sketch_a", "sketch_b", percent)
     a, b = side(small, "a"), side(small, "b").withColumnRenamed("key", "key_b")
     pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & possible)
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
@@ -232,28 +253,28 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -
     sizes = persist(sizes, "bucket-sizes")
     active = persist(join_skewed(members, sizes, ["key"], "size").select("key", "id", "a"), "buckets")
     sketches = classes.select("id", "sketch")
-    low = percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
     links = labels = sets = shared = checked = None
     used = [sizes, active]
     while True:
         if labels is None:
-            candidates = active.where("id <> a").select("a", F.col("id").alias("b"))
+            candidates = active.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+            candidates = candidates.join(sketches.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
+            candidates = candidates.where(sketches_alike("sa", "sb", percent)).select("a", "b")
             rest = active.where("id <> a").select("key", "id")
         else:
             if shared is None:
                 live = _mixed(_with_components(rest, labels).withColumn("n", F.lit(0)), "open", used)
                 rest = live.select("key", "id")
                 sets = _sets_of(docs, rest.select("id"), width)
-                shared = persist(_shared(sets), "shared")
+                shared = persist(_shared(sets).join(sketches, "id"), "shared")
             named = persist(_with_components(rest, labels).join(shared.where(f"100 * f >= {percent} * n"), "id"), "members")
             used.append(named)
             candidates, rest = _pairs(named, percent, used)
             rest = persist(rest, "rest")
-        candidates = candidates.select("a", "b").distinct()
+        candidates = candidates.distinct()
         if checked is not None:
             candidates = candidates.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        near = candidates.join(sketches.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
-        near = persist(near.where(sketch_similarity("sa", "sb") >= low).select("a", "b"), "near")
+        near = persist(candidates, "near")
         if labels is None:
             # the first round's sets; later rounds have pairs of members of open buckets only
             sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")), width)
