@@ -215,7 +215,8 @@ def _with_components(rest: DataFrame, labels: DataFrame) -> DataFrame:
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the rows with these ids."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return persist(own.join(ids.distinct(), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+    # by shuffle at every size: the ids are a share of all rows
+    return persist(own.join(ids.distinct().hint("merge"), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
 
 
 def _pairs(members: DataFrame, percent: int, used: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
