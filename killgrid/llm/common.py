@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +48,13 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_unused() -> None:
+    """Give memory that nothing uses back to the system: Python workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one slice holds at most max_bytes of the column (or one row)."""
     for batch in batches:
@@ -60,6 +68,7 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
             yield batch.slice(start, stop - start)
             base = int(ends[stop - 1])
             start = stop
+    free_unused()
 
 
 #: Keys with at least 1/HOT_SHARE of all rows are joined by broadcast; there are HOT_SHARE of them at most.

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, join_skewed, persist, release, table
+from .common import arrow_slices, free_unused, join_skewed, persist, release, table
 from .components import connected_components
 
 BANDS, ROWS, SKETCH_BITS, SEED = 32, 4, 512, 5
@@ -131,6 +131,12 @@ def sketches_alike(a: str, b: str, percent: int) -> Column:
     return ((100 + percent) * _differing(a, b, words) <= (100 - percent) * size) & (_differing(a, b, 0) <= float(most))
 
 
+def _let_go() -> None:
+    """Workers outlive their tasks: what one has cached isn't held against the memory of what runs next."""
+    _words.clear()
+    free_unused()
+
+
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches, "text"):
@@ -148,6 +154,7 @@ def _features(width: int):
                     keys.append(None)
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n", "same", "keys", "sketch"])
+        _let_go()
 
     return run
 
@@ -156,6 +163,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "shingles"])
+        _let_go()
 
     return run
 
@@ -175,6 +183,7 @@ def _confirm(percent: int):
                 common = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        _let_go()
 
     return run
 
