@@ -88,7 +88,7 @@ query("subset_paired", "SELECT c.c_nationkey AS subset, count(*) AS n, round(avg
 _IX = "((b * 1103515245 + i * 12345 + 42) * 48271 %% 2147483647) %% n"
 _REP = "(SELECT explode(sequence(cast(0 AS bigint), cast(199 AS bigint))) AS b)"
 _REP_O = "(SELECT * FROM range(0, 200) t(b))"
-_BOOT = f"""WITH x AS (SELECT c_mktsegment AS g, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM {{customer}} WHERE c_custkey <= 2000),
+_BOOT = f"""WITH x AS (SELECT c_mktsegment AS g, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM {{customer}}),
  r AS (SELECT x.g, b, {_IX} AS ix FROM x CROSS JOIN %s t), m AS (SELECT r.g, r.b, %s AS m FROM r JOIN x ON x.g = r.g AND x.i = r.ix GROUP BY r.g, r.b)
 SELECT g AS subset, round(avg(m), 4) AS mean, round(@quantile(m, cast(0.025 AS double)), 4) AS lo, round(@quantile(m, cast(0.975 AS double)), 4) AS hi FROM m GROUP BY g"""
 query("bootstrap_mean_ci", _BOOT % (_REP, "avg(x.v)"), _BOOT % (_REP_O, "avg(x.v)"))
