@@ -1,5 +1,6 @@
 """Queries on tables larger than what they were once cut to, against brute force."""
 
+import collections
 import statistics
 
 import pytest
@@ -30,3 +31,12 @@ def test_bootstrap_takes_every_customer(spark, tmp_path, name):
     assert got.keys() == want.keys()
     for g in want:
         assert got[g] == pytest.approx(want[g], abs=1e-3)
+
+
+def test_ward_clusters_every_part(spark):
+    sf = "/root/testdata/sf0.01"
+    parts = {str(r["p_partkey"]) for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    rows = catalogue.queries()["ward_clusters"](spark, sf).collect()
+    assert len(parts) > 200 and sorted(r["id"] for r in rows) == sorted(parts)
+    assert max(collections.Counter(r["problem_id"] for r in rows).values()) <= 20
+    assert all(0 <= r["cluster"] < 5 for r in rows)
