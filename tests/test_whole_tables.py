@@ -3,6 +3,7 @@
 import collections
 import statistics
 
+import duckdb
 import pytest
 
 from killgrid import catalogue
@@ -40,3 +41,20 @@ def test_ward_clusters_every_part(spark):
     assert len(parts) > 200 and sorted(r["id"] for r in rows) == sorted(parts)
     assert max(collections.Counter(r["problem_id"] for r in rows).values()) <= 20
     assert all(0 <= r["cluster"] < 5 for r in rows)
+
+
+@pytest.mark.parametrize("wins, losses", [(2600, 2500), (4100, 4150), (0, 0)])
+def test_sign_test_of_many_users(spark, tmp_path, wins, losses):
+    rows = [(u, "purchase" if u < wins else "click", 1.0) for u in range(wins + losses)] + [(-1, "view", 1.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    n = wins + losses
+    term, tail = 1, 0  # binomials n over i, as whole numbers
+    for i in range(min(wins, losses) + 1):
+        tail += term
+        term = term * (n - i) // (i + 1)
+    p = min(1.0, 2 * tail * 10**9 // 2**n / 1e9)
+    (got,) = catalogue.queries()["paired_sign_test"](spark, str(tmp_path)).collect()
+    assert (got["wins"], got["losses"]) == (wins, losses) and got["p"] == pytest.approx(p, abs=2e-6)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert duck.execute(catalogue.oracle_sql()["paired_sign_test"]).fetchall() == [(wins, losses, got["p"])]
