@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from .common import arrow_slices, persist, table
 
 CAPACITY, END_ID = 4096, 1
-#: Nodes that one search for a filling may visit before its incumbent is taken.
+#: Steps that one search for a filling may make before its incumbent is taken and filled up.
 NODES = 3000
 #: Word forms whose ids a worker keeps; when full, it starts again.
 CACHE = 800_000
@@ -134,48 +134,53 @@ def _cutter(path: str, capacity: int, end: int):
     return cut
 
 
-def fillings(available: int, counts: list[int], room: int, nodes: int = NODES) -> list[int]:
-    """The lengths that fill `room` best, largest first. available has a bit for each length in counts.
+def fillings(available: int, counts: list[int], room: int, nodes: int = NODES) -> dict[int, int]:
+    """{length: pieces} that fill `room` best, largest first. available has a bit for each length in counts.
 
-    Depth-first over lengths in falling order. The first leaf is the best-fit filling; a branch is left when
-    even all it may still take can't beat the incumbent's waste, or when the incumbent wastes nothing. Only
-    undominated fillings are reached: each step takes the longest piece not yet tried, so a filling that could
-    swap a piece for a longer one that fits comes after the one that has it.
+    Depth-first over lengths in falling order; all pieces of one length are taken in one step, as many as there
+    are and fit, and fewer in turn on the way back, so a filling is as deep as it has different lengths. The
+    first leaf is the best-fit filling; a branch is left when even all it may still take can't beat the
+    incumbent's waste, and the search ends when the incumbent wastes nothing or `nodes` steps are made; the
+    incumbent is then filled up with the longest pieces that fit. Only undominated fillings are reached: a
+    filling that could swap a piece for a longer one that fits comes after the one that has it.
     """
-    best, waste, left = [], room, nodes
     below = np.cumsum(np.array(counts[: room + 1], dtype=np.int64) * np.arange(room + 1)).tolist()
-    taken: list[int] = []
-    used: dict[int, int] = {}
 
     def largest(limit: int) -> int:
         return (available & ((2 << limit) - 1)).bit_length() - 1
 
-    def go(rest: int, limit: int) -> bool:
-        nonlocal best, waste, left
-        if rest < waste:
-            best, waste = taken.copy(), rest
+    best, waste = dict[int, int](), room
+    taken: list[list[int]] = []  # [length, pieces]
+    rest = limit = room
+    while waste and nodes > 0:
         x = largest(min(rest, limit))
-        while x > 0:
-            if counts[x] > used.get(x, 0):
-                # waste bound: even all pieces of at most x together wouldn't beat the incumbent
-                if below[x] <= rest - waste:
-                    return False
-                left -= 1
-                if left < 0:
-                    return True
-                taken.append(x)
-                used[x] = used.get(x, 0) + 1
-                done = rest == x or go(rest - x, x)
-                if rest == x:
-                    best, waste = taken.copy(), 0
-                taken.pop()
-                used[x] -= 1
-                if done or waste == 0:
-                    return True
-            x = largest(x - 1)
-        return False
-
-    go(room, room)
+        # waste bound: even all pieces of at most x together wouldn't beat the incumbent
+        if x > 0 and below[x] > rest - waste:
+            nodes -= 1
+            k = min(counts[x], rest // x)
+            taken.append([x, k])
+            rest, limit = rest - k * x, x - 1
+            if rest < waste:
+                best, waste = dict(taken), rest
+            continue
+        # one piece less of the last length; where that can't help, fewer of it can't either
+        while taken:
+            x = taken[-1][0]
+            taken[-1][1] -= 1
+            rest, limit = rest + x, x - 1
+            if below[limit] > rest - waste:
+                break
+            rest += taken.pop()[1] * x
+        else:
+            break
+        if not taken[-1][1]:
+            taken.pop()
+    x = largest(waste)
+    while x > 0:
+        if k := min(counts[x] - best.get(x, 0), waste // x):
+            best[x] = best.get(x, 0) + k
+            waste -= k * x
+        x = largest(min(waste, x - 1))
     return best
 
 
@@ -194,11 +199,10 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
         top = available.bit_length() - 1
         counts[top] -= 1
         one = available if counts[top] else available & ~(1 << top)
-        chosen = [top, *fillings(one, counts, capacity - top)]
+        need = {top: 1}
+        for x, k in fillings(one, counts, capacity - top).items():
+            need[x] = need.get(x, 0) + k
         counts[top] += 1
-        need: dict[int, int] = {}
-        for x in chosen:
-            need[x] = need.get(x, 0) + 1
         times = min(counts[x] // k for x, k in need.items())
         for x, k in need.items():
             counts[x] -= times * k
