@@ -24,10 +24,13 @@ keys.
 
 Defined results: null text is empty; a text without words has n_shingles 0 and
 is linked with nothing; a text of fewer words than a shingle has is one
-shingle; a null doc_id orders before all others; rows that share a doc_id are
-rows of one document, so what links one of them links the others; repeated
-rows are one class; an empty table gives no rows; `keep_one_each` carries all
-columns through and, of rows that tie on the smallest doc_id, keeps one.
+shingle; a null doc_id orders before all others; rows that share a doc_id, or
+have none, are linked by their texts only, as all others: the search runs over
+an id of each row's own, a 64-bit hash of doc_id and text, and doc_id only says
+which row of a component stays; repeated rows are one class and, in
+`near_duplicates`, are kept or not together; an empty table gives no rows;
+`keep_one_each` carries all columns through and, of rows that tie on the
+smallest doc_id, keeps one.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, free_unused, join_skewed, persist, release, table
+from .common import arrow_slices, free_unused, join_skewed, persist, release, table, text_or_empty
 from .components import connected_components
 
 BANDS, ROWS, SKETCH_BITS, SEED = 32, 4, 512, 5
@@ -49,7 +52,6 @@ SMALL, CENTRES = 24, 64
 #: Standard deviations of the MinHash estimate that the sketch's estimate may lie below the threshold.
 SIGMAS = 6.0
 WORD_CACHE = 400_000
-_FIRST = -(1 << 63)
 
 _words: dict[bytes, int] = {}
 
@@ -153,7 +155,7 @@ def _features(width: int):
                     same.append(None)
                     keys.append(None)
                     sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "n", "same", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "doc_id", "n", "same", "keys", "sketch"])
         _let_go()
 
     return run
@@ -204,7 +206,7 @@ def _shared(sets: DataFrame) -> DataFrame:
     """(id, n, f): set size, and how many of its shingles some other candidate has. No link can have more in common."""
     unique = sets.mapInArrow(_flat, "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
     sizes = sets.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n")).groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("rows"))
-    # rows that share an id have several sets: nothing is ruled out for them
+    # repeated rows bring their set more than once: nothing is ruled out for them
     return sizes.join(unique, "id", "left").select("id", "n", F.when(F.col("rows") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("f"))
 
 
@@ -221,9 +223,15 @@ def _with_components(rest: DataFrame, labels: DataFrame) -> DataFrame:
     return rest.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("comp"))
 
 
+def _own_id() -> Column:
+    """An id of the row's own: rows have the same one only if they share doc_id (or lack it) and text."""
+    number = F.col("doc_id").cast("long")
+    return F.xxhash64(number.isNull(), F.coalesce(number, F.lit(0)), text_or_empty())
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the rows with these ids."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(_own_id().alias("id"), text_or_empty().alias("text"))
     # by shuffle at every size: the ids are a share of all rows
     return persist(own.join(ids.distinct().hint("merge"), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
 
@@ -312,40 +320,42 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -
 
 
 def _classified(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(id, n, component) of every row; the smallest id stands for a null one."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = persist(own.mapInArrow(_features(width), "id long, n long, same binary, keys array<long>, sketch array<long>"), "shingled")
-    groups = persist(rows.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
+    """(id, doc_id, n, component_id, kept) of every row. id is the row's own; component_id is the component's smallest doc_id."""
+    own = docs.select(_own_id().alias("id"), text_or_empty().alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = persist(own.mapInArrow(_features(width), "id long, doc_id long, n long, same binary, keys array<long>, sketch array<long>"), "shingled")
+    # first: the row that stays, if only this class is looked at
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "id")).alias("first")
+    groups = persist(rows.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), first), "classes")
     # the row of the smallest id brings the class's bands; repeated rows bring them once
     classes = persist(rows.where("n > 0").join(groups.select("same", F.col("rep").alias("id")), ["same", "id"], "left_semi").select("id", "same", "keys", "sketch").dropDuplicates(["id", "same"]), "bands")
     labels = _components(docs, classes, percent, width)
-    reps = groups.select("same", "rep", "size")
     release(classes)
-    reps = persist(reps.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("same", F.coalesce("label", "rep").alias("component"), "size"), "class-components")
-    release(groups, labels)
-    found = join_skewed(rows.where("n > 0").select("id", "n", "same"), reps, ["same"], "size").select("id", "n", "component")
-    return found.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    linked = labels.withColumnRenamed("node", "rep")
+    heads = persist(linked.join(groups.select("rep", "first"), "rep").groupBy("label").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("mates")), "heads")
+    linked = join_skewed(linked, heads, ["label"], "mates").select("rep", "head")
+    reps = persist(groups.join(linked, "rep", "left").select("same", F.coalesce("head", "first").alias("head"), "size"), "class-heads")
+    release(groups, labels, heads)
+    found = join_skewed(rows.where("n > 0").select("id", "doc_id", "n", "same"), reps, ["same"], "size").select("id", "doc_id", "n", F.col("head.doc_id").alias("component_id"), (F.col("id") == F.col("head.id")).alias("kept"))
+    return found.unionByName(rows.where("n = 0").select("id", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def near_duplicates(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; linked at 100 * intersection >= percent * union."""
-    back = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
-    return _classified(docs, percent, width).select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return _classified(docs, percent, width).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_one_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """docs, all columns: of each group of near duplicates the row with the smallest doc_id."""
-    kept = persist(_classified(docs, percent, width).where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")), "kept")
-    marked = docs.withColumn("_kg_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)))
+    kept = persist(_classified(docs, percent, width).where("kept").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")), "kept")
+    marked = docs.withColumn("_kg_id", _own_id())
     rows = marked.join(kept.select(F.col("id").alias("_kg_id"), F.col("rows").alias("_kg_rows"), F.col("n").alias("_kg_n")), "_kg_id")
     columns = docs.columns
     if not kept.where("rows > 1").take(1):
         return rows.select(*columns)
-    # rows that tie on the id: one with words stays for the group, all without words do
+    # rows alike in doc_id and text: one with words stays for the group, all without words do
     tied = rows.where("_kg_rows > 1")
-    worded = F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[ \t-\r]", "")) > 0
-    one = tied.where(worded).dropDuplicates(["_kg_id"])
-    return rows.where("_kg_rows = 1").unionByName(one).unionByName(tied.where(~worded)).select(*columns)
+    one = tied.where("_kg_n > 0").dropDuplicates(["_kg_id"])
+    return rows.where("_kg_rows = 1").unionByName(one).unionByName(tied.where("_kg_n = 0")).select(*columns)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Inputs at which operators once did less than the whole job."""
 
 import collections
+import random
 
-from killgrid.llm import packing
+from killgrid.llm import near_dedup, packing
 
 
 def test_thousands_of_tiny_pieces_fill_sequences():
@@ -29,3 +30,25 @@ def test_thousands_of_empty_texts(spark):
     total = sum(r.length for r in got)
     assert len({r.sequence_id for r in got}) == -(-total // 4096)
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got) == 6001
+
+
+def test_rows_without_a_doc_id_are_no_copies_of_each_other(spark):
+    random.seed(6)
+    text = lambda: " ".join(f"w{random.randint(0, 10**6)}" for _ in range(80))
+    near = lambda t: t + " tail"
+    a, b, c, d, e = (text() for _ in range(5))
+    lone = [text() for _ in range(5)]
+    rows = [(None, t) for t in lone] + [(None, near(a)), (5, a), (None, near(b)), (9, b), (9, text()), (7, c), (7, d), (8, near(d))]
+    rows += [(None, e), (None, near(e)), (4, near(e)), (None, e), (None, ""), (None, None), (7, " ")]
+    gone = collections.Counter([(5, a), (9, b), (8, near(d)), (4, near(e)), (None, e)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter(tuple(r) for r in near_dedup.keep_one_each(docs).collect())
+    # one of the null-id rows e, near(e) stays, whichever
+    if kept[None, e]:
+        gone[None, near(e)] += 1
+    else:
+        gone[None, e] += 1
+    assert kept == collections.Counter(rows) - gone
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 80, 5).collect())
+    assert got[5, None, False] == got[9, None, False] == got[9, 9, True] == got[4, None, False] == got[8, 7, False] == 1
+    assert got[7, 7, True] == 3 and got[None, None, False] >= 1 and sum(got.values()) == len(rows)
