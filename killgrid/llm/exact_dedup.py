@@ -1,19 +1,22 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a Parquet table bucketed and sorted by digest. A new batch is
-reduced to one row per digest, compared with the index by a sort-merge
-anti-join (the index side is read in bucket order, without a shuffle) and what
-is new is appended. Only DataFrame functions run here.
+The index is a Parquet table bucketed and sorted by digest. Documents come in
+batches of falling doc_id ranges. A batch is reduced to one row per digest,
+compared with the index by a sort-merge anti-join (the index side is read in
+bucket order, without a shuffle), and what is new is appended; how often a
+batch repeats what the index has goes to a second table of the same buckets.
+An index that is given stays as it is left, for the next documents; one made
+here is dropped once the result is written. Only DataFrame functions run here.
 
 Defined results
 * null text counts as the empty text; texts are equal after lower-casing A-Z;
-* of equal texts in one batch the largest doc_id stays, a null id being
-  smaller than any other; a text that an earlier batch has brought keeps that
-  batch's id;
+* of equal texts the largest doc_id stays, a null id being smaller than any
+  other; a text that the index had before keeps the id it had there, and
+  group_size counts all rows the index has ever been shown;
 * rows that repeat a doc_id and its text are one group; `drop_copies` leaves
   exactly one row of it;
-* an empty table gives an empty result; other columns are carried through
-  `drop_copies` and are ignored elsewhere.
+* an empty table gives an empty result; other columns, whatever their names,
+  are carried through `drop_copies` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, persist, table, text_or_empty
+from .common import delete, new_path, persist, release, table, text_or_empty
 
 #: Groups of at least 1/HOT_SHARE of a batch are joined by broadcast; there are HOT_SHARE of them at most.
 HOT_SHARE = 200
 HOT_LEAST = 1000
+BUCKETS, BATCHES = 64, 4
 
 
 def normalised(column: str = "text"):
@@ -41,76 +45,107 @@ def digest(column: str = "text"):
 
 
 class DigestIndex:
-    """Digests seen so far, with the id that stands for each: a table bucketed and sorted by digest."""
+    """Digests seen so far, with the id that stands for each: a table bucketed and sorted by digest, and one
+    beside it for the rows that later batches had of them."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = BUCKETS):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or new_path(spark, "digest-index")
         self.buckets = buckets
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def exists(self, which: str = "") -> bool:
+        return self.spark.catalog.tableExists(self.name + which)
 
     def read(self) -> DataFrame:
-        if self.exists():
-            return self.spark.table(self.name)
-        return self.spark.createDataFrame([], "_kg_digest binary, _kg_keep long, _kg_size long")
+        """digest, keep (the id that stays), size (rows of the batch that brought it)."""
+        return self._read("", "digest binary, keep long, size long")
+
+    def _read(self, which: str, shape: str) -> DataFrame:
+        return self.spark.table(self.name + which) if self.exists(which) else self.spark.createDataFrame([], shape)
 
-    def reduced(self, batch: DataFrame) -> DataFrame:
-        """One row per digest of (doc_id, _kg_digest): the id that stays and the number of rows."""
-        return batch.groupBy("_kg_digest").agg(F.max("doc_id").alias("_kg_keep"), F.count(F.lit(1)).alias("_kg_size"))
+    def _append(self, rows: DataFrame, which: str) -> None:
+        # one writer task per bucket, so that each bucket is one sorted file of this batch
+        writer = rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
+        writer.format("parquet").mode("append").option("path", f"{self.path}/{which or 'digests'}").saveAsTable(self.name + which)
 
     def add(self, batch: DataFrame) -> None:
-        """Append the digests of (doc_id, _kg_digest) that the index lacks."""
-        new = self.reduced(batch)
+        """Append the digests of (doc_id, digest) that the index lacks."""
+        own = persist(batch.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size")), "batch")
+        known = self.read().select("digest").hint("merge")
         if self.exists():
-            new = new.join(self.read().select("_kg_digest").hint("merge"), "_kg_digest", "left_anti")
-        # one writer task per bucket, so that each bucket is one sorted file of this batch
-        writer = new.repartition(self.buckets, "_kg_digest").write.bucketBy(self.buckets, "_kg_digest").sortBy("_kg_digest")
-        writer.format("parquet").mode("append").option("path", self.path).saveAsTable(self.name)
+            self._append(own.join(known, "digest", "left_semi").select("digest", "size"), "_repeats")
+        self._append(own.join(known, "digest", "left_anti"), "")
+        release(own)
+
+    def sizes(self) -> DataFrame:
+        """digest, keep, size (rows of all batches): both tables are read in bucket order."""
+        later = self._read("_repeats", "digest binary, size long").groupBy("digest").agg(F.sum("size").alias("later"))
+        return self.read().join(later.hint("merge"), "digest", "left").select("digest", "keep", (F.col("size") + F.coalesce("later", F.lit(0))).alias("size"))
 
     def look_up(self, batch: DataFrame) -> DataFrame:
-        """batch with _kg_keep and _kg_size of its digests. Hot digests, at most HOT_SHARE, go by broadcast."""
-        index = self.read().select("_kg_digest", "_kg_keep", "_kg_size")
-        total = index.agg(F.sum("_kg_size")).first()[0] or 0
-        hot = index.where(F.col("_kg_size") >= max(HOT_LEAST, total // HOT_SHARE + 1))
-        marked = F.broadcast(hot)
-        warm = batch.join(marked, "_kg_digest")
-        cold = batch.join(marked.select("_kg_digest"), "_kg_digest", "left_anti").join(index.hint("merge"), "_kg_digest")
+        """batch with keep and size of its digests. Hot digests, at most HOT_SHARE, go by broadcast."""
+        index = self.sizes()
+        total = index.agg(F.sum("size")).first()[0] or 0
+        hot = F.broadcast(index.where(F.col("size") >= max(HOT_LEAST, total // HOT_SHARE + 1)))
+        warm = batch.join(hot, "digest")
+        cold = batch.join(hot.select("digest"), "digest", "left_anti").join(index.hint("merge"), "digest")
         return warm.unionByName(cold)
 
-
-def find_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size (rows of its text in the batch that brought it), kept, text_sha256."""
-    digests = persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("_kg_digest")), "digests")
-    index = index or DigestIndex(docs.sparkSession)
-    index.add(digests)
-    return index.look_up(digests).select(
-        "doc_id",
-        F.col("_kg_keep").alias("keep_id"),
-        F.col("_kg_size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("_kg_keep")).alias("kept"),
-        F.lower(F.hex("_kg_digest")).alias("text_sha256"),
-    )
-
-
-def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """docs, all columns, with one row per text. Whole rows are dealt by (id, digest), which no group of copies makes hot."""
-    columns = docs.columns
-    digests = persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("_kg_digest")), "digests")
-    index = index or DigestIndex(docs.sparkSession)
-    index.add(digests)
-    keep = index.read().select(F.col("_kg_keep").alias("_kg_id"), F.col("_kg_digest").alias("_kg_same"))
-    marked = docs.withColumn("_kg_digest", digest())
+    def drop(self) -> None:
+        for which in ("", "_repeats"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}{which}")
+        delete(self.spark, self.path)
+
+
+def _batches(digests: DataFrame, batches: int) -> list[DataFrame]:
+    """digests in ranges of doc_id, the largest ids first and null ids last."""
+    cuts = digests.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 10_000)).first()[0] if batches > 1 else None
+    if not cuts:
+        return [digests]
+    cuts, out, above = sorted(set(cuts), reverse=True), [], None
+    for cut in cuts:
+        out.append(digests.where(F.col("doc_id") >= cut if above is None else (F.col("doc_id") >= cut) & (F.col("doc_id") < above)))
+        above = cut
+    return [*out, digests.where((F.col("doc_id") < above) | F.col("doc_id").isNull())]
+
+
+def _decided(docs: DataFrame, index: DigestIndex, batches: int) -> DataFrame:
+    """doc_id, digest, keep, size, kept of every row, once all batches are in the index."""
+    digests = persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest")), "digests")
+    for batch in _batches(digests, batches):
+        index.add(batch)
+    found = persist(index.look_up(digests).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep"))), "decided")
+    release(digests)
+    return found
+
+
+def find_copies(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    own = index or DigestIndex(docs.sparkSession)
+    found = _decided(docs, own, batches)
+    if index is None:
+        own.drop()
+    return found.select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:
+    """docs, all columns, with one row per text. The rows that go, being the fewer, are the side that joins,
+    by (id, digest), which no group of copies makes hot; Spark broadcasts them while they are small."""
+    own = index or DigestIndex(docs.sparkSession)
+    found = _decided(docs, own, batches)
+    if index is None:
+        own.drop()
     # (id, digest) as one binary key: a null id has a key of its own and stays an equi-join
-    key = lambda i, d: F.concat(F.coalesce(F.encode(i.cast("string"), "utf-8"), F.lit(b"-")), d)
-    marked = marked.withColumn("_kg_key", key(F.col("doc_id").cast("long"), F.col("_kg_digest")))
-    kept = marked.join(keep.select(key(F.col("_kg_id"), F.col("_kg_same")).alias("_kg_key")), "_kg_key", "left_semi")
-    repeated = digests.groupBy("_kg_digest", "doc_id").count().where("count > 1")
+    key = lambda d: F.concat(F.coalesce(F.encode(F.col("doc_id").cast("long").cast("string"), "utf-8"), F.lit(b"-")), d).alias("key")
+    keyed = persist(found.select(key(F.col("digest")), "kept").groupBy("key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1"), "copies")
+    release(found)
+    # the caller's columns are one struct: no name of theirs can meet one of ours
+    stay = docs.select(key(digest()), F.struct("*").alias("row")).join(keyed.where("not kept").select("key"), "key", "left_anti")
+    repeated = keyed.where("kept").select("key")
     if repeated.take(1):
-        kept = kept.dropDuplicates(["_kg_key"])
-    return kept.select(*columns)
+        stay = stay.join(repeated, "key", "left_anti").unionByName(stay.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return stay.select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
