@@ -1,24 +1,26 @@
 """Mixing sources to target weights by temperature.
 
 A source of T tokens gets a weight in proportion to T**a; the exponent a is
-bisected between 0 and 1 until the weights' entropy meets the target (a share
-of the largest possible), no source being repeated more often than the
-repetition limit. Weights are turned into epochs per source: without a budget,
-as many that the largest source is used once and no document is lost; with a
-budget in tokens, as many as fill it.
+found by sectioning the range 0 to 1 until the weights' entropy meets the
+target (a share of the largest possible), no source being repeated more often
+than the repetition limit. Weights are turned into epochs per source: with a
+budget in tokens, as many as fill it; the default budget is the least at which
+the largest source is used once, so that no document is lost.
 
 Epochs are realised as block permutations: a hash deals each source's rows to
 BLOCKS blocks; every epoch has its own order of blocks, a fractional epoch
 takes blocks in that order while its quota lasts, and in the block where the
 quota ends, rows in hash order. Sums by block are grouped before anything is
 ordered, so that a source with a third of all rows is BLOCKS rows to order.
+The rows then leave in the order of epoch, permuted block and row, dealt to
+tasks by ranges of that order; `mixture` says each row's position in it.
 
 Defined results: tokens are runs of non-white characters; a null text has none;
 a null source counts as the source ''; rows without tokens follow the whole
 epochs of their source, and one epoch at least where no budget is set; rows
-equal in id and text share a hash, so a quota takes all of them or none; an
-empty table gives no rows; `mixed` carries all columns through and returns a
-row once per repetition.
+equal in id and text share a hash, so a quota takes all of them or none and
+they stand together; an empty table gives no rows; `mixed` carries all
+columns, whatever their names, through and returns a row once per repetition.
 """
 
 from __future__ import annotations
@@ -36,10 +38,15 @@ TARGET_ENTROPY, MOST_REPEATS = 0.9, 2.0
 BROADCAST_ROWS = 200_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+#: A row's place in the mixture: epoch, then the permuted blocks, then rows in a block.
+_ORDER = ("epoch", "block_order", "row_order")
+
+
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """source, hash and block of each row, beside the columns asked for."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("_kg_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_kg_hash", F.xxhash64(F.col("doc_id"), text))
-    return marked.withColumn("_kg_block", F.pmod(F.col("_kg_hash"), F.lit(BLOCKS)).cast("int"))
+    own = docs.select(*columns, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.xxhash64(F.col("doc_id"), text).alias("hash"))
+    return own.withColumn("block", F.pmod(F.col("hash"), F.lit(BLOCKS)).cast("int"))
 
 
 def _epochs(tokens, most: float, exponent: float, repeats: float):
@@ -74,9 +81,9 @@ def temperature(totals: DataFrame, target: float = TARGET_ENTROPY, repeats: floa
 def block_plan(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float = MOST_REPEATS, budget: int | None = None) -> DataFrame:
     """One row per source and block: whole epochs, whether the fractional epoch takes the block (part: 0 no,
     1 rows up to hash `upto`, 2 all), the source's weight and epochs."""
-    rows = persist(_keyed(docs).select("_kg_source", "_kg_block", "_kg_hash", F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\S+")).cast("long").alias("tokens")), "mix-rows")
-    blocks = persist(rows.groupBy("_kg_source", "_kg_block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
-    totals = persist(blocks.groupBy("_kg_source").agg(F.sum("tokens").cast("double").alias("tokens")), "mix-sources")
+    rows = persist(_keyed(docs, F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\S+")).cast("long").alias("tokens")), "mix-rows")
+    blocks = persist(rows.groupBy("_source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
+    totals = persist(blocks.groupBy("_source").agg(F.sum("tokens").cast("double").alias("tokens")), "mix-sources")
     exponent, most = temperature(totals, target, repeats)
     epochs = F.when(F.col("tokens") > 0, _epochs(F.col("tokens"), max(most, 1.0), exponent, repeats)).otherwise(1.0)
     named = totals.withColumn("epochs", epochs)
@@ -84,52 +91,49 @@ def block_plan(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float =
     named = named.withColumn("weight", F.col("tokens") * F.col("epochs") / F.lit(max(drawn, 1.0)))
     if budget is not None:
         named = named.withColumn("epochs", F.col("epochs") * F.lit(budget / max(drawn, 1.0)))
-    named = named.select("_kg_source", F.round("epochs", 9).alias("epochs"), F.round("weight", 9).alias("weight"), F.col("tokens").alias("total"))
+    named = named.select("_source", F.round("epochs", 9).alias("epochs"), F.round("weight", 9).alias("weight"), F.col("tokens").alias("total"))
     named = named.withColumn("whole", F.floor("epochs").cast("int")).withColumn("quota", F.floor((F.col("epochs") - F.col("whole")) * F.col("total")))
-    order = Window.partitionBy("_kg_source").orderBy(F.xxhash64("_kg_source", "_kg_block", "whole", F.lit(SEED)), "_kg_block")
-    ranked = blocks.join(named, "_kg_source").withColumn("left", F.col("quota") - F.sum("tokens").over(order) + F.col("tokens"))
+    order = Window.partitionBy("_source").orderBy(F.xxhash64("_source", "block", "whole", F.lit(SEED)), "block")
+    ranked = blocks.join(named, "_source").withColumn("left", F.col("quota") - F.sum("tokens").over(order) + F.col("tokens"))
     part = F.when(F.col("left") >= F.col("tokens"), 2).when(F.col("left") > 0, 1).otherwise(0)
     ranked = persist(ranked.withColumn("part", F.when(F.col("quota") > 0, part).otherwise(0)), "mix-ranked")
     # the one block of each source where its quota ends
-    ends = rows.join(ranked.where("part = 1").select("_kg_source", "_kg_block", "left"), ["_kg_source", "_kg_block"])
-    upto = Window.partitionBy("_kg_source", "_kg_block").orderBy("_kg_hash").rangeBetween(Window.unboundedPreceding, 0)
-    taken = ends.withColumn("sum", F.sum("tokens").over(upto)).where(F.col("sum") <= F.col("left")).groupBy("_kg_source", "_kg_block").agg(F.max("_kg_hash").alias("upto"))
-    return ranked.join(taken, ["_kg_source", "_kg_block"], "left").select("_kg_source", "_kg_block", "whole", "part", "upto", "weight", "epochs")
+    ends = rows.join(ranked.where("part = 1").select("_source", "block", "left"), ["_source", "block"])
+    upto = Window.partitionBy("_source", "block").orderBy("hash").rangeBetween(Window.unboundedPreceding, 0)
+    taken = ends.withColumn("sum", F.sum("tokens").over(upto)).where(F.col("sum") <= F.col("left")).groupBy("_source", "block").agg(F.max("hash").alias("upto"))
+    return ranked.join(taken, ["_source", "block"], "left").select("_source", "block", "whole", "part", "upto", "weight", "epochs")
 
 
-def _repeated(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs with the plan's columns and _kg_epoch, once per repetition."""
+def _repeated(docs: DataFrame, plan: DataFrame, *columns) -> DataFrame:
+    """The columns asked for with the plan's and _ORDER, once per repetition, dealt and sorted by _ORDER."""
     plan = persist(plan, "mix-plan")
     side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    joined = _keyed(docs).join(side, ["_kg_source", "_kg_block"])
-    extra = F.when(F.col("part") == 2, 1).when((F.col("part") == 1) & (F.col("_kg_hash") <= F.col("upto")), 1).otherwise(0)
+    joined = _keyed(docs, *columns).join(side, ["_source", "block"])
+    extra = F.when(F.col("part") == 2, 1).when((F.col("part") == 1) & (F.col("hash") <= F.col("upto")), 1).otherwise(0)
     times = F.col("whole") + extra
-    return joined.where(times > 0).withColumn("_kg_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
+    rows = joined.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
+    rows = rows.withColumns({"block_order": F.xxhash64("_source", "block", "epoch", F.lit(SEED)), "row_order": F.xxhash64("hash", "epoch", F.lit(SEED))})
+    return rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER, "hash")
 
 
 def mixture(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float = MOST_REPEATS, budget: int | None = None) -> DataFrame:
-    """The mixture by id: doc_id, source, weight and epochs of the source, epoch, block, and the orders of
-    block and row in their epoch."""
-    own = docs.select("doc_id", "source", "text")
-    return _repeated(own, block_plan(own, target, repeats, budget)).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_kg_source").alias("source"),
-        "weight",
-        "epochs",
-        F.col("_kg_epoch").alias("epoch"),
-        F.col("_kg_block").alias("block"),
-        F.xxhash64("_kg_source", "_kg_block", "_kg_epoch", F.lit(SEED)).alias("block_order"),
-        F.xxhash64("_kg_hash", "_kg_epoch", F.lit(SEED)).alias("row_order"),
-    )
+    """The mixture by id: doc_id, source, weight and epochs of the source, epoch, block, and position (from 0)
+    in the mixture."""
+    plan = block_plan(docs, target, repeats, budget)
+    rows = _repeated(docs, plan, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.col("_source").alias("source"), "weight", "epochs", "epoch", "block", F.monotonically_increasing_id().alias("at"))
+    rows = persist(rows, "mix-order")
+    # `at` counts within a write task (lower 33 bits); tasks hold ranges of the order, so each is shifted by those before
+    task, local = F.shiftright("at", 33).alias("task"), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = rows.groupBy(task).agg(F.count(F.lit(1)).alias("rows")).select("task", before.alias("shift"))  # a row a task
+    return rows.join(F.broadcast(shifts), task == shifts["task"]).select("doc_id", "source", "weight", "epochs", "epoch", "block", (local + F.col("shift")).alias("position"))
 
 
 def mixed(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float = MOST_REPEATS, budget: int | None = None) -> DataFrame:
-    """docs, all columns, each row as often as its source's weight asks for."""
-    inner = docs.withColumnsRenamed({c: f"_kg_own_{i}" for i, c in enumerate(docs.columns) if c in ("whole", "part", "upto", "weight", "epochs")})
-    back = {f"_kg_own_{i}": c for i, c in enumerate(docs.columns) if c in ("whole", "part", "upto", "weight", "epochs")}
+    """docs, all columns, each row as often as its source's weight asks for, in the order of the mixture."""
     plan = block_plan(docs, target, repeats, budget)
-    rows = _repeated(inner, plan).select(*inner.columns)
-    return rows.withColumnsRenamed(back)
+    # the caller's columns are one struct: no name of theirs can meet one of ours
+    return _repeated(docs, plan, F.struct("*").alias("_row")).select("_row.*")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
