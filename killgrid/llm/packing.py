@@ -5,8 +5,13 @@ Documents are tokenised, closed with an end id and cut into pieces of at most
 runs over a histogram of lengths (at most `capacity` rows, whatever the input
 is): around the largest length left, undominated fillings of the rest of a
 sequence are enumerated depth-first, pruned by bounds on the waste, with the
-best-fit filling as the first incumbent; the filling found is used as often as
-the counts allow. The plan says for every length which range of ranks goes
+best-fit filling as the first incumbent. Using the filling of least waste as
+often as the counts allow, again and again, gives the first packing. If that
+takes more sequences than a lower bound, the search branches: other
+undominated fillings, other numbers of uses, down to where the waste so far
+rules out a better packing. It goes on until the bound is met, all is searched,
+or EFFORT steps are made; the best packing found is used, and it holds all
+pieces in any case. The plan says for every length which range of ranks goes
 where; each piece finds its place from its rank among the pieces of its
 length. Ranks are counted within write tasks and shifted by each task's
 predecessors, so no length, however common, is gathered in one task.
@@ -34,8 +39,12 @@ from tokenizers import Tokenizer
 from .common import arrow_slices, persist, table
 
 CAPACITY, END_ID = 4096, 1
-#: Steps that one search for a filling may make before its incumbent is taken and filled up.
-NODES = 3000
+#: Steps of the depth-first search for one filling before it is settled by a table of reachable sums.
+STEPS = 3000
+#: Steps that branching over sequences may take beyond the first packing. It bounds time, not what is packed.
+EFFORT = 300_000
+#: What one try of a filling counts as, in steps of the enumeration of fillings.
+TRY = 100
 #: Word forms whose ids a worker keeps; when full, it starts again.
 CACHE = 800_000
 
@@ -134,15 +143,14 @@ def _cutter(path: str, capacity: int, end: int):
     return cut
 
 
-def fillings(available: int, counts: list[int], room: int, nodes: int = NODES) -> dict[int, int]:
-    """{length: pieces} that fill `room` best, largest first. available has a bit for each length in counts.
+def best_filling(available: int, counts: list[int], room: int, steps: int = STEPS) -> dict[int, int]:
+    """{length: pieces} that fill `room` with the least waste, largest first. available has a bit for each length in counts.
 
     Depth-first over lengths in falling order; all pieces of one length are taken in one step, as many as there
     are and fit, and fewer in turn on the way back, so a filling is as deep as it has different lengths. The
     first leaf is the best-fit filling; a branch is left when even all it may still take can't beat the
-    incumbent's waste, and the search ends when the incumbent wastes nothing or `nodes` steps are made; the
-    incumbent is then filled up with the longest pieces that fit. Only undominated fillings are reached: a
-    filling that could swap a piece for a longer one that fits comes after the one that has it.
+    incumbent's waste, and the search ends when the incumbent wastes nothing. Where that takes more than `steps`,
+    the sums that can be reached at all settle it.
     """
     below = np.cumsum(np.array(counts[: room + 1], dtype=np.int64) * np.arange(room + 1)).tolist()
 
@@ -152,11 +160,11 @@ def fillings(available: int, counts: list[int], room: int, nodes: int = NODES) -
     best, waste = dict[int, int](), room
     taken: list[list[int]] = []  # [length, pieces]
     rest = limit = room
-    while waste and nodes > 0:
+    while waste and steps > 0:
         x = largest(min(rest, limit))
         # waste bound: even all pieces of at most x together wouldn't beat the incumbent
         if x > 0 and below[x] > rest - waste:
-            nodes -= 1
+            steps -= 1
             k = min(counts[x], rest // x)
             taken.append([x, k])
             rest, limit = rest - k * x, x - 1
@@ -175,41 +183,192 @@ def fillings(available: int, counts: list[int], room: int, nodes: int = NODES) -
             break
         if not taken[-1][1]:
             taken.pop()
-    x = largest(waste)
-    while x > 0:
-        if k := min(counts[x] - best.get(x, 0), waste // x):
-            best[x] = best.get(x, 0) + k
-            waste -= k * x
-        x = largest(min(waste, x - 1))
+    else:
+        if waste:
+            best = _fullest(available, counts, room)
     return best
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+def _fullest(available: int, counts: list[int], room: int) -> dict[int, int]:
+    """The filling of least waste, by the sums that lengths reach together (a bit for each sum)."""
+    reached, full = [(0, 1)], (2 << room) - 1
+    lengths = [x for x in range(1, room + 1) if available >> x & 1]
+    for x in lengths:  # the smallest first: on the way back the longest are taken first
+        sums, left, step = reached[-1][1], min(counts[x], room // x), 1
+        while left > 0:
+            k = min(step, left)
+            sums |= sums << k * x & full
+            left, step = left - k, 2 * step
+        reached.append((x, sums))
+    goal, out = reached[-1][1].bit_length() - 1, dict[int, int]()
+    for (x, _), (_, before) in zip(reversed(reached[1:]), reversed(reached[:-1]), strict=True):
+        k = min(counts[x], goal // x)
+        while not before >> (goal - k * x) & 1:
+            k -= 1
+        if k:
+            out[x] = k
+            goal -= k * x
+    return out
+
+
+def undominated(available: int, counts: list[int], room: int, waste: int, steps: list[int]):
+    """All fillings of `room` that waste at most `waste` and are not plainly dominated: no piece left over fits
+    what they waste, nor does one fit in place of a shorter piece of theirs. Longest pieces first. steps[0] is
+    counted down; at 0 the enumeration ends."""
+    lengths = [x for x in range(min(room, len(counts) - 1), 0, -1) if available >> x & 1]
+    suffix = [0] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        suffix[i] = suffix[i + 1] + lengths[i] * counts[lengths[i]]
+    path: list[tuple[int, int]] = []  # (place among lengths, pieces)
+    i, rest = 0, room
+    while steps[0] > 0:
+        steps[0] -= 1
+        if i < len(lengths) and rest and suffix[i] >= rest - waste:
+            path.append((i, min(counts[lengths[i]], rest // lengths[i])))
+            rest -= lengths[i] * path[-1][1]
+            i += 1
+            continue
+        if rest <= waste:
+            filling = {lengths[j]: k for j, k in path if k}
+            spare = [x for x in lengths if counts[x] > filling.get(x, 0)]
+            if not any(x <= rest or any(y < x <= y + rest for y in filling) for x in spare):
+                yield filling
+        while path and not path[-1][1]:
+            path.pop()
+        if not path:
+            return
+        j, k = path.pop()
+        rest = room - sum(lengths[a] * b for a, b in path) - lengths[j] * (k - 1)
+        path.append((j, k - 1))
+        i = j + 1
+
+
+def lower_bound(counts: list[int], capacity: int) -> int:
+    """Sequences that any packing needs: pieces above half are alone with others of at most what they leave."""
+    n = np.array(counts, np.int64)
+    pieces, tokens = (np.concatenate([[0], np.cumsum(x)]) for x in (n, n * np.arange(len(n))))  # of lengths below the index
+    half = capacity // 2 + 1
+    k = np.flatnonzero(n[:half])
+    k = k[k > 0]
+    alone = pieces[-1] - pieces[capacity - k + 1]
+    paired = pieces[capacity - k + 1] - pieces[half]
+    room = paired * capacity - (tokens[capacity - k + 1] - tokens[half])
+    more = np.maximum(0, -((room - (tokens[half] - tokens[k])) // capacity))
+    return int(max(-(-tokens[-1] // capacity), pieces[-1] - pieces[half], (alone + paired + more).max(initial=0)))
+
+
+def _take(counts: list[int], available: int, times: int, need: dict[int, int]) -> int:
+    """counts without the pieces of `times` sequences (negative: with them again); the new available."""
+    for x, k in need.items():
+        counts[x] -= times * k
+        available = available | 1 << x if counts[x] else available & ~(1 << x)
+    return available
+
+
+def _least_waste(counts: list[int], available: int, capacity: int) -> dict[int, int]:
+    """The filling of least waste around the largest piece."""
+    top = available.bit_length() - 1
+    one = _take(counts, available, 1, {top: 1})
+    need = {top: 1}
+    for x, k in best_filling(one, counts, capacity - top).items():
+        need[x] = need.get(x, 0) + k
+    _take(counts, one, -1, {top: 1})
+    return need
+
+
+def _completed(counts: list[int], available: int, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Sequences until nothing is left, each filling used as often as it can be. counts is used up.
+
+    Every step empties one of its lengths, or leaves fewer of it than the filling takes (at most capacity /
+    length): the plan's size is bounded by the capacity, not the input.
+    """
+    plan = []
+    while available:
+        need = _least_waste(counts, available, capacity)
+        times = min(counts[x] // k for x, k in need.items())
+        available = _take(counts, available, times, need)
+        plan.append((times, need))
+    return plan
+
+
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[tuple[int, dict[int, int]]]:
     """(how many sequences, {length: pieces in each}) until all pieces of the histogram are placed.
 
-    Every step uses one filling as often as it can, so it empties one of its lengths, or leaves fewer of it than
-    the filling takes (at most capacity / length): the plan's size is bounded by the capacity, not the input.
+    The first packing is that of _completed. Where it isn't at the lower bound, other fillings of a sequence and
+    other numbers of uses are tried, depth-first, fillings of least waste first. A branch is left when the waste
+    up to it leaves no packing with fewer sequences than the incumbent.
     """
     counts = [0] * (capacity + 1)
     for length, n in histogram.items():
         counts[length] = n
     available = sum(1 << x for x in range(1, capacity + 1) if counts[x])
-    plan = []
-    while available:
+    best = _completed(list(counts), available, capacity)
+    bound, size = lower_bound(counts, capacity), sum(times for times, _ in best)
+    if size <= bound:
+        return best
+    # waste that a packing of one sequence less may have in all
+    slack = (size - 1) * capacity - sum(x * n for x, n in enumerate(counts))
+    plan: list[tuple[int, dict[int, int]]] = []
+    used, steps = 0, [effort]
+
+    def choices(slack: int):
+        """(times, filling) around the largest piece, the filling of least waste first; each as often as it can be, then, for a search that leaves nothing out, once."""
         top = available.bit_length() - 1
+        first = _least_waste(counts, available, capacity)
         counts[top] -= 1
-        one = available if counts[top] else available & ~(1 << top)
-        need = {top: 1}
-        for x, k in fillings(one, counts, capacity - top).items():
-            need[x] = need.get(x, 0) + k
+        own, room = list(counts), capacity - top
         counts[top] += 1
-        times = min(counts[x] // k for x, k in need.items())
-        for x, k in need.items():
-            counts[x] -= times * k
-            if not counts[x]:
-                available &= ~(1 << x)
-        plan.append((times, need))
-    return plan
+        one = available if own[top] else available & ~(1 << top)
+        once = []
+        yield from _uses(first, slack, once)
+        for found in undominated(one, own, room, min(room, slack), steps):
+            need = {top: 1}
+            for x, k in found.items():
+                need[x] = need.get(x, 0) + k
+            if need != first:
+                yield from _uses(need, slack, once)
+        yield from once
+
+    def _uses(need: dict[int, int], slack: int, once: list):
+        waste, most = capacity - sum(x * k for x, k in need.items()), min(counts[x] // k for x, k in need.items())
+        if waste > slack:
+            return
+        if waste:
+            most = min(most, slack // waste)
+        yield most, need
+        if most > 1:
+            once.append((1, need))
+
+    stack = [choices(slack)]
+    spent = [0]  # waste of each plan entry's prefix
+    while stack and steps[0] > 0 and size > bound:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if plan:
+                times, need = plan.pop()
+                used -= times
+                available = _take(counts, available, -times, need)
+                spent.pop()
+            continue
+        steps[0] -= TRY
+        times, need = step
+        waste = times * (capacity - sum(x * k for x, k in need.items()))
+        available = _take(counts, available, times, need)
+        plan.append(step)
+        used += times
+        spent.append(spent[-1] + waste)
+        if not available and used < size:
+            best, size = list(plan), used
+            slack = (size - 1) * capacity - sum(x * n for x, n in histogram.items())
+        if available and spent[-1] <= slack and used + lower_bound(counts, capacity) < size:
+            stack.append(choices(slack - spent[-1]))
+        else:
+            plan.pop()
+            used -= times
+            available = _take(counts, available, -times, need)
+            spent.pop()
+    return best
 
 
 def _placed(plan: list[tuple[int, dict[int, int]]], capacity: int):

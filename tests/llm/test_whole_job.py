@@ -18,9 +18,9 @@ def test_thousands_of_tiny_pieces_fill_sequences():
         assert sum(times for times, _ in plan) == -(-sum(x * n for x, n in h.items()) // 4096)
 
 
-def test_a_search_cut_short_is_filled_up():
+def test_a_search_cut_short_is_settled_by_sums():
     counts = [0, 50, 0, 0, 0, 0, 3, 3]
-    found = packing.fillings(0b11000010, counts + [0] * 60, 60, nodes=2)
+    found = packing.best_filling(0b11000010, counts + [0] * 60, 60, steps=2)
     assert sum(x * k for x, k in found.items()) == 60
 
 
