@@ -12,8 +12,10 @@ For "the next document" rows are dealt to ranges of ids, sorted within them;
 the first document of each range is sent to the range before as well, so that
 no ordering ever passes through one task.
 
-Texts below 256 bytes have too few runs to choose from: all their 12-byte
-windows are features, or all their bytes if there are fewer.
+Texts below SHORT bytes have too few such runs to choose from. Theirs are 8-byte
+windows, ranked by entropy in the same way in runs of 3, and one win is enough;
+seven zero bytes stand before such a text, so that its first bytes count as much
+as others; texts without such a run are one feature as a whole.
 
 Defined results: null text is empty and has the empty fingerprint; equal fingerprints have
 likeness 1, an empty one and any other 0; equal texts have equal fingerprints
@@ -36,25 +38,31 @@ from .common import arrow_slices, table
 
 WINDOW, RUN, POPULAR = 64, 64, 16
 FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
-SHORT, SHORT_WINDOW = 256, 12
+#: Below SHORT bytes: window, run and wins of features.
+SHORT, SHORT_WINDOW, SHORT_RUN, SHORT_POPULAR = 256, 8, 3, 1
 #: Bits of entropy a 64-byte window of prose usually has, and the least that a feature may have.
 TYPICAL, LEAST = 3.9, 0.5
+#: The same for the windows of short texts: there, all kinds count.
+SHORT_TYPICAL, SHORT_LEAST = 2.6, 0.0
 _FIX = 1 << 16
-_TERM = np.array([0, *(round(c * np.log2(c) * _FIX) for c in range(1, WINDOW + 1))], np.int64)
-_STEP = np.diff(_TERM)
 _BLOCK = 1 << 16
 _FIRST = -(1 << 63)
 
 
-def entropies(data: np.ndarray) -> np.ndarray:
+def _terms(window: int) -> np.ndarray:
+    return np.array([0, *(round(c * np.log2(c) * _FIX) for c in range(1, window + 1))], np.int64)
+
+
+def entropies(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Fixed-point sum of c*log2(c) over the byte counts of each window, by the window's start."""
-    n = len(data) - WINDOW + 1
+    n, term = len(data) - window + 1, _terms(window)
+    step = np.diff(term)
     before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
     for a in range(0, len(data), _BLOCK):  # blocks stay in the cache
         b = min(len(data), a + _BLOCK)
-        lo = max(0, a - WINDOW + 1)
+        lo = max(0, a - window + 1)
         part = data[lo:b]
-        for lag in range(1, min(WINDOW, len(part))):
+        for lag in range(1, min(window, len(part))):
             s = max(a, lo + lag)
             if s >= b:
                 break
@@ -62,9 +70,9 @@ def entropies(data: np.ndarray) -> np.ndarray:
             before[s:b] += same
             after[s - lag : b - lag] += same
     sums = np.empty(n, np.int64)
-    sums[0] = _TERM[np.bincount(data[:WINDOW], minlength=256)].sum()
+    sums[0] = term[np.bincount(data[:window], minlength=256)].sum()
     if n > 1:
-        sums[1:] = sums[0] + np.cumsum(_STEP[before[WINDOW:]] - _STEP[after[: n - 1]])
+        sums[1:] = sums[0] + np.cumsum(step[before[window:]] - step[after[: n - 1]])
     return sums
 
 
@@ -84,40 +92,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _features(data: np.ndarray, owner: np.ndarray, window: int, run: int, popular: int, typical: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of the windows that win at least `popular` runs of their text. owner: each byte's text.
+
+    A window's rank is how far its entropy lies from `typical` bits; those below `least` never win.
+    """
+    if len(data) < window + run - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sums, full = entropies(data, window), int(np.log2(window) * window * _FIX)
+    rarity = -np.abs(full - sums - int(typical * window * _FIX)) >> 8
+    rarity[full - sums < int(least * window * _FIX)] = 1
+    # windows over a text's end never win: mark them with the largest rank
+    rarity[owner[: len(sums)] != owner[window - 1 :]] = 2
+    best = _sliding_min((rarity << 32) + np.arange(len(rarity)), run)
+    won = best[owner[: len(best)] == owner[window + run - 2 :]]
+    won = won[won >> 32 <= 0] & 0xFFFFFFFF
+    at = np.flatnonzero(np.bincount(won, minlength=1) >= popular)
+    words = np.lib.stride_tricks.sliding_window_view(data, window)[at].copy().view(np.uint64)
+    hashes = np.zeros(len(at), np.uint64)
+    for k in range(window // 8):
+        hashes = _mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[:, k] + np.uint64(k + 1))
+    return owner[at], hashes
+
+
 def digests(texts: list[bytes]) -> list[np.ndarray]:
     """For each text its chain of filters: rows of FILTER_BITS / 64 words."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    doc = np.zeros(0, np.int64)
-    hashes = np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    short = sizes < SHORT
-    if len(data) >= WINDOW + RUN - 1:
-        sums = entropies(data)
-        rarity = -np.abs(6 * WINDOW * _FIX - sums - int(TYPICAL * WINDOW * _FIX)) >> 8
-        weak = 6 * WINDOW * _FIX - sums < int(LEAST * WINDOW * _FIX)
-        rarity[weak] = 1
-        # windows over a text's end never win: mark them with the largest rank
-        rarity[owner[: len(sums)] != owner[WINDOW - 1 :]] = 2
-        best = _sliding_min((rarity << 32) + np.arange(len(rarity)), RUN)
-        inside = owner[: len(best)] == owner[WINDOW + RUN - 2 :]
-        won = best[inside]
-        won = won[won >> 32 <= 0] & 0xFFFFFFFF
-        at = np.flatnonzero(np.bincount(won, minlength=1) >= POPULAR)
-        at = at[~short[owner[at]]]
-        words = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at].copy().view(np.uint64)
-        hashes = np.zeros(len(at), np.uint64)
-        for k in range(WINDOW // 8):
-            hashes = _mix(hashes * np.uint64(0x9E3779B97F4A7C15) + words[:, k] + np.uint64(k + 1))
-        doc = owner[at]
-    if short.any() and len(data) >= SHORT_WINDOW:
-        own = np.flatnonzero((owner[: len(data) - SHORT_WINDOW + 1] == owner[SHORT_WINDOW - 1 :]) & short[owner[: len(data) - SHORT_WINDOW + 1]])
-        words = np.lib.stride_tricks.sliding_window_view(data, SHORT_WINDOW)[own].copy().view(np.uint32).astype(np.uint64)
-        keys = np.zeros(len(own), np.uint64)
-        for k in range(SHORT_WINDOW // 4):
-            keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + words[:, k] + np.uint64(k + 1))
-        doc, hashes = np.concatenate([doc, owner[own]]), np.concatenate([hashes, keys])
+    parts = []
+    for short, scale in ((False, (WINDOW, RUN, POPULAR, TYPICAL, LEAST)), (True, (SHORT_WINDOW, SHORT_RUN, SHORT_POPULAR, SHORT_TYPICAL, SHORT_LEAST))):
+        own = [i for i in range(len(texts)) if (sizes[i] < SHORT) == short]
+        ahead = bytes(SHORT_WINDOW - 1) if short else b""  # before short texts, so that windows reach back over their first bytes
+        parts.append(_features(np.frombuffer(b"".join(ahead + texts[i] for i in own if sizes[i]), np.uint8), np.repeat(np.array(own, np.int64), np.where(sizes[own] > 0, sizes[own] + len(ahead), 0)), *scale))
+    doc, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
     # texts without features: all their bytes are one
     found = np.bincount(doc, minlength=len(texts))
     alone = [i for i in range(len(texts)) if sizes[i] and not found[i]]
