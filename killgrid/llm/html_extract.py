@@ -5,8 +5,14 @@ block earns points for its length and its commas and passes them to its
 ancestors (all to the parent, half to the grandparent, a third of that and so
 on further up); a container's sum is discounted by its link density. The best
 container is kept, with those of its siblings that score close to it or read
-like prose. Elements that are never content (menus, page headers and footers,
-forms, scripts, notices, adverts, comments by readers) are left out.
+like prose. Elements that are never content by their tag or role (menus, page
+headers and footers, forms, scripts) and boxes of links are left out. Names
+(classes and ids) only cost points: those of page furniture (adverts, notices,
+comments by readers and so on) FURNITURE_SHARE of all points of the page, so
+such an element stays only if it holds nearly all the prose there is; vaguer ones
+UNLIKELY_POINTS, which tells against a container or sibling but takes nothing
+out of the article. A page is read and scored in time linear in its length,
+however deep its elements are nested.
 
 Defined results: null or empty html gives an empty text; a page without any
 container that scores gives the blocks of its body; broken markup (open tags,
@@ -35,7 +41,11 @@ NEVER = RAW | {"head", "nav", "aside", "footer", "form", "button", "select", "op
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: What an opening tag closes, within the given scope.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
-UNLIKELY = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|breadcrumbs?|combx|comments?|commentlist|community|cookies?|consent|gdpr|disqus|disclaimer|extra|foot|footer|footnav|header|masthead|topbar|legends|menu|menubar|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|modal|overlay|related|recommended|remark|replies|reply|respond|rss|share|sharing|shoutbox|sidebar|skip|social|subscribe|subscription|signup|login|tags|toolbar|tools|widget|reader-comments|discussion|alert)(?:$|[-_\s\d])", re.I)
+#: Names of page furniture.
+FURNITURE = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|breadcrumbs?|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|footer|footnav|header|masthead|topbar|menu|menubar|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|modal|overlay|related|recommended|share|sharing|sidebar|social|subscribe|subscription|signup|reader-comments)(?:$|[-_\s\d])", re.I)
+#: Names that content seldom has.
+UNLIKELY = re.compile(r"(?:^|[-_\s])(?:alert|combx|community|disclaimer|discussion|extra|foot|legends|login|pager|remark|reply|rss|shoutbox|skip|tags|toolbar|tools|widget)(?:$|[-_\s\d])", re.I)
+FURNITURE_SHARE, UNLIKELY_POINTS = 0.9, 25.0
 MAYBE = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|main|post|story|text)(?:$|[-_\s])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "dialog", "alertdialog", "toolbar", "form"}
 TAG_POINTS = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "dd": -3.0, "dt": -3.0, "form": -3.0, "address": -3.0, "h1": -5.0, "h2": -5.0, "h3": -5.0, "h4": -5.0, "h5": -5.0, "h6": -5.0, "th": -5.0}
@@ -44,24 +54,28 @@ COMMAS = re.compile(r"[,،、，﹐]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "never", "points", "chars", "linked", "blocks", "hint", "order")
+    __slots__ = ("tag", "parent", "never", "points", "below", "chars", "linked", "blocks", "hint", "furniture", "unlikely", "state")
 
-    def __init__(self, tag, parent, never=False, hint=0.0, order=0):
-        self.tag, self.parent, self.never, self.hint, self.order = tag, parent, never, hint, order
-        self.points, self.chars, self.linked, self.blocks = 0.0, 0, 0, 0
+    def __init__(self, tag, parent, never=False, hint=0.0, furniture=False, unlikely=False):
+        self.tag, self.parent, self.never, self.hint, self.furniture, self.unlikely = tag, parent, never, hint, furniture, unlikely
+        self.points, self.below, self.chars, self.linked, self.blocks = 0.0, 0.0, 0, 0, 0
+        self.state = None
 
 
 class Block:
-    __slots__ = ("node", "text", "linked")
+    __slots__ = ("node", "text", "linked", "points")
 
     def __init__(self, node, text, linked):
         self.node, self.text, self.linked = node, text, linked
+        n = len(text)
+        self.points = 1.0 + len(COMMAS.findall(text)) + min(n / 100.0, 3.0) if n >= 25 and node.tag not in HEADINGS else 0.2
+        self.points *= 1.0 - linked / n
 
 
-def _kind(tag: str, attrs: str, inside_content: bool) -> tuple[bool, float]:
-    """Whether an element is never content, and the points its names give it."""
+def _kind(tag: str, attrs: str, inside_content: bool) -> tuple[bool, float, bool, bool]:
+    """Whether an element is never content, the points its names give it, and whether they are of furniture, or unlikely."""
     if tag in NEVER or tag == "header" and not inside_content:
-        return True, 0.0
+        return True, 0.0, False, False
     names, hidden, role = "", False, ""
     if attrs.strip():
         for key, a, b, c in ATTR.findall(attrs):
@@ -75,41 +89,47 @@ def _kind(tag: str, attrs: str, inside_content: bool) -> tuple[bool, float]:
             elif key == "aria-modal" and value == "true":
                 hidden = True
     if tag in ("html", "body"):
-        return False, 0.0
+        return False, 0.0, False, False
     if hidden or role in ROLES:
-        return True, 0.0
-    unlikely, maybe = bool(UNLIKELY.search(names)), bool(MAYBE.search(names))
+        return True, 0.0, False, False
+    maybe = bool(MAYBE.search(names))
     if tag in ("article", "main"):
-        # an article among readers' comments is one of them; other names on it are no reason to lose it
-        return bool(re.search(r"(?:^|[-_\s])comment", names, re.I)), 25.0 * maybe
-    if unlikely and not (maybe and not re.search(r"comment|sidebar|footer|related|cookie|\bads?\b", names, re.I)):
-        return True, 0.0
-    return False, 25.0 * maybe
+        # an article among readers' comments is one of them; other names on it tell nothing
+        return False, 25.0 * maybe, bool(re.search(r"(?:^|[-_\s])comment", names, re.I)), False
+    furniture = bool(FURNITURE.search(names))
+    if furniture and maybe and not re.search(r"comment|sidebar|footer|related|cookie|\bads?\b", names, re.I):
+        furniture = False
+    unlikely = bool(UNLIKELY.search(names)) and not maybe
+    return False, 25.0 * maybe - UNLIKELY_POINTS * unlikely, furniture, unlikely
 
 
-def parse(page: str) -> list[Block]:
-    """Text blocks in page order, each at its nearest block-level element."""
+def parse(page: str) -> tuple[list[Node], list[Block]]:
+    """Elements, parents first, and text blocks in page order, each at its nearest block-level element."""
     root = Node("html", None)
-    stack, blocks, run, count = [root], [], [], 0
-    run_linked = links = 0
+    nodes, stack, blocks, run = [root], [root], [], []
+    run_linked = 0
+    where: dict[str, list[int]] = {"html": [0]}  # places in the stack by tag
+    blocky = [0]  # places of block-level elements in the stack
 
     def flush():
         nonlocal run, run_linked
         if run:
             text = " ".join(html_lib.unescape("".join(run)).split())
             run = []
-            node = stack[-1]
-            while node.tag not in BLOCK and node.parent:
-                node = node.parent
+            node = stack[blocky[-1]]
             if text and not node.never:
                 blocks.append(Block(node, text, min(run_linked, len(text))))
         run_linked = 0
 
     def close(k: int):
-        nonlocal links
-        for node in stack[k:]:
-            links -= node.tag == "a"
+        for node in reversed(stack[k:]):
+            where[node.tag].pop()
         del stack[k:]
+        while blocky[-1] >= k:
+            blocky.pop()
+
+    def last(tags) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     at, end = 0, len(page)
     while at < end:
@@ -117,7 +137,7 @@ def parse(page: str) -> list[Block]:
         piece = page[at : m.start() if m else end]
         if piece and not stack[-1].never:
             run.append(piece)
-            if links:
+            if where.get("a"):
                 run_linked += len(piece.strip())
         if not m:
             break
@@ -132,8 +152,8 @@ def parse(page: str) -> list[Block]:
             if tag == "br":
                 run.append(" ")
                 continue
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if tag not in BLOCK and any(x.tag in BLOCK for x in stack[k + 1 :]):
+            k = last((tag,))
+            if tag not in BLOCK and blocky[-1] > k:
                 continue  # an inline end tag doesn't reach through blocks
             if tag in BLOCK or k and stack[k].never:
                 flush()
@@ -154,99 +174,110 @@ def parse(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in ENDS_P:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-                if k:
-                    close(k)
+            if tag in ENDS_P and (k := last(("p",))):
+                close(k)
         if tag in CLOSES:
             what, scope = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in what:
-                    flush()
-                    close(i)
-                    break
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+            if (k := last(what)) > last(scope):
+                flush()
+                close(k)
+        if tag in ("html", "body") and where.get(tag):
             continue
         parent = stack[-1]
         if tag == "body":
             parent = root
             flush()
             close(1)
-        inside = any(x.tag in ("article", "main") for x in stack)
-        never, hint = _kind(tag, m[3], inside)
+        never, hint, furniture, unlikely = _kind(tag, m[3], bool(where.get("article") or where.get("main")))
         if never and not parent.never:
             flush()
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
-        count += 1
-        stack.append(Node(tag, parent, never or parent.never, hint, count))
-        links += tag == "a"
+        node = Node(tag, parent, never or parent.never, hint, furniture, unlikely)
+        nodes.append(node)
+        where.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocky.append(len(stack))
+        stack.append(node)
     flush()
-    return blocks
+    return nodes, blocks
 
 
-def _path(node: Node) -> list[Node]:
-    out = []
-    while node:
-        out.append(node)
-        node = node.parent
-    return out
+def _without_furniture(nodes: list[Node], blocks: list[Block]) -> list[Block]:
+    """The blocks outside of elements that are named as furniture and don't hold nearly all the page's points."""
+    if not any(node.furniture for node in nodes):
+        return blocks
+    total = sum(block.points for block in blocks)
+    for block in blocks:
+        block.node.below += block.points
+    for node in reversed(nodes):
+        if node.parent:
+            node.parent.below += node.below
+    for node in nodes:
+        node.state = bool(node.parent and node.parent.state) or node.furniture and node.below <= FURNITURE_SHARE * total
+    kept = [block for block in blocks if not block.node.state]
+    for node in nodes:
+        node.below, node.state = 0.0, None
+    return kept
 
 
 def extract(page: str | None) -> str:
     """The main text of one page: blocks joined by two line ends."""
     if not page:
         return ""
-    blocks = parse(page)
+    nodes, blocks = parse(page)
+    blocks = _without_furniture(nodes, blocks)
     if not blocks:
         return ""
-    seen: dict[int, Node] = {}
     for block in blocks:
-        n = len(block.text)
-        container = block.node if block.node.tag in ("div", "article", "main", "section", "body", "td", "html") else block.node.parent
-        points = 1.0 + len(COMMAS.findall(block.text)) + min(n / 100.0, 3.0) if n >= 25 and block.node.tag not in HEADINGS else 0.2
-        points *= 1.0 - block.linked / n
-        share = 1.0
-        for depth, node in enumerate(_path(container)):
-            seen[id(node)] = node
-            node.points += points * share
-            share = 0.5 if depth == 0 else share / 3.0
-        for node in _path(block.node):
-            node.chars += n
-            node.linked += block.linked
-            node.blocks += 1
+        node = block.node
+        container = node if node.tag in ("div", "article", "main", "section", "body", "td", "html") else node.parent
+        container.points += block.points
+        container.state = True  # has points of its own or below
+        node.chars += len(block.text)
+        node.linked += block.linked
+        node.blocks += 1
+    # all points to the container, half to its parent, a third of that and so on further up
+    for node in reversed(nodes):
+        if parent := node.parent:
+            parent.below += 0.5 * node.points + node.below / 3
+            parent.chars += node.chars
+            parent.linked += node.linked
+            parent.blocks += node.blocks
+            parent.state = parent.state or node.state
+        node.points += node.below
 
     def score(node: Node) -> float:
         return (node.points + (TAG_POINTS.get(node.tag, 0.0) + node.hint if node.points else 0.0)) * (1.0 - node.linked / max(1, node.chars))
 
-    best = max(seen.values(), key=lambda x: (score(x), -x.order))
+    best = max((node for node in nodes if node.state), key=score)  # of equals the first
     # a container whose parent holds hardly more than it is one part of the whole: climb to what gathers the parts
     top = best
     while top.parent and top.parent.tag not in ("body", "html") and score(top.parent) >= 0.75 * score(best):
         top = top.parent
-    if top.tag in ("body", "html"):
-        kept = {id(top)}
-    else:
-        kept, floor = {id(top)}, max(10.0, 0.2 * score(best))
-        for node in {id(x): x for b in blocks for x in _path(b.node) if x.parent is top.parent and x is not top}.values():
+    kept = {id(top)}
+    if top.tag not in ("body", "html"):
+        floor = max(10.0, 0.2 * score(best))
+        for node in nodes:
+            if node.parent is not top.parent or node is top or not node.blocks:
+                continue
             density = node.linked / max(1, node.chars)
             if score(node) >= floor and density < 0.5 or node.tag == "p" and (node.chars > 80 and density < 0.25 or 0 < node.chars <= 80 and density == 0 and top.tag not in ("article", "main")) or node.tag in HEADINGS and density == 0:
                 kept.add(id(node))
-    out = []
-    for block in blocks:
-        path = _path(block.node)
-        k = next((i for i, x in enumerate(path) if id(x) in kept), None)
-        if k is None:
-            continue
-        inner = path[:k]
-        if any(x.tag == "header" for x in inner) and not any(x.tag in HEADINGS for x in inner):
+    # by element: whether it is inside what is kept, in a box of links there, in a header there, in a heading there
+    for node in nodes:
+        inside, links, header, heading = node.parent.state if node.parent else (False, False, False, False)
+        if id(node) in kept:
+            node.state = (True, False, False, False)
             continue
         # lists, tables and boxes of links inside the article are menus
-        if any(x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.blocks >= 2 and x.linked > 0.8 * x.chars for x in inner):
-            continue
-        out.append(block.text)
+        box = node.tag in ("ul", "ol", "dl", "table", "div", "section") and (node.blocks >= 2 and node.linked > 0.8 * node.chars or node.unlikely and node.linked > 0.5 * node.chars)
+        node.state = (inside, links or box, header or node.tag == "header", heading or node.tag in HEADINGS)
+    out = []
+    for block in blocks:
+        inside, links, header, heading = block.node.state
+        if inside and not links and not (header and not heading):
+            out.append(block.text)
     return "\n\n".join(out)
 
 
