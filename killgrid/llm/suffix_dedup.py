@@ -5,29 +5,34 @@ A byte goes if a string of `length` bytes around it also starts anywhere else.
 Windows of `length` bytes are first brought together by content: each window
 is owned by the q-gram in it whose hash is smallest (leftmost among equals), so
 equal windows have equal owners at equal places. Consecutive windows with one
-owner are a context, each window being in exactly one. Contexts that occur
-twice as a whole are repeated as a whole. What is left in a group of equal
-q-grams is suffix-sorted: positions start in buckets of equal 8-byte strings
-and are refined by sorting on the bucket pointers of later offsets (8, 16, ...
-bytes on), refined pointers serving at once as keys of the next refinement;
-positions alone in their bucket leave, and so does what points to them.
-Positions that share a bucket at depth `length` start repeated windows. Groups
-with more than LARGE different contexts are resolved window by window through a
-grouped count of 128-bit digests, which no group can overload.
-
-Joins to texts go by broadcast while what is joined is below BROADCAST_BYTES
-(counted first), else by shuffle.
+owner are a context (at most length - q + 1 of them), each window being in
+exactly one. Contexts that occur twice as a whole are repeated as a whole. What
+is left in a bucket of equal q-grams is suffix-sorted: positions start in
+buckets of equal 8-byte strings and are refined by sorting on the bucket
+pointers of later offsets (8, 16, ... bytes on), refined pointers serving at
+once as keys of the next refinement; positions alone in their bucket leave, and
+so does what points to them. Positions that share a bucket at depth `length`
+start repeated windows. Buckets of at most LARGE contexts are sorted so in a
+task; the same refinement runs over the contexts of all larger ones as grouped
+counts and joins, from q bytes by doubling (a bucket's pointer is a digest
+there), so no bucket can overload a task.
+
+Texts meet what is known about them by (id, hash): by broadcast while that is
+below BROADCAST_BYTES (its real width counted first); above, texts are dealt
+once to a bucketed table in the shared folder, and both joins read it in place.
 
 Defined results: null text is empty; texts shorter than `length` bytes stay;
 overlapping repeats count; strings are judged on the input, so copies of a text
 all lose what they share; repeated rows are copies; rows that share an id are
 told apart by their text; a null doc_id stays null; an empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored. `text` is what remains, read as UTF-8 with
+U+FFFD for characters that a cut has split; `kept_sha256` is of the exact bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +41,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, join_skewed, persist, table
+from .common import arrow_slices, join_skewed, new_path, persist, release, table
 
 LENGTH, GRAM, START_GRAM = 400, 100, 8
 LARGE = 4000
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
+#: Bytes of text in one bucket of the table that texts are dealt to.
+BUCKET_BYTES = 64 << 20
 #: Bytes of contexts sorted together (or one group).
 SORTED_BYTES = 2 << 20
 _BLOCK = 1 << 19
@@ -100,10 +107,9 @@ def contexts(text: bytes, length: int = LENGTH, q: int = GRAM) -> Iterator[tuple
             yield g, xxhash.xxh3_64_intdigest(text[f : f + w + length - 1], seed=rel) - (1 << 63), f, w
 
 
-def repeated_starts(pieces: list[bytes], depth: int = LENGTH) -> list[np.ndarray]:
-    """For each piece, which of its windows of `depth` bytes equal another window of these pieces."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(p) for p in pieces], np.int64)
+def repeated_starts(data: np.ndarray, sizes: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """The places in data (pieces of these sizes, one after another) where a window of `depth` bytes of one piece
+    starts that equals another one."""
     ends = np.repeat(np.cumsum(sizes), sizes)  # where each position's piece ends
     n = len(data)
     pointer = np.full(n + depth, -1, np.int64)  # bucket of each position at the depth reached; -1: alone, or too near the end
@@ -135,19 +141,7 @@ def repeated_starts(pieces: list[bytes], depth: int = LENGTH) -> list[np.ndarray
         places, keys = places[good], own * (n + 1) + later[good]
         places = refine(places, keys)
         h += step
-    alike = np.zeros(n, bool)
-    alike[places] = True
-    at = np.cumsum(sizes) - sizes
-    return [alike[a : a + max(0, s - depth + 1)] for a, s in zip(at.tolist(), sizes.tolist(), strict=True)]
-
-
-def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by windows that start where starts is true."""
-    at = np.flatnonzero(starts)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > length)
-    return list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + length).tolist(), strict=True))
+    return np.sort(places)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -188,102 +182,201 @@ def _cut(length: int):
 _SPANS = "id long, hash long, start int, stop int"
 
 
-def _as_spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "hash", "start", "stop"])
+def _as_spans(ids, hashes, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes), pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32))], names=["id", "hash", "start", "stop"])
 
 
 def _sort_groups(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work, size, last = [], 0, None
-
-        def resolved():
-            found = repeated_starts([w[4] for w in work], length)
-            return [(i, t, start + a, start + b) for (_, i, t, start, _), alike in zip(work, found, strict=True) for a, b in spans(alike, length)]
+    """Repeated runs of windows in rows (gram, id, hash, start, bytes) that come group by group."""
+    def resolved(rows: pa.Table) -> pa.RecordBatch | None:
+        pieces = rows.column(4).combine_chunks()
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        first = offsets[:-1] - offsets[0]
+        at = repeated_starts(data, np.diff(offsets), length)
+        if not len(at):
+            return None
+        piece = np.searchsorted(first, at, side="right") - 1
+        cut = np.flatnonzero((np.diff(at) > length) | (np.diff(piece) > 0))
+        a, b = np.append(0, cut + 1), np.append(cut, len(at) - 1)
+        own = piece[a]
+        begin = rows.column(3).to_numpy()[own] - first[own]
+        return _as_spans(rows.column(1).to_numpy()[own], rows.column(2).to_numpy()[own], begin + at[a], begin + at[b] + length)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size >= SORTED_BYTES:
-                    if rows := resolved():
-                        yield _as_spans(rows)
-                    work, size = [], 0
-                work.append(row)
-                size += len(row[4])
-                last = row[0]
-        if work and (rows := resolved()):
-            yield _as_spans(rows)
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            size += batch.column(4).nbytes
+            if size < SORTED_BYTES:
+                continue
+            rows = pa.Table.from_batches(waiting)
+            grams = rows.column(0).to_numpy()
+            new = np.flatnonzero(grams[1:] != grams[:-1]) + 1
+            ends = rows.column(4).combine_chunks().value_lengths().to_numpy().cumsum()
+            done = 0
+            for k in new.tolist():  # as many groups together as make SORTED_BYTES
+                if ends[k - 1] - (ends[done - 1] if done else 0) >= SORTED_BYTES:
+                    if found := resolved(rows.slice(done, k - done)):
+                        yield found
+                    done = k
+            waiting = rows.slice(done).to_batches()
+            size = sum(w.column(4).nbytes for w in waiting) if done else 0  # one long group: look again when as much has come
+        if waiting and (found := resolved(pa.Table.from_batches(waiting))):
+            yield found
 
     return run
 
 
-def _window_digests(length: int):
+def _positions(length: int, q: int):
+    """(id, hash, context, place, bucket): the digest of the q bytes at each place of a context."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches, "bytes", 1 << 18):
-            out = []
-            for i, t, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(i, t, start + k, xxhash.xxh3_128_digest(text[k : k + length])) for k in range(len(text) - length + 1)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "hash", "start", "window"])
+            texts = batch.column(3).to_pylist()
+            sizes = np.array([len(t) - q + 1 for t in texts], np.int64)
+            row = np.repeat(np.arange(len(texts)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            buckets = [xxhash.xxh3_128_digest(t[k : k + q]) for t in texts for k in range(len(t) - q + 1)]
+            own = [batch.column(i).take(pa.array(row)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(place.astype(np.int32)), pa.array(buckets, pa.binary())], names=["id", "hash", "context", "place", "bucket"])
+
+    return run
+
+
+def _refined(parts: DataFrame, length: int, q: int = GRAM) -> DataFrame:
+    """Spans of repeated windows in contexts (id, hash, start, bytes) of any number: bucket pointers refined by
+    joins. A place's bucket at depth h + step is its bucket at h with that of the place step bytes on; places
+    alone in their bucket leave before that."""
+    q = min(q, length)
+    keys = persist(parts.select("id", "hash", "start", "bytes").mapInArrow(_positions(length, q), "id long, hash long, context int, place int, bucket binary"), "places")
+    at = ["id", "hash", "context", "place"]
+    while True:
+        twice = persist(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+        shared = join_skewed(keys, twice, ["bucket"], "rows").select(*at, "bucket")
+        if q == length:
+            return shared.selectExpr("id", "hash", "context + place as start", f"context + place + {length} as stop")
+        step = min(q, length - q)
+        shared = persist(shared, "shared-places")
+        later = shared.select("id", "hash", "context", (F.col("place") - step).alias("place"), F.col("bucket").alias("later"))
+        finer = persist(shared.join(later, at).select(*at, F.unhex(F.md5(F.concat("bucket", "later"))).alias("bucket")), "places")
+        release(keys, twice, shared)
+        keys, q = finer, q + step
+
+
+def _merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of bytes in spans; those that touch are one."""
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], np.maximum.accumulate(stops[order])
+    new = np.flatnonzero(starts[1:] > stops[:-1]) + 1
+    return starts[np.append(0, new)], stops[np.append(new - 1, len(stops) - 1)]
+
+
+def _whole_spans(length: int):
+    """Runs of bytes of contexts (id, hash, starts, windows) that repeat as a whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, windows = batch.column(2), batch.column(3).to_numpy().astype(np.int64)
+            sizes = lists.value_lengths().to_numpy()
+            row, starts = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy().astype(np.int64)
+            width = windows[row] + length - 1
+            # starts ascend within a row: those whose bytes meet are one run
+            new = np.flatnonzero((np.diff(row) > 0) | (np.diff(starts) > width[:-1])) + 1
+            a, b = np.append(0, new), np.append(new - 1, len(starts) - 1)
+            yield _as_spans(batch.column(0).take(pa.array(row[a])), batch.column(1).take(pa.array(row[a])), starts[a], starts[b] + width[b])
 
     return run
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, hash, items) with the items, structs of start and stop, merged."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(2)
+        flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+        starts, stops = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+        runs = [_merged(starts[a:b], stops[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in runs])]).astype(np.int32))
+        items = pa.StructArray.from_arrays([pa.array(np.concatenate([r[i] for r in runs]).astype(np.int32)) for i in (0, 1)], ["start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, items)], names=["id", "hash", "items"])
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in arrow_slices(batches, "text"):
         out = []
         for i, text, covered in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            kept, at, removed, n = [], 0, 0, 0
-            stop = -1
-            for a, b in sorted((s["start"], s["stop"]) for s in covered or ()):
-                if a > stop or stop < 0:
-                    n += 1
-                    kept.append(text[at:a])
-                stop = max(stop, b)
-                at = max(at, b)
+            kept, at = [], 0
+            for span in covered or ():
+                kept.append(text[at : span["start"]])
+                at = span["stop"]
             kept.append(text[at:])
             rest = b"".join(kept)
-            removed = len(text) - len(rest)
-            out.append((None if i == _FIRST else i, len(text), removed, n, hashlib.sha256(rest).hexdigest(), rest if len(rest) < len(text) else text))
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((None if i == _FIRST else i, len(text), len(text) - len(rest), len(covered or ()), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+
+
+class _Texts:
+    """The texts of docs by (id, hash), and joins to them in which nothing large moves if the other side is small."""
+
+    def __init__(self, docs: DataFrame, broadcast_bytes: int):
+        own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        self.rows = own.withColumn("hash", F.xxhash64("text")).select("id", "hash", "text")
+        self.broadcast_bytes, self.name = broadcast_bytes, None
 
+    def join(self, other: DataFrame, item_bytes: int, how: str) -> DataFrame:
+        """id, hash, text, items; other has a row of items for each (id, hash) it has, of item_bytes each as Spark holds them."""
+        held = other.agg(F.sum(F.size("items") * item_bytes + 96)).first()[0] or 0
+        if held <= self.broadcast_bytes:
+            return self.rows.join(F.broadcast(other), ["id", "hash"], how).select("id", "hash", "text", "items")
+        # the other side is narrow: it is hashed, so the texts needn't be sorted
+        return self._dealt().join(other.hint("shuffle_hash"), ["id", "hash"], how).select("id", "hash", "text", "items")
 
-def _join_texts(texts: DataFrame, other: DataFrame, row_bytes: int, how: str, broadcast_bytes: int) -> DataFrame:
-    """Join to texts by (id, hash): nothing large moves if other is small."""
-    items = other.agg(F.sum(F.size("items") * row_bytes + 32)).first()[0] or 0
-    return texts.join(F.broadcast(other) if items <= broadcast_bytes else other, ["id", "hash"], how)
+    def _dealt(self) -> DataFrame:
+        spark = self.rows.sparkSession
+        if not self.name:
+            size = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+            self.name, path = f"texts_{uuid.uuid4().hex}", new_path(spark, "texts")
+            self.rows.repartition(buckets, "id", "hash").write.bucketBy(buckets, "id", "hash").format("parquet").option("path", path).saveAsTable(self.name)
+        return spark.table(self.name)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, large: int = LARGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def repeated_spans(texts: _Texts, length: int = LENGTH, large: int = LARGE) -> DataFrame:
     """(id, hash, start, stop): byte ranges, possibly overlapping, whose bytes are in repeated strings."""
-    texts = _texts(docs)
-    found = persist(texts.select("id", "text", "hash").mapInArrow(_find(length), "gram long, context long, id long, hash long, starts array<int>, windows int"), "contexts")
+    found = persist(texts.rows.select("id", "text", "hash").mapInArrow(_find(length), "gram long, context long, id long, hash long, starts array<int>, windows int"), "contexts")
     grams = persist(found.groupBy("gram").agg(F.sum(F.size("starts")).alias("rows")).where("rows > 1"), "grams")
     again = persist(join_skewed(found, grams, ["gram"], "rows").drop("rows"), "repeated")
+    release(found, grams)
     classes = persist(again.groupBy("gram", "context").agg(F.sum(F.size("starts")).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "hash", F.element_at("starts", 1).alias("start"), "windows")).alias("one")), "context-classes")
     whole = join_skewed(again, classes.where("n > 1").select("gram", "context", "rows"), ["gram", "context"], "rows")
-    whole = whole.select("id", "hash", F.explode("starts").alias("start"), "windows").selectExpr("id", "hash", "start", f"start + windows + {length - 1} as stop")
+    whole = persist(whole.select("id", "hash", "starts", "windows").mapInArrow(_whole_spans(length), _SPANS), "whole-spans")
+    release(again)
     groups = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.max((F.col("n") == 1).cast("int")).alias("single")).where("size > 1 and single = 1").select("gram", "size")
     mixed = join_skewed(classes, persist(groups, "mixed-groups"), ["gram"], "size")
     wanted = mixed.select("one.*", F.struct("gram", (F.col("size") > large).alias("many"), "one.start", "one.windows").alias("item")).groupBy("id", "hash").agg(F.collect_list("item").alias("items"))
     wanted = persist(wanted, "wanted")
     # repeated rows share id and hash, and so their contexts are whole repeats: any one row's bytes will do
-    cut = _join_texts(texts, wanted, 24, "inner", broadcast_bytes).select("id", "hash", "text", "items")
+    cut = texts.join(wanted, 48, "inner")
     parts = persist(cut.mapInArrow(_cut(length), "gram long, many boolean, id long, hash long, start int, bytes binary").dropDuplicates(["gram", "id", "hash", "start"]), "parts")
+    release(classes, wanted)
     sorted_parts = parts.where("not many").select("gram", "id", "hash", "start", "bytes").repartition("gram").sortWithinPartitions("gram")
-    resolved = sorted_parts.mapInArrow(_sort_groups(length), _SPANS)
-    spans_ = whole.unionByName(resolved)
+    spans = whole.unionByName(sorted_parts.mapInArrow(_sort_groups(length), _SPANS))
     if parts.where("many").take(1):
-        windows = persist(parts.where("many").select("id", "hash", "start", "bytes").mapInArrow(_window_digests(length), "id long, hash long, start int, window binary"), "windows")
-        twice = persist(windows.groupBy("window").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "window-counts")
-        spans_ = spans_.unionByName(join_skewed(windows, twice, ["window"], "rows").selectExpr("id", "hash", "start", f"start + {length} as stop"))
-    return spans_
+        spans = spans.unionByName(_refined(parts.where("many"), length))
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, large: int = LARGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row."""
-    covered = repeated_spans(docs, length, large, broadcast_bytes).distinct().groupBy("id", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("items"))
-    rows = _join_texts(_texts(docs), persist(covered, "covered"), 8, "left", broadcast_bytes)
-    return rows.select("id", "text", "items").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what remains) of every row."""
+    texts = _Texts(docs, broadcast_bytes)
+    spans = repeated_spans(texts, length, large).groupBy("id", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("items"))
+    covered = persist(spans.mapInArrow(_merge_spans, "id long, hash long, items array<struct<start: int, stop: int>>"), "covered")
+    return texts.join(covered, 32, "left").select("id", "text", "items").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"))
