@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -215,7 +216,7 @@ def _sort_groups(length: int):
             rows = pa.Table.from_batches(waiting)
             grams = rows.column(0).to_numpy()
             new = np.flatnonzero(grams[1:] != grams[:-1]) + 1
-            ends = rows.column(4).combine_chunks().value_lengths().to_numpy().cumsum()
+            ends = pc.binary_length(rows.column(4)).to_numpy().astype(np.int64).cumsum()
             done = 0
             for k in new.tolist():  # as many groups together as make SORTED_BYTES
                 if ends[k - 1] - (ends[done - 1] if done else 0) >= SORTED_BYTES:
