@@ -9,14 +9,16 @@ evidence moved from the global prior to its path's.
 
 The model is fitted on at most TRAIN_DOCS labelled rows, chosen by a hash of
 the id; all other sums are over all documents. Site rates go to the documents
-by broadcast while there are at most BROADCAST_SITES of them; above that, by a
-join with salted keys.
+by broadcast while there are at most BROADCAST_SITES of them; above that, those
+of sites with a large share of all documents do, and the others by a shuffle.
 
 Defined results: a null text is empty; null host or path is a site of its own;
 labels are combined per id by their smallest quality, null labels are left
 out; without labels of both kinds the evidence is 0 and everything is kept;
 rows are independent given the rates, so repeated rows give repeated results;
-an empty table gives no rows; `keep_good` carries all columns through.
+documents of equal text on one path tie, and stay or go together; an empty
+table gives no rows; `keep_good` carries all columns, whatever their names,
+through.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, persist, table
+from .common import arrow_slices, join_skewed, persist, release, table
 
-TRAIN_DOCS, BROADCAST_SITES, SALTS, SEED = 8_000, 20_000, 16, 11
+TRAIN_DOCS, BROADCAST_SITES, SEED = 8_000, 20_000, 11
 #: A document is rejected if the posterior of its being good is below this.
 THRESHOLD = 0.4
 CLAMP = 12.0
@@ -90,33 +92,33 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> np.ndarray:
     """Weights of the document model, from a bounded sample of labelled rows."""
-    rated = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_kg_id")).agg(F.min("quality").cast("double").alias("_kg_quality"))
+    rated = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("double").alias("good"))
     n = rated.count()
-    chosen = rated.where(F.pmod(F.xxhash64("_kg_id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(1, n)))).limit(2 * sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_kg_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_kg_id")
+    chosen = rated.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(1, n)))).limit(2 * sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_slices(batches, "text"):
             x = features(batch.column(1)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["_kg_id", "_kg_quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "good", "x"])
 
-    found = sorted((r[0], r[1], bytes(r[2])) for r in rows.select("_kg_id", "text", "_kg_quality").mapInArrow(run, "_kg_id long, _kg_quality double, x binary").collect())
+    found = sorted((r[0], r[1], bytes(r[2])) for r in rows.select("id", "text", "good").mapInArrow(run, "id long, good double, x binary").collect())
     y = np.array([q for _, q, _ in found])
     if not len(y) or y.min() == y.max():
         return np.zeros(N_FEATURES + 1)
     return fit_logistic(np.array([np.frombuffer(x, np.float32) for _, _, x in found], np.float64), (y > 0).astype(float))
 
 
-def with_evidence(docs: DataFrame, model: np.ndarray, host: Column, path: Column, keep_text: bool) -> DataFrame:
-    """docs (or only doc_id) with _kg_host, _kg_path and _kg_logit."""
+def with_evidence(docs: DataFrame, model: np.ndarray, host: Column, path: Column, whole: bool) -> DataFrame:
+    """id, host, path and logit of each row, and with `whole` the row itself, as a struct: no column of the caller's can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns if keep_text else ["doc_id"]
-    own = docs.select(*columns, F.coalesce(host.cast("string"), F.lit("")).alias("_kg_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_kg_path"), F.col("text").cast("string").alias("_kg_text"))
-    shape = own.drop("_kg_text").schema.add("_kg_logit", "double")
+    columns = [F.col("doc_id").cast("long").alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), *([F.struct("*").alias("row")] if whole else []), F.col("text").cast("string").alias("text")]
+    own = docs.select(*columns)
+    shape = own.drop("text").schema.add("logit", "double")
     names = shape.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_slices(batches, "_kg_text"):
+        for batch in arrow_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_evidence(batch.columns[-1], shared.value))], names=names)
 
     return own.mapInArrow(run, shape)
@@ -133,31 +135,27 @@ def _strength(sums: DataFrame, n: str, p: str, toward: Column) -> float:
 
 
 def site_rates(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """Posterior rates by host and path, one row for each path, and the global rate."""
-    sums = persist(evidence.groupBy("_kg_host", "_kg_path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.round(1 / (1 + F.exp(-F.col("_kg_logit"))), 9)).alias("p")), "site-sums")
-    hosts = sums.groupBy("_kg_host").agg(F.sum("n").alias("hn"), F.sum("p").alias("hp"))
+    """host, path, n, and the posterior rates of both, one row for each path; and the global rate."""
+    sums = persist(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.round(1 / (1 + F.exp(-F.col("logit"))), 9)).alias("p")), "site-sums")
+    hosts = sums.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("p").alias("hp"))
     total, good = sums.agg(F.sum("n"), F.sum("p")).first()
     if not total:
-        return sums.select("_kg_host", "_kg_path", F.lit(0.5).alias("_kg_host_rate"), F.lit(0.5).alias("_kg_path_rate")), 0.5
+        return sums.select("host", "path", "n", F.lit(0.5).alias("host_rate"), F.lit(0.5).alias("path_rate")), 0.5
     rate = (good + 1) / (total + 2)
     k = _strength(hosts, "hn", "hp", F.lit(rate))
-    hosts = hosts.withColumn("_kg_host_rate", (F.col("hp") + k * rate) / (F.col("hn") + k))
-    both = persist(sums.join(hosts.select("_kg_host", "_kg_host_rate"), "_kg_host"), "site-rates")
-    k = _strength(both, "n", "p", F.col("_kg_host_rate"))
-    return both.select("_kg_host", "_kg_path", "_kg_host_rate", ((F.col("p") + k * F.col("_kg_host_rate")) / (F.col("n") + k)).alias("_kg_path_rate")), rate
+    hosts = hosts.withColumn("host_rate", (F.col("hp") + k * rate) / (F.col("hn") + k))
+    both = persist(sums.join(hosts.select("host", "host_rate"), "host"), "site-rates")
+    release(sums)
+    k = _strength(both, "n", "p", F.col("host_rate"))
+    return both.select("host", "path", "n", "host_rate", ((F.col("p") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), rate
 
 
 def with_posterior(evidence: DataFrame, rates: DataFrame, rate: float) -> DataFrame:
-    """evidence with _kg_host_rate, _kg_path_rate and _kg_good, the posterior of being good."""
-    keys = ["_kg_host", "_kg_path"]
-    if rates.count() <= BROADCAST_SITES:
-        joined = evidence.join(F.broadcast(rates), keys)
-    else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        spread = rates.withColumn("_kg_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = evidence.withColumn("_kg_salt", salt).join(spread, [*keys, "_kg_salt"]).drop("_kg_salt")
+    """evidence with host_rate, path_rate and good, the posterior of being good."""
+    keys = ["host", "path"]
+    joined = evidence.join(F.broadcast(rates), keys) if rates.count() <= BROADCAST_SITES else join_skewed(evidence, rates, keys, "n")
     logit = lambda x: F.log(x / (1 - x))
-    return joined.withColumn("_kg_good", 1 / (1 + F.exp(-(F.col("_kg_logit") + logit(F.col("_kg_path_rate")) - logit(F.lit(rate))))))
+    return joined.withColumn("good", 1 / (1 + F.exp(-(F.col("logit") + logit(F.col("path_rate")) - logit(F.lit(rate))))))
 
 
 def _sites() -> tuple[Column, Column]:
@@ -168,17 +166,17 @@ def _sites() -> tuple[Column, Column]:
 def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, evidence (logit), host, path, their posterior rates, quality (posterior) and kept."""
     model = fit(docs, labels)
-    evidence = persist(with_evidence(docs, model, *_sites(), keep_text=False), "evidence")
+    evidence = persist(with_evidence(docs, model, *_sites(), whole=False), "evidence")
     rates, rate = site_rates(evidence)
     return with_posterior(evidence, rates, rate).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.round("_kg_logit", 6).alias("evidence"),
-        F.col("_kg_host").alias("host"),
-        F.col("_kg_path").alias("path"),
-        F.round("_kg_host_rate", 6).alias("host_rate"),
-        F.round("_kg_path_rate", 6).alias("path_rate"),
-        F.round("_kg_good", 6).alias("quality"),
-        (F.col("_kg_good") >= THRESHOLD).alias("kept"),
+        F.col("id").alias("doc_id"),
+        F.round("logit", 6).alias("evidence"),
+        "host",
+        "path",
+        F.round("host_rate", 6).alias("host_rate"),
+        F.round("path_rate", 6).alias("path_rate"),
+        F.round("good", 6).alias("quality"),
+        (F.col("good") >= THRESHOLD).alias("kept"),
     )
 
 
@@ -186,8 +184,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the documents whose posterior is below THRESHOLD. Texts are read again
     for the decision, as that moves nothing, whereas joining decisions to texts would shuffle them."""
     model = fit(docs, labels)
-    rates, rate = site_rates(with_evidence(docs, model, *_sites(), keep_text=False))
-    return with_posterior(with_evidence(docs, model, *_sites(), keep_text=True), rates, rate).where(F.col("_kg_good") >= THRESHOLD).select(*docs.columns)
+    rates, rate = site_rates(with_evidence(docs, model, *_sites(), whole=False))
+    return with_posterior(with_evidence(docs, model, *_sites(), whole=True), rates, rate).where(F.col("good") >= THRESHOLD).select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
