@@ -46,6 +46,11 @@ def release(*frames: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def end_round(spark: SparkSession) -> None:
+    """Let the driver collect what finished rounds have left: broadcasts and shuffle files go with the objects that hold them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,11 +92,11 @@ def join_skewed(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     Keys that hold a large share of all rows would meet in one task; as there are at most HOT_SHARE of them,
     they are broadcast, and only the others are shuffled.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    least = max(HOT_LEAST, total // HOT_SHARE + 1)
-    hot = groups.where(F.col(size) >= least)
-    if total < HOT_LEAST or not hot.take(1):
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    least = max(HOT_LEAST, (total or 0) // HOT_SHARE + 1)
+    if (most or 0) < least:
         return rows.join(groups, keys)
+    hot = groups.where(F.col(size) >= least)
     warm = rows.join(F.broadcast(hot), keys)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) < least), keys)
     return warm.unionByName(cold)

@@ -13,7 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours, then the label of that label, so chains shrink
     by doubling. Only minima are gathered per node (combined before the shuffle); state goes to the shared
-    folder every round.
+    folder every round. The joins on a node of many links move two numbers a row; the adaptive split of
+    skewed partitions deals with them.
     """
     both = persist(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct(), "cc-links")
     labels = persist(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "cc-labels")

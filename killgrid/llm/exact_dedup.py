@@ -32,7 +32,7 @@ from .common import delete, new_path, persist, release, table, text_or_empty
 #: Groups of at least 1/HOT_SHARE of a batch are joined by broadcast; there are HOT_SHARE of them at most.
 HOT_SHARE = 200
 HOT_LEAST = 1000
-BUCKETS, BATCHES = 64, 4
+BUCKETS, BATCHES = 64, 2
 
 
 def normalised(column: str = "text"):

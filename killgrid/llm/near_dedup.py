@@ -6,21 +6,26 @@ bring classes together: at a similarity of 0.85 a pair is missed with a chance
 of 5e-11, at 0.8 of 5e-8. The samples are also folded into a 512-bit parity
 bitmap (odd sketch), whose XOR population count estimates high similarities
 closely; candidates more than six standard deviations below the threshold are
-left out. A second odd sketch holds the parities of the whole set: its XOR
+left out (of the samples; with the sketch's own spread it is 5.3 at 0.85). A
+second odd sketch holds the parities of the whole set, in about as many bits as
+the set has members (folded by XOR to the smaller of two sizes): its XOR
 population count can't exceed the number of shingles that only one of two sets
-has, so it rules out pairs without error. All others are confirmed on the full shingle sets (64-bit hashes of
-shingles).
-
-Links are needed only as far as they join components. In each band bucket all
-members are compared with one member, which then leaves it; the links found are closed to
-components, and only buckets that still hold several components go on: small
+has, so it rules out pairs without error. All others are confirmed on the full
+shingle sets (64-bit hashes of shingles).
+
+Links are needed only as far as they join components, and are kept as a
+spanning forest: (node, label) rows, to which a round adds pairs of different
+labels only. First each set is compared with one hub, of the smallest members of its
+band buckets the one it shares most buckets with; then, across components, with
+the other hubs. Only buckets that still hold several components go on: small
 ones are compared pair by pair between different components, large ones with
 further members in turn, each of which then leaves its bucket. Before that
 each set's shingles that no other member of these buckets has are counted: what two sets have
 in common can't exceed what is left, which rules out most of the heavily edited
 copies without a comparison. So a bucket of n near copies costs about n
-comparisons, not n squared, and no link that matters is lost. Hot buckets and hot classes are joined by broadcast of at most HOT_SHARE
-keys.
+comparisons, not n squared, and no link that matters is lost. Hot buckets and
+hot classes are joined by broadcast of at most HOT_SHARE keys; joins of narrow
+rows on a hub or a label are left to the adaptive split of skewed partitions.
 
 Defined results: null text is empty; a text without words has n_shingles 0 and
 is linked with nothing; a text of fewer words than a shingle has is one
@@ -43,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, free_unused, join_skewed, persist, release, table, text_or_empty
+from .common import arrow_slices, end_round, free_unused, join_skewed, persist, release, table, text_or_empty
 from .components import connected_components
 
 BANDS, ROWS, SKETCH_BITS, SEED = 32, 4, 512, 5
@@ -109,17 +114,30 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def whole_sketch(values: np.ndarray) -> np.ndarray:
-    """Parity bitmap of all the values of a set, SKETCH_BITS / 64 words."""
-    return np.packbits(np.bincount((values >> np.uint64(20) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1, bitorder="little").view(np.int64)
+    """Parity bitmap of all the values of a set: a power of two of bits, SKETCH_BITS or twice as many as there are values."""
+    bits = max(SKETCH_BITS, 2 << max(0, len(values) - 1).bit_length())
+    return np.packbits(np.bincount((values >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").view(np.int64)
+
+
+#: Words of the samples' sketch; then comes the set's size, then the whole set's sketch.
+_WORDS = SKETCH_BITS // 64
 
 
-def _differing(a: str, b: str, start: int) -> Column:
-    ones = [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(start, start + SKETCH_BITS // 64)]
+def _differing(a: str, b: str) -> Column:
+    ones = [F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(_WORDS)]
     return sum(ones[1:], ones[0])
 
 
+def _whole_differing(a: str, b: str) -> Column:
+    """Differing bits of two whole sets' sketches, the larger one folded to the smaller one's size."""
+    head = _WORDS + 1
+    words = f"(least(size({a}), size({b})) - {head})"
+    fold = lambda x: f"aggregate(sequence({head} + i, size({x}) - 1, {words}), 0L, (s, k) -> s ^ {x}[k])"
+    return F.expr(f"aggregate(sequence(0, {words} - 1), 0, (d, i) -> d + bit_count({fold(a)} ^ {fold(b)}))")
+
+
 def sketches_alike(a: str, b: str, percent: int) -> Column:
-    """Whether two sketch columns (samples' odd sketch, whole set's odd sketch, set size) allow for a similarity of percent.
+    """Whether two sketch columns (samples' odd sketch, set size, whole set's odd sketch) allow for a similarity of percent.
 
     Sets of S shingles together, of which D are in one only, are linked if (100 + percent) D <= (100 - percent) S;
     D is at least the differing bits of the whole sets' sketches. With c differing bits of n in the samples'
@@ -128,9 +146,9 @@ def sketches_alike(a: str, b: str, percent: int) -> Column:
     wanted = percent / 100
     low = wanted - SIGMAS * (wanted * (1 - wanted) / (BANDS * ROWS)) ** 0.5
     most = SKETCH_BITS / 2 * (1 - np.exp((low - 1) * 4 * BANDS * ROWS / SKETCH_BITS))
-    words = SKETCH_BITS // 64
-    size = F.get(F.col(a), F.lit(2 * words)) + F.get(F.col(b), F.lit(2 * words))
-    return ((100 + percent) * _differing(a, b, words) <= (100 - percent) * size) & (_differing(a, b, 0) <= float(most))
+    na, nb = F.get(F.col(a), F.lit(_WORDS)), F.get(F.col(b), F.lit(_WORDS))
+    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return sizes & (_differing(a, b) <= float(most)) & ((100 + percent) * _whole_differing(a, b) <= (100 - percent) * (na + nb))
 
 
 def _let_go() -> None:
@@ -150,7 +168,7 @@ def _features(width: int):
                     samples = signature(values)
                     same.append(xxhash.xxh3_128_digest(values.tobytes()))
                     keys.append(band_keys(samples))
-                    sketches.append(np.concatenate([odd_sketch(samples), whole_sketch(values), [len(values)]]))
+                    sketches.append(np.concatenate([odd_sketch(samples), [len(values)], whole_sketch(values)]))
                 else:
                     same.append(None)
                     keys.append(None)
@@ -240,7 +258,7 @@ def _pairs(members: DataFrame, percent: int, used: list[DataFrame]) -> tuple[Dat
     """Candidate pairs of this round among members (key, id, comp, n, f, sketch), and the members that stay in their buckets."""
     live = _mixed(members, "mixed", used)
     # members that can't be linked with any set as large as the bucket's smallest leave it
-    live = _mixed(live.where(f"100 * f >= {percent} * (n + greatest(least_n, f) - f)").drop("size", "least_n"), "live", used).drop("least_n")
+    live = live.where(f"100 * f >= {percent} * (n + greatest(least_n, f) - f)").drop("least_n")
     small = live.where(F.col("size") <= SMALL)
     side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "f", "sketch")))
     # in the join itself, so that pairs ruled out are never made
@@ -264,59 +282,88 @@ def _pairs(members: DataFrame, percent: int, used: list[DataFrame]) -> tuple[Dat
     return pairs.unionByName(met), rest
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs (a, b), by their full sets."""
+    filled = pairs.select("a", "b").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").select("a", "b", "x", "y")
+    return persist(filled.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "confirmed")
+
+
+def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """pairs (a, b) with la and lb, the labels of their components, where these differ."""
+    if labels is None:
+        return pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})
+    for x in "ab":
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left").withColumn(f"l{x}", F.coalesce(f"l{x}", x))
+    return pairs.where("la <> lb")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """labels (node, label) once links (a, b) are added: only pairs of different labels are looked at."""
+    pairs = persist(_across(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "label-pairs")
+    if not pairs.take(1):
+        release(pairs)
+        return labels
+    moves = connected_components(pairs)
+    release(pairs)
+    if labels is None:
+        return moves
+    moved = labels.join(moves.select(F.col("node").alias("label"), F.col("label").alias("m")), "label", "left").select("node", F.coalesce("m", "label").alias("label"))
+    new = persist(moved.unionByName(moves.join(labels, "node", "left_anti")), "labels")
+    release(moves, labels)
+    return new
+
+
 def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, label) of all classes that are linked with another one."""
     members = classes.select("id", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("a")).where("size > 1")
     sizes = persist(sizes, "bucket-sizes")
-    active = persist(join_skewed(members, sizes, ["key"], "size").select("key", "id", "a"), "buckets")
+    active = persist(join_skewed(members, sizes, ["key"], "size").select("key", "id", "a").where("id <> a"), "buckets")
     sketches = classes.select("id", "sketch")
-    links = labels = sets = shared = checked = None
-    used = [sizes, active]
+    hubs = active.groupBy(F.col("id").alias("b"), "a").agg(F.count(F.lit(1)).alias("shared"))
+    hubs = hubs.join(sketches.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
+    hubs = persist(hubs.where(sketches_alike("sa", "sb", percent)).select("a", "b", "shared"), "hubs")
+    sets = _sets_of(docs, hubs.select(F.explode(F.array("a", "b")).alias("id")), width)
+    best = hubs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), F.col("a"))).alias("a"))
+    checked = _confirmed(best, sets, percent)
+    labels = _joined(None, checked.where("linked").select("a", "b"))
+    others = persist(_across(hubs.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).select("a", "b"), "others")
+    if others.take(1):
+        done = _confirmed(others, sets, percent)
+        checked = checked.unionByName(done)
+        labels = _joined(labels, done.where("linked").select("a", "b"))
+    release(hubs, sets, others)
+    found = labels is not None
+    if not found:
+        labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    used: list[DataFrame] = [sizes, active]
+    live = _mixed(_with_components(active.select("key", "id"), labels).withColumn("n", F.lit(0)), "open", used)
+    rest = live.select("key", "id")
+    if not rest.take(1):
+        release(*used)
+        return labels
+    sets = _sets_of(docs, rest.select("id"), width)
+    shared = persist(_shared(sets).join(sketches, "id"), "shared")
+    end_round(docs.sparkSession)
     while True:
-        if labels is None:
-            candidates = active.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-            candidates = candidates.join(sketches.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
-            candidates = candidates.where(sketches_alike("sa", "sb", percent)).select("a", "b")
-            rest = active.where("id <> a").select("key", "id")
-        else:
-            if shared is None:
-                live = _mixed(_with_components(rest, labels).withColumn("n", F.lit(0)), "open", used)
-                rest = live.select("key", "id")
-                sets = _sets_of(docs, rest.select("id"), width)
-                shared = persist(_shared(sets).join(sketches, "id"), "shared")
-            named = persist(_with_components(rest, labels).join(shared.where(f"100 * f >= {percent} * n"), "id"), "members")
-            used.append(named)
-            candidates, rest = _pairs(named, percent, used)
-            rest = persist(rest, "rest")
-        candidates = candidates.distinct()
-        if checked is not None:
-            candidates = candidates.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        near = persist(candidates, "near")
-        if labels is None:
-            # the first round's sets; later rounds have pairs of members of open buckets only
-            sets = _sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")), width)
-        else:
-            release(*used)
-            used = [rest]
+        named = persist(_with_components(rest, labels).join(shared.where(f"100 * f >= {percent} * n"), "id"), "members")
+        used.append(named)
+        candidates, rest = _pairs(named, percent, used)
+        rest = persist(rest, "rest")
+        near = persist(candidates.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near")
+        release(*used)
+        used = [rest]
         if near.take(1):
-            filled = near.join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").select("a", "b", "x", "y")
-            done = persist(filled.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "confirmed")
-            checked = done if checked is None else checked.unionByName(done)
-            new = done.where("linked").select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            if new.take(1):
-                if labels is not None and labels.inputFiles():
-                    release(labels)
-                labels = connected_components(links)
+            done = _confirmed(near, sets, percent)
+            checked = checked.unionByName(done)
+            joined = _joined(labels if found else None, done.where("linked").select("a", "b"))
+            found = joined is not None
+            labels = joined if found else labels
         release(near)
-        if shared is None:
-            release(sets)
-        if labels is None:
-            labels = docs.sparkSession.createDataFrame([], "node long, label long")
         if not rest.take(1):
-            release(*used, *([sets, shared] if shared is not None else []))
+            release(rest, sets, shared)
             return labels
+        end_round(docs.sparkSession)
 
 
 def _classified(docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -345,17 +392,18 @@ def near_duplicates(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """docs, all columns: of each group of near duplicates the row with the smallest doc_id."""
-    kept = persist(_classified(docs, percent, width).where("kept").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")), "kept")
-    marked = docs.withColumn("_kg_id", _own_id())
-    rows = marked.join(kept.select(F.col("id").alias("_kg_id"), F.col("rows").alias("_kg_rows"), F.col("n").alias("_kg_n")), "_kg_id")
-    columns = docs.columns
-    if not kept.where("rows > 1").take(1):
-        return rows.select(*columns)
+    """docs, all columns: of each group of near duplicates the row with the smallest doc_id. Rows that go are
+    fewer than rows that stay, so they are the side that joins; Spark broadcasts them while they are small."""
+    found = persist(_classified(docs, percent, width).groupBy("id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n")).where("not kept or rows > 1 and n > 0"), "found")
+    # the caller's columns are one struct: no name of theirs can meet one of ours
+    rows = docs.select(_own_id().alias("id"), F.struct("*").alias("row"))
+    stay = rows.join(found.where("not kept").select("id"), "id", "left_anti")
+    tied = found.where("kept").select("id")
+    if not tied.take(1):
+        return stay.select("row.*")
     # rows alike in doc_id and text: one with words stays for the group, all without words do
-    tied = rows.where("_kg_rows > 1")
-    one = tied.where("_kg_n > 0").dropDuplicates(["_kg_id"])
-    return rows.where("_kg_rows = 1").unionByName(one).unionByName(tied.where("_kg_n = 0")).select(*columns)
+    one = stay.join(tied, "id", "left_semi").dropDuplicates(["id"])
+    return stay.join(tied, "id", "left_anti").unionByName(one).select("row.*")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
