@@ -46,7 +46,9 @@ EFFORT = 300_000
 #: What one try of a filling counts as, in steps of the enumeration of fillings.
 TRY = 100
 #: Word forms whose ids a worker keeps; when full, it starts again.
-CACHE = 800_000
+CACHE = 1_000_000
+#: Word forms encoded at once: the tokenizer's answers are many times as large as the ids in them.
+ENCODED = 8192
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
@@ -63,10 +65,29 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.starts, self.lengths, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        # forms are known by two hashes (128 bits), in the order of the first: some 40 bytes a form
+        self.keys, self.checks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(4096, np.uint32), 0
 
     def _add(self, chunks: list[str]) -> None:
+        """Learn word forms that aren't known."""
+        coded = [self._coded(chunks[a : a + ENCODED]) for a in range(0, len(chunks), ENCODED)]
+        forms = [w for own, _, _ in coded for w in own]
+        new, flat = np.concatenate([x for _, x, _ in coded]), np.concatenate([x for _, _, x in coded])
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        keys, checks = self._hashes(forms)
+        order = np.argsort(keys, kind="stable")
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.checks = np.insert(self.keys, at, keys[order]), np.insert(self.checks, at, checks[order])
+        self.starts = np.insert(self.starts, at, (self.used + np.cumsum(new) - new)[order])
+        self.lengths = np.insert(self.lengths, at, new[order])
+        self.used += len(flat)
+
+    def _coded(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The forms in the order of their ids, how many ids each has, and the ids."""
         joined = [c for c in chunks if self.MARK not in c]
         single = [c for c in chunks if self.MARK in c]
         found: list[np.ndarray] = []
@@ -82,16 +103,26 @@ class WordIds:
         parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)] if single else []
         new = np.concatenate([lengths if joined else np.zeros(0, np.int64), np.array([len(p) for p in parts], np.int64)])
         flat = np.concatenate([*found, *parts]) if found or parts else np.zeros(0, np.uint32)
-        n, k = len(self.slots), len(new)
-        while n + k > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.starts[n : n + k] = self.used + np.cumsum(new) - new
-        self.lengths[n : n + k] = new
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.slots.update(zip(joined + single, range(n, n + k), strict=True))
+        return joined + single, new, flat
+
+    @staticmethod
+    def _hashes(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(map(hash, forms), np.int64, len(forms)), np.fromiter((hash(f"{w} ") for w in forms), np.int64, len(forms))
+
+    def _places(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Where each form is among those known, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        order = np.argsort(keys, kind="stable")
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.searchsorted(self.keys, keys[order])
+        at = np.minimum(at, len(self.keys) - 1)
+        for _ in range(4):  # forms that share the first hash stand side by side
+            right = (self.keys[at] == keys) & (self.checks[at] != checks) & (at + 1 < len(self.keys))
+            if not right.any():
+                break
+            at[right] += 1
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed with `end`, and where each text's ids begin (and the last end)."""
@@ -99,15 +130,19 @@ class WordIds:
         bounds = words.offsets.to_numpy().astype(np.int64)
         coded = words.flatten().dictionary_encode()
         forms = coded.dictionary.to_pylist()
-        if len(self.slots) + len(forms) > CACHE:
+        if len(self.keys) + len(forms) > CACHE:
             self.clear()
-        missing = [w for w in forms if w not in self.slots]
+        keys, checks = self._hashes(forms)
+        places = self._places(keys, checks)
+        missing = [forms[i] for i in np.flatnonzero(places < 0)]
         if missing:
             self._add(missing)
-        get = self.slots.__getitem__
-        slot = np.fromiter(map(get, forms), np.int64, len(forms))[coded.indices.to_numpy()] if forms else np.zeros(0, np.int64)
+            places = self._places(keys, checks)
+            if (places < 0).any():
+                raise ValueError("more word forms than can be told apart share a hash")
+        slot = places[coded.indices.to_numpy()] if forms else np.zeros(0, np.int64)
         bounds -= bounds[0]
-        lengths = self.lengths[slot]
+        lengths = self.lengths[slot].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         total = int(ends[-1])
         ids = self.ids[np.repeat(self.starts[slot] - ends[:-1], lengths) + np.arange(total)] if total else np.zeros(0, np.uint32)
@@ -123,7 +158,7 @@ def _cutter(path: str, capacity: int, end: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.setdefault(path, None) or _words.__setitem__(path, WordIds(path)) or _words[path]
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in arrow_slices(batches, "text"):
+        for batch in arrow_slices(batches, "text", 2 << 20):
             ids, bounds = words.encode(batch.column(1).cast(pa.string()), end)
             view = memoryview(ids.astype("<u4", copy=False)).cast("B")
             sizes = np.diff(bounds)
