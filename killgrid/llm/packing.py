@@ -65,20 +65,20 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        # forms are known by two hashes (128 bits), in the order of the first: some 40 bytes a form
+        # forms are known by a hash and by _ends (128 bits), in the order of the hash: some 40 bytes a form
         self.keys, self.checks = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(4096, np.uint32), 0
 
-    def _add(self, chunks: list[str]) -> None:
-        """Learn word forms that aren't known."""
+    def _add(self, chunks: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
+        """Learn word forms that aren't known, with their hashes."""
         coded = [self._coded(chunks[a : a + ENCODED]) for a in range(0, len(chunks), ENCODED)]
-        forms = [w for own, _, _ in coded for w in own]
+        own = np.concatenate([order + k * ENCODED for k, (order, _, _) in enumerate(coded)])
         new, flat = np.concatenate([x for _, x, _ in coded]), np.concatenate([x for _, _, x in coded])
+        keys, checks = keys[own], checks[own]
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
-        keys, checks = self._hashes(forms)
         order = np.argsort(keys, kind="stable")
         at = np.searchsorted(self.keys, keys[order])
         self.keys, self.checks = np.insert(self.keys, at, keys[order]), np.insert(self.checks, at, checks[order])
@@ -86,13 +86,13 @@ class WordIds:
         self.lengths = np.insert(self.lengths, at, new[order])
         self.used += len(flat)
 
-    def _coded(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The forms in the order of their ids, how many ids each has, and the ids."""
-        joined = [c for c in chunks if self.MARK not in c]
-        single = [c for c in chunks if self.MARK in c]
+    def _coded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the chunks in the order of their ids, how many ids each has, and the ids."""
+        joined = [i for i, c in enumerate(chunks) if self.MARK not in c]
+        single = [i for i, c in enumerate(chunks) if self.MARK in c]
         found: list[np.ndarray] = []
         if joined:
-            (e,) = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(joined)], add_special_tokens=False)
+            (e,) = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([chunks[i] for i in joined])], add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) == len(joined) - 1:
@@ -100,14 +100,27 @@ class WordIds:
                 found.append(ids[ids != self.mark])
             else:  # some other character became the mark: encode one by one
                 single, joined = joined + single, []
-        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)] if single else []
+        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([chunks[i] for i in single], add_special_tokens=False)] if single else []
         new = np.concatenate([lengths if joined else np.zeros(0, np.int64), np.array([len(p) for p in parts], np.int64)])
         flat = np.concatenate([*found, *parts]) if found or parts else np.zeros(0, np.uint32)
-        return joined + single, new, flat
+        return np.array(joined + single, np.int64), new, flat
 
     @staticmethod
-    def _hashes(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromiter(map(hash, forms), np.int64, len(forms)), np.fromiter((hash(f"{w} ") for w in forms), np.int64, len(forms))
+    def _ends(forms: pa.Array) -> np.ndarray:
+        """64 bits of each form's first and last eight bytes and its length."""
+        if not len(forms):
+            return np.zeros(0, np.int64)
+        offsets = np.frombuffer(forms.buffers()[1], np.int32)[forms.offset : forms.offset + len(forms) + 1].astype(np.int64)
+        data = np.zeros(int(offsets[-1]) + 8, np.uint8)
+        if raw := forms.buffers()[2]:
+            data[: int(offsets[-1])] = np.frombuffer(raw, np.uint8)[: int(offsets[-1])]
+        size = np.diff(offsets)
+        eights = np.lib.stride_tricks.sliding_window_view(data, 8)
+        mask = (~np.uint64(0)) >> ((8 - np.clip(size, 1, 8)).astype(np.uint64) * np.uint64(8))
+        read = lambda at: np.ascontiguousarray(eights[at]).view(np.uint64).ravel() & mask
+        first, last = read(offsets[:-1]), read(np.maximum(offsets[:-1], offsets[1:] - 8))
+        mixed = (first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (last ^ (last >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return ((mixed ^ (mixed >> np.uint64(30))) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
     def _places(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Where each form is among those known, or -1."""
@@ -132,11 +145,11 @@ class WordIds:
         forms = coded.dictionary.to_pylist()
         if len(self.keys) + len(forms) > CACHE:
             self.clear()
-        keys, checks = self._hashes(forms)
+        keys, checks = np.fromiter(map(hash, forms), np.int64, len(forms)), self._ends(coded.dictionary)
         places = self._places(keys, checks)
-        missing = [forms[i] for i in np.flatnonzero(places < 0)]
-        if missing:
-            self._add(missing)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            self._add([forms[i] for i in missing.tolist()], keys[missing], checks[missing])
             places = self._places(keys, checks)
             if (places < 0).any():
                 raise ValueError("more word forms than can be told apart share a hash")
@@ -158,7 +171,7 @@ def _cutter(path: str, capacity: int, end: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.setdefault(path, None) or _words.__setitem__(path, WordIds(path)) or _words[path]
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in arrow_slices(batches, "text", 2 << 20):
+        for batch in arrow_slices(batches, "text"):
             ids, bounds = words.encode(batch.column(1).cast(pa.string()), end)
             view = memoryview(ids.astype("<u4", copy=False)).cast("B")
             sizes = np.diff(bounds)
