@@ -18,19 +18,22 @@ import subprocess
 import sys
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What each operator changes into what.
 _FLIPS = {ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.Lt: ast.Gt, ast.Gt: ast.Lt, ast.LtE: ast.GtE, ast.GtE: ast.LtE}
 _BOUNDS = {ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt}
 _MEMBER = {ast.In: ast.NotIn, ast.NotIn: ast.In}
 _IDENTITY = {ast.Is: ast.IsNot, ast.IsNot: ast.Is}
 _ARITH = {ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.Div, ast.Div: ast.Mult, ast.FloorDiv: ast.Div, ast.Mod: ast.Mult, ast.Pow: ast.Mult}
 _BOOL = {ast.And: ast.Or, ast.Or: ast.And}
-MUTANTS = "problem_id string, mutant_id string, operator string, line int, mutated_source string"
+MUTANTS = "problem_id string, mutant_id string, operator string, line int, mutated_source string, node_type string, parent_type string, description string"
 _FORBIDDEN_CALLS = {"eval", "exec", "compile"}
 _FORBIDDEN_ATTRS = {"__code__", "__dict__", "__globals__", "__module__"}
 
@@ -51,7 +54,7 @@ def _edits(node: ast.AST):
             for name, t in (("COMPARISON_FLIP", _FLIPS), ("BOUNDARY_SHIFT", _BOUNDS), ("MEMBERSHIP_FLIP", _MEMBER), ("IDENTITY_FLIP", _IDENTITY)):
                 if type(op) in t:
                     yield swapped(name, t, i)
-    elif isinstance(node, ast.BinOp | ast.AugAssign) and type(node.op) in _ARITH:
+    elif isinstance(node, ast.BinOp) and type(node.op) in _ARITH:
         yield "ARITHMETIC_FLIP", lambda n: setattr(n, "op", _ARITH[type(n.op)]())
     elif isinstance(node, ast.BoolOp):
         yield "BOOLEAN_FLIP", lambda n: setattr(n, "op", _BOOL[type(n.op)]())
@@ -86,37 +89,61 @@ def _edits(node: ast.AST):
                         yield "RANGE_BOUNDARY", lambda n, k=i, d=step: n.args.__setitem__(k, ast.Constant(n.args[k].value + d))
 
 
-def mutate(source: str, most: int = 25) -> list[tuple[str, int, str]]:
-    """(operator, line, mutated source) of evenly spaced sites, without repeats; nothing for what doesn't parse."""
+def _preorder(node: ast.AST, parent: ast.AST | None = None) -> Iterator[tuple[ast.AST, ast.AST | None]]:
+    """A node, then what is below it, child by child; each with its parent."""
+    stack = [(node, parent)]
+    while stack:
+        own, above = stack.pop()
+        yield own, above
+        stack += [(child, own) for child in reversed(list(ast.iter_child_nodes(own)))]
+
+
+@dataclass(frozen=True)
+class Mutant:
+    """ordinal: place among the sites chosen, counted before repeats go."""
+
+    ordinal: int
+    operator: str
+    line: int
+    text: str
+    node_type: str
+    parent_type: str
+    description: str
+
+    def id_of(self, problem_id: str) -> str:
+        return f"{problem_id.replace('/', '_')}:m{self.ordinal:03d}:{self.operator}:{hashlib.sha1(self.text.encode()).hexdigest()[:10]}"
+
+
+def mutate(source: str, most: int = 25) -> list[Mutant]:
+    """Mutants of evenly spaced sites in pre-order, without repeats; nothing for what doesn't parse."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError):
         return []
-    sites = [(i, k, name) for i, node in enumerate(ast.walk(tree)) for k, (name, _) in enumerate(_edits(node))]
+    sites = [(i, k, name) for i, (node, _) in enumerate(_preorder(tree)) for k, (name, _) in enumerate(_edits(node))]
     if len(sites) > most:
         sites = [sites[int(j * len(sites) / most)] for j in range(most)]
-    out, seen = [], {ast.unparse(tree)}
-    for i, k, name in sites:
+    out: dict[str, Mutant] = {}
+    for ordinal, (i, k, name) in enumerate(sites):
         changed = copy.deepcopy(tree)
-        node = next(n for j, n in enumerate(ast.walk(changed)) if j == i)
+        node, parent = next(islice(_preorder(changed), i, None))
+        before = ast.unparse(node) if not isinstance(node, ast.stmt) else type(node).__name__
         list(_edits(node))[k][1](node)
         try:
             text = ast.unparse(ast.fix_missing_locations(changed))
             compile(text, "<mutant>", "exec")
         except (SyntaxError, ValueError):
             continue
-        if text not in seen:
-            seen.add(text)
-            out.append((name, getattr(node, "lineno", 0), text))
-    return out
+        out.setdefault(text, Mutant(ordinal, name, getattr(node, "lineno", 0), text, type(node).__name__, type(parent).__name__, f"{name} of {before}"[:200]))
+    return list(out.values())
 
 
 def mutants(tasks: DataFrame, most: int = 25) -> DataFrame:
     """One row per mutant of tasks (problem_id, source)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, f"{p}:m{i:03d}:{op}:{hashlib.sha1(text.encode()).hexdigest()[:10]}", op, line, text) for p, s in zip(frame["problem_id"], frame["source"], strict=True) for i, (op, line, text) in enumerate(mutate(s or "", most))]
-            yield pd.DataFrame(rows, columns=["problem_id", "mutant_id", "operator", "line", "mutated_source"])
+            rows = [(p, m.id_of(p), m.operator, m.line, m.text, m.node_type, m.parent_type, m.description) for p, s in zip(frame["problem_id"], frame["source"], strict=True) for m in mutate(s or "", most)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MUTANTS.split(", ")])
 
     return tasks.select("problem_id", "source").mapInPandas(run, MUTANTS)
 
@@ -186,23 +213,25 @@ def kill_matrix(outcomes: DataFrame) -> DataFrame:
 
 
 def check_contract(text: str) -> str:
-    """'' for a usable check, else what is wrong with it."""
+    """'' for a usable check, else the first thing that is wrong with it."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError):
         return "syntax error"
-    found = [n for n in tree.body if isinstance(n, ast.FunctionDef) and n.name == "check"]
-    if len(found) != 1 or [a.arg for a in found[0].args.args] != ["candidate"]:
+    found = [n for n in tree.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) and n.name == "check"]
+    takes = found[0].args if len(found) == 1 else None
+    if not takes or [a.arg for a in (*takes.posonlyargs, *takes.args)] != ["candidate"] or takes.vararg or takes.kwarg:
         return "exactly one check(candidate) is needed"
     nodes = list(ast.walk(found[0]))
-    calls = [n for n in nodes if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
-    if not any(n.func.id == "candidate" for n in calls):
+    calls = [n.func.id for n in nodes if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
+    if "candidate" not in calls:
         return "candidate is never called"
     if not any(isinstance(n, ast.Assert) for n in nodes):
         return "no assert"
-    if any(n.func.id in _FORBIDDEN_CALLS for n in calls):
+    if _FORBIDDEN_CALLS.intersection(calls):
         return "forbidden call"
-    if any(isinstance(n, ast.Attribute) and n.attr in _FORBIDDEN_ATTRS for n in nodes):
+    of_candidate = {n.attr for n in nodes if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == "candidate"}
+    if _FORBIDDEN_ATTRS & of_candidate:
         return "forbidden attribute"
     return ""
 

@@ -11,7 +11,6 @@ as empty; repeated tasks run repeatedly; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -147,7 +146,7 @@ def run_layers(tasks: DataFrame, layers: list[Layer], most: int = 25, seconds: f
         calls = {name: make() for name, make in factories.items()}
         for frame in frames:
             for pid, task, source, entry in zip(frame["problem_id"], frame["prompt"], frame["source"], frame["entry"], strict=True):
-                made = [(f"{pid}:m{i:03d}:{op}:{hashlib.sha1(text.encode()).hexdigest()[:10]}", op, line, text) for i, (op, line, text) in enumerate(mutate(source or "", most))]
+                made = [(m.id_of(pid), m.operator, m.line, m.text) for m in mutate(source or "", most)]
                 states: dict[str, _State] = {}
                 rows: list[tuple] = []
                 for layer in layers:

@@ -54,8 +54,12 @@ query("first_plateau", f"{_PLATEAU} SELECT user_id, min(it) AS first_it FROM s W
 query("first_final", f"WITH {_SEQ}, {_CUM}, m AS (SELECT *, max(kills) OVER (PARTITION BY user_id) AS final FROM c) SELECT user_id, cast(max(final) AS bigint) AS final, min(CASE WHEN kills = final THEN it END) AS first_it FROM m GROUP BY user_id")
 query("budget_lookup", f"WITH {_SEQ}, {_CUM} SELECT c.user_id, b.budget, cast(coalesce(max(CASE WHEN c.tokens <= b.budget THEN c.kills END), 0) AS bigint) AS best FROM c CROSS JOIN (VALUES (100), (500), (1000)) b(budget) GROUP BY c.user_id, b.budget")
 query("two_errors", f"WITH {_SEQ}, l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY it) AS before FROM a) SELECT user_id, min(it) AS stop_it FROM l WHERE event_type = 'error' AND before = 'error' GROUP BY user_id")
-query("stop_reason", f"""{_PLATEAU}, p AS (SELECT user_id, max(streak) AS streak, sum(gain) AS gains, count(*) AS n FROM s GROUP BY user_id)
-SELECT user_id, CASE WHEN gains = n THEN 'zero_survivors' WHEN streak >= 3 THEN 'plateau' ELSE 'budget_exhausted' END AS reason FROM p""")
+# the order of the reasons counts; streaks are those an attempt sequence ends with; failed calls neither gain nor end a streak
+query("stop_reason", f"""{_PLATEAU}, e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY it DESC) AS back FROM a),
+ f AS (SELECT user_id, sum(gain) AS gains, count(*) AS n, count_if(back <= 2 AND event_type = 'error') AS failed FROM e GROUP BY user_id),
+ z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY it DESC) AS back FROM s)
+SELECT f.user_id, CASE WHEN gains = n THEN 'zero_survivors' WHEN z.streak >= 3 THEN 'plateau' WHEN failed = 2 THEN 'consecutive_infrastructure_errors' ELSE 'budget_exhausted' END AS reason
+ FROM f LEFT JOIN z ON f.user_id = z.user_id AND z.back = 1""")
 query("last_n_attempts", f"WITH {_SEQ}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY it DESC) AS back FROM a) SELECT user_id, event_id, it FROM r WHERE back <= 3")
 query("attempt_history", """SELECT user_id, count(*) AS attempts, count_if(event_type = 'error') AS infra_errors, count_if(event_type <> 'error') AS strategy_attempts, count_if(event_type = 'purchase') AS productive FROM {events} GROUP BY user_id""")
 # --- confusion and sets ---------------------------------------------------------
@@ -136,8 +140,17 @@ query("subset_norm", "SELECT DISTINCT c_mktsegment AS raw, @replace_all(replace(
 query("unique_id", "SELECT c_custkey, concat('Set_', lower(c_mktsegment), '/', split_part(c_name, '#', 2)) AS id FROM {customer}")
 query("parent_id", "SELECT s_suppkey, CASE WHEN regexp_extract(s_name, '#0*([0-9]+)$', 1) <> '' THEN concat('Base/', regexp_extract(s_name, '#0*([0-9]+)$', 1)) ELSE '' END AS parent FROM {supplier}")
 query("safe_id", "SELECT p_partkey, trim(BOTH '_' FROM regexp_replace(p_type, '[^A-Za-z0-9_.-]+', '_')) AS safe FROM {part}", "SELECT p_partkey, trim(regexp_replace(p_type, '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe FROM part")
-query("failure_category", "SELECT event_type, CASE WHEN lower(event_type) LIKE '%error%' THEN 'api' WHEN lower(event_type) LIKE '%click%' THEN 'syntax' ELSE 'other' END AS category, count(*) AS n FROM {events} GROUP BY event_type")
-query("provider_infer", "SELECT p_partkey, CASE WHEN p_name LIKE 'g%' THEN 'gemini' WHEN p_name LIKE 'b%' THEN 'openai' ELSE 'hf' END AS provider FROM {part}")
+#: Categories of rejected checks by what the message holds, the first that fits counting.
+_CATEGORIES = (("no check(candidate)", "NO_CHECK_FUNCTION_EXTRACTED"), ("syntax error", "SYNTAX_ERROR"), ("never calls candidate", "NO_CANDIDATE_CALL"), ("contains no assert", "NO_ASSERTION"), ("unproductive", "VALID_ZERO_KILL"), ("zero active mutants", "VALID_ZERO_KILL"), ("timeout", "CANONICAL_TIMEOUT"), ("forbidden", "FORBIDDEN_INTROSPECTION"), ("introspection", "FORBIDDEN_INTROSPECTION"))
+_MESSAGES = "CASE event_id % 12 " + " ".join(f"WHEN {i} THEN 'Found: {text.upper()} at line 1'" for i, (text, _) in enumerate(_CATEGORIES)) + " WHEN 9 THEN 'ZeroDivisionError, timeout of syntax error' WHEN 10 THEN 'ValueError: bad' ELSE '' END"
+query("failure_category", f"""WITH m AS (SELECT event_id, {_MESSAGES} AS message, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'def check(candidate): pass' END AS test FROM {{events}})
+SELECT event_id, CASE WHEN trim(test) = '' THEN '{_CATEGORIES[0][1]}' {" ".join(f"WHEN position('{text}' IN lower(message)) > 0 THEN '{name}'" for text, name in _CATEGORIES)}
+ WHEN message <> '' THEN 'CANONICAL_EXECUTION_FAILURE' ELSE 'NONE' END AS category FROM m""")
+#: Providers by a model name's beginning.
+_MODELS = ("gemini-2.5-pro", "GPT-5-mini", "o1", "o3-mini", "o4-mini", "ft:abc", "mock-1", "org/model-3b", "other")
+query("provider_infer", f"""WITH m AS (SELECT p_partkey, CASE p_partkey % {len(_MODELS)} {" ".join(f"WHEN {i} THEN ' {name} '" for i, name in enumerate(_MODELS))} END AS raw FROM {{part}}),
+ c AS (SELECT p_partkey, trim(raw) AS model, lower(trim(raw)) AS name FROM m WHERE trim(raw) <> '' AND trim(raw) NOT LIKE '<%' AND trim(raw) NOT LIKE '%>')
+SELECT p_partkey, model, CASE WHEN name LIKE 'gemini%' THEN 'gemini' WHEN name LIKE 'gpt-%' OR name LIKE 'o1%' OR name LIKE 'o3%' OR name LIKE 'o4%' OR name LIKE 'ft:%' THEN 'openai' WHEN name LIKE 'mock%' THEN 'mock' WHEN model LIKE '%/%' THEN 'hf' ELSE 'openai' END AS provider FROM c""")
 query("bounded_text", "SELECT c_custkey, CASE WHEN length(c_name) <= 12 THEN c_name ELSE concat(substr(c_name, 1, 5), '...', substr(c_name, length(c_name) - 3, 4)) END AS bounded FROM {customer}")
 query("guarded_ratios", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN round(l_tax / l_discount, 4) ELSE 0 END AS ratio FROM {lineitem}")
 query("value_for_type", "SELECT DISTINCT p_type, CASE WHEN lower(p_type) LIKE '%steel%' THEN '[]' WHEN lower(p_type) LIKE '%brass%' THEN '{}' WHEN lower(p_type) LIKE '%tin%' THEN '0' ELSE 'None' END AS val FROM {part}".replace("'{}'", "'()'"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code
-from ..operators import mutation, rounds
+from ..operators import mutation, probes, rounds
 
 _TASKS = [
     ("add", "def add(a, b):\n    if a > b and b != 0:\n        return a + b * 2\n    return a - b\n", "def check(candidate):\n    assert candidate(3, 1) == 5\n    assert candidate(1, 2) == -1\n"),
@@ -63,5 +63,40 @@ def mutant_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("problem_id", "diff").agg(F.min_by("operator", "mutant_id").alias("operator"), F.min("mutant_id").alias("mutant_id"))
 
 
+#: Prompts of _TASKS, for probes: a doctest, a literal example, annotations only.
+_PROMPTS = [
+    ("add", "def add(a, b):\n    >>> add(3, 1) == 5\n    True\n    For example add(1, 2) is -1.\n"),
+    ("total", "Sum a list: total([1, 2, 3]) gives 6, total([]) gives 0.\n"),
+    ("head", "def head(xs: list[int], n: int = 2) -> list[int]:\n"),
+]
+
+
+def _with_prompts(spark: SparkSession) -> DataFrame:
+    prompts = spark.createDataFrame(_PROMPTS, "problem_id string, prompt string")
+    return _tasks(spark).join(prompts, "problem_id").withColumn("entry", F.col("problem_id"))
+
+
+def probe_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.build_probes(_with_prompts(spark))
+
+
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each mutant does on its task's probes."""
+    tasks = _with_prompts(spark)
+    return probes.signatures(tasks, mutation.mutants(tasks))
+
+
+def mutant_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real mutants all the way: probes, signatures, features, Ward clusters, representatives."""
+    tasks = _with_prompts(spark)
+    made = mutation.mutants(tasks)
+    return probes.representatives(probes.features(made.join(probes.signatures(tasks, made), ["problem_id", "mutant_id"])))
+
+
+def static_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = _tasks(spark).select("problem_id", "source").unionByName(spark.createDataFrame([("largest", "def largest(a, b):\n    return max(a, b) + pow(a, b)\n")], "problem_id string, source string"))
+    return probes.mark_equivalents(mutation.mutants(tasks).join(tasks, "problem_id"))
+
+
 def queries() -> dict:
-    return {"ast_mutants": ast_mutants, "sandbox_eval": sandbox_eval, "contract_check": contract_check, "ward_clusters": ward_clusters, "mock_round": mock_round, "extract_check": extract_check, "mutant_diffs": mutant_diffs}
+    return {"probe_build": probe_build, "signatures": signatures, "mutant_clusters": mutant_clusters, "static_equivalents": static_equivalents, "ast_mutants": ast_mutants, "sandbox_eval": sandbox_eval, "contract_check": contract_check, "ward_clusters": ward_clusters, "mock_round": mock_round, "extract_check": extract_check, "mutant_diffs": mutant_diffs}

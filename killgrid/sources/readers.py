@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,12 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     if end == "json":
         rows = spark.read.json(path, multiLine=True, mode="FAILFAST")
         inner = [c for c in ("data", "tasks", "problems") if c in rows.columns]
-        return rows.select(F.explode(inner[0]).alias("_kg_row")).select("_kg_row.*") if inner else rows
+        if not inner:
+            return rows
+        # a row's first wrapper that isn't null counts; a document may hold another than its neighbour
+        parts = [rows.where(" and ".join([f"{x} is null" for x in inner[:i]] + [f"{c} is not null"])).select(F.explode(c).alias("row")).select("row.*") for i, c in enumerate(inner)]
+        bare = rows.where(" and ".join(f"{c} is null" for c in inner)).drop(*inner)
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, bare] if bare.columns else parts)
     raise ValueError(f"no reader for {path}")
 
 
@@ -44,9 +51,10 @@ def repeated_ids(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("task_id").count().where("count > 1")
 
 
-def write_union_csv(frames: list[DataFrame], path: str) -> None:
-    """One CSV whose header is the sorted union of all columns."""
+def write_union_csv(frames: list[DataFrame], path: str, one_file: bool = False) -> None:
+    """CSV files whose header is the sorted union of all columns; one file, written by one task, only on request."""
     whole = frames[0]
     for f in frames[1:]:
         whole = whole.unionByName(f, allowMissingColumns=True)
-    whole.select(*sorted(whole.columns)).coalesce(1).write.csv(path, header=True, mode="overwrite")
+    rows = whole.select(*sorted(whole.columns))
+    (rows.coalesce(1) if one_file else rows).write.csv(path, header=True, mode="overwrite")
