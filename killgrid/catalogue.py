@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics, custom, registry, vectors  # noqa: F401  analytics and vectors register their statements
+from .plans import analytics, custom, ordered, registry, vectors  # noqa: F401  these register their queries
 
 
 def queries() -> dict:

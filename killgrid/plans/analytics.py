@@ -103,14 +103,10 @@ SELECT round(avg(m), 4) AS mean, round(@quantile(m, cast(0.025 AS double)), 4) A
 query("clustered_ci", _CLUS % _REP, _CLUS % _REP_O)
 # --- sampling -------------------------------------------------------------------------
 query("first_n", "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 50")
-query("index_range", "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM {customer}) t WHERE i >= 10 AND i < 60")
 query("random_sample", "SELECT c_custkey FROM {customer} ORDER BY @md5(concat(cast(c_custkey AS @text), '-42')), c_custkey LIMIT 50")
-query("percent_sample", "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i, count(*) OVER () AS n FROM {customer}) t WHERE i <= greatest(1, ceil(n * cast(0.1 AS double)))")
-query("even_downsample", "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM {customer}) t WHERE n <= 25 OR i = floor(ceil(i * 25 / cast(n AS double)) * n / 25)")
 query("stratified_sample", """WITH x AS (SELECT c_custkey, coalesce(nullif(c_mktsegment, ''), 'unknown') AS k, row_number() OVER (PARTITION BY coalesce(nullif(c_mktsegment, ''), 'unknown') ORDER BY @md5(concat(cast(c_custkey AS @text), '-42')), c_custkey) AS r FROM {customer}),
  s AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS nk FROM (SELECT DISTINCT k FROM x) d)
 SELECT x.c_custkey, x.k FROM x JOIN s ON s.k = x.k WHERE x.r <= floor(102 / s.nk) + CASE WHEN s.pos < 102 % s.nk THEN 1 ELSE 0 END""")
-query("selected_index", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS selection_index FROM {customer}")
 query("manifest", "SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS subsets, min(c_custkey) AS lo, max(c_custkey) AS hi FROM {customer}")
 # --- predicates as mutants: rows of lineitem are the tests ------------------------------
 query("predicate_mutants", """SELECT m.operator, count(*) AS tests, count_if((CASE m.operator
@@ -131,9 +127,7 @@ query("entropy_score", """WITH n AS (SELECT user_id, CASE event_type WHEN 'purch
  p AS (SELECT user_id, code, cast(c AS double) / sum(c) OVER (PARTITION BY user_id) AS p FROM n), s AS (SELECT user_id, -sum(p * ln(p)) / ln(cast(3 AS double)) AS h, sum(CASE WHEN code <> 0 THEN p ELSE 0 END) AS d FROM p GROUP BY user_id)
 SELECT user_id, round(h, 4) AS entropy, round(d, 4) AS diff_rate, round(cast(0.7 AS double) * h + cast(0.3 AS double) * d, 4) AS information FROM s""")
 # --- plots' data -------------------------------------------------------------------------------
-query("box_stats", "SELECT l_returnflag AS method, round(@quantile(l_extendedprice, cast(0.25 AS double)), 4) AS q1, round(@quantile(l_extendedprice, cast(0.5 AS double)), 4) AS q2, round(@quantile(l_extendedprice, cast(0.75 AS double)), 4) AS q3, round(avg(l_extendedprice), 4) AS mean FROM {lineitem} GROUP BY l_returnflag")
 query("histogram", """WITH b AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem}) SELECT cast(least(11, floor((l_quantity - lo) / (hi - lo) * 12)) AS bigint) AS bin, count(*) AS n FROM {lineitem} CROSS JOIN b GROUP BY cast(least(11, floor((l_quantity - lo) / (hi - lo) * 12)) AS bigint)""")
-query("sorted_delta", "SELECT o_orderkey AS id, round(delta, 2) AS delta, row_number() OVER (ORDER BY delta, o_orderkey) AS rank FROM (SELECT o_orderkey, o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority) AS delta FROM {orders}) t")
 # --- scalar functions -----------------------------------------------------------------------------
 query("jsonish", "SELECT event_id, coalesce(@json(props, '$.k'), '') AS k FROM {events}")
 query("subset_norm", "SELECT DISTINCT c_mktsegment AS raw, @replace_all(replace(replace(lower(trim(c_mktsegment)), '-', '_'), ' ', '_'), '^evoeval_', '') AS norm FROM {customer}")

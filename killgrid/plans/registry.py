@@ -24,6 +24,7 @@ DIALECT = {
 _DISTANCE = re.compile(r"@distance\(([^;]+); ([^)]+)\)")
 _DISTANCES = (r"sqrt(aggregate(zip_with(\1, \2, (u, v) -> (u - v) * (u - v)), cast(0 AS double), (s, u) -> s + u))", r"list_distance(\1, \2)")
 _statements: dict[str, tuple[str, str]] = {}
+_built: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
 
 def _closing(sql: str, at: int) -> int:
@@ -59,6 +60,11 @@ def query(name: str, sql: str, oracle: str | None = None) -> None:
     _statements[name] = spark, twin.replace("regexp_replace_all(", "regexp_replace(")
 
 
+def dataframe_query(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str) -> None:
+    """Register a query that is built with DataFrame functions, with an oracle written apart from it."""
+    _built[name] = run, oracle
+
+
 def _runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         statement = _statements[name][0]
@@ -72,8 +78,8 @@ def _runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _runner(name) for name in _statements}
+    return {name: _runner(name) for name in _statements} | {name: run for name, (run, _) in _built.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: twin.replace("{", "").replace("}", "") for name, (_, twin) in _statements.items()}
+    return {name: twin.replace("{", "").replace("}", "") for name, (_, twin) in _statements.items()} | {name: sql for name, (_, sql) in _built.items()}
