@@ -65,8 +65,9 @@ class DigestIndex:
         return self.spark.table(self.name + which) if self.exists(which) else self.spark.createDataFrame([], shape)
 
     def _append(self, rows: DataFrame, which: str) -> None:
-        # one writer task per bucket, so that each bucket is one sorted file of this batch
-        writer = rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
+        # dealt by bucket number, so that each bucket is one sorted file of this batch whatever the number of tasks
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        writer = rows.repartition(4 * self.buckets, bucket).write.bucketBy(self.buckets, "digest").sortBy("digest")
         writer.format("parquet").mode("append").option("path", f"{self.path}/{which or 'digests'}").saveAsTable(self.name + which)
 
     def add(self, batch: DataFrame) -> None:
