@@ -116,7 +116,7 @@ class WordIds:
             data[: int(offsets[-1])] = np.frombuffer(raw, np.uint8)[: int(offsets[-1])]
         size = np.diff(offsets)
         eights = np.lib.stride_tricks.sliding_window_view(data, 8)
-        mask = (~np.uint64(0)) >> ((8 - np.clip(size, 1, 8)).astype(np.uint64) * np.uint64(8))
+        mask = np.where(size > 0, (~np.uint64(0)) >> ((8 - np.clip(size, 1, 8)).astype(np.uint64) * np.uint64(8)), np.uint64(0))
         read = lambda at: np.ascontiguousarray(eights[at]).view(np.uint64).ravel() & mask
         first, last = read(offsets[:-1]), read(np.maximum(offsets[:-1], offsets[1:] - 8))
         mixed = (first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (last ^ (last >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -96,6 +97,19 @@ def test_pieces_are_the_tokenizers(spark):
     assert len(places) == -(-total // 4096)
 
 
+def test_hostile_strings_tokenise_as_the_tokenizer_does():
+    """Marks, cases, white space of every kind, special tokens and letters whose cases compose differently, slice after slice."""
+    random.seed(3)
+    parts = ["a", "B", "z", "0", "9", ".", ",", ";", "'s", "'S", "!", "?", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "  ", "\t", "\n", "\u00c9", "e\u0301", "H\u0331", "\u212a", "\u0130", "\u00df", "\u03a3", "\u4e2d", "\u00a0", "\u0085", "\x1c", "-", "don't", "WE'LL", "A.", "b!?", "x.:", ":", "\u200d", "\U0001f600", ""]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, tokenizer = packing.WordIds(path), Tokenizer.from_file(path)
+    for _ in range(20):
+        texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(300)] + [None]
+        ids, bounds = words.encode(pa.array(texts), 1)
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
 def test_other_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b", 5, "x", 2), (None, None, 6, "y", 3)], "doc_id long, text string, Length int, Rank string, part int")
     assert {(r.doc_id, r.length) for r in packing.pack(docs, capacity=16).collect()} == {(1, 3), (None, 1)}
