@@ -62,6 +62,10 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        upper, normal, pre = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.lowers = normal is not None and normal.normalize_str(upper) == upper.lower()
+        alone = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?" if pre and all([w for w, _ in pre.pre_tokenize_str(c + m)] == [c, m] for c in "az09")}
+        self.tails = {m: ids[0] for m, ids in alone.items() if len(ids) == 1}
         self.clear()
 
     def clear(self) -> None:
@@ -70,21 +74,47 @@ class WordIds:
         self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(4096, np.uint32), 0
 
-    def _add(self, chunks: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
-        """Learn word forms that aren't known, with their hashes."""
-        coded = [self._coded(chunks[a : a + ENCODED]) for a in range(0, len(chunks), ENCODED)]
-        own = np.concatenate([order + k * ENCODED for k, (order, _, _) in enumerate(coded)])
-        new, flat = np.concatenate([x for _, x, _ in coded]), np.concatenate([x for _, _, x in coded])
-        keys, checks = keys[own], checks[own]
+    def _add(self, forms: pa.Array, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Learn word forms that aren't known, with their hashes: first their bodies, then what differs from its body."""
+        bodies, tails = self._bodies(forms)
+        other = ~pc.equal(bodies, forms).to_numpy(zero_copy_only=False)
+        bodies = bodies.dictionary_encode()
+        chunks = bodies.dictionary.to_pylist()
+        body_keys, body_checks = np.fromiter(map(hash, chunks), np.int64, len(chunks)), self._ends(bodies.dictionary)
+        missing = np.flatnonzero(self._places(body_keys, body_checks) < 0)
+        if len(missing):
+            self._encode([chunks[i] for i in missing.tolist()], body_keys[missing], body_checks[missing])
+        places = self._places(body_keys, body_checks)[bodies.indices.to_numpy()[other]]
+        keys, checks, tails = keys[other], checks[other], tails[other]
+        starts, lengths, closed = self.starts[places].astype(np.int64), self.lengths[places].astype(np.int64), tails >= 0
+        # a form that ends in a mark has the ids of its body and the mark's, once more; the others share their body's
+        size = lengths[closed]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(starts[closed] - ends + size, size) + np.arange(int(size.sum()))]
+        lengths[closed] += 1
+        starts[closed] = self._append(np.insert(flat, ends, tails[closed].astype(np.uint32))) + ends - size + np.arange(len(ends))
+        self._insert(keys, checks, starts, lengths)
+
+    def _append(self, flat: np.ndarray) -> int:
+        """Where the ids begin among all ids kept."""
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return self.used - len(flat)
+
+    def _insert(self, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         order = np.argsort(keys, kind="stable")
         at = np.searchsorted(self.keys, keys[order])
         self.keys, self.checks = np.insert(self.keys, at, keys[order]), np.insert(self.checks, at, checks[order])
-        self.starts = np.insert(self.starts, at, (self.used + np.cumsum(new) - new)[order])
-        self.lengths = np.insert(self.lengths, at, new[order])
-        self.used += len(flat)
+        self.starts, self.lengths = np.insert(self.starts, at, starts[order]), np.insert(self.lengths, at, lengths[order])
+
+    def _encode(self, chunks: list[str], keys: np.ndarray, checks: np.ndarray) -> None:
+        """Learn word forms by the tokenizer."""
+        coded = [self._coded(chunks[a : a + ENCODED]) for a in range(0, len(chunks), ENCODED)]
+        own = np.concatenate([order + k * ENCODED for k, (order, _, _) in enumerate(coded)])
+        new, flat = np.concatenate([x for _, x, _ in coded]), np.concatenate([x for _, _, x in coded])
+        self._insert(keys[own], checks[own], self._append(flat) + np.cumsum(new) - new, new)
 
     def _coded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places of the chunks in the order of their ids, how many ids each has, and the ids."""
@@ -105,6 +135,18 @@ class WordIds:
         flat = np.concatenate([*found, *parts]) if found or parts else np.zeros(0, np.uint32)
         return np.array(joined + single, np.int64), new, flat
 
+    def _bodies(self, forms: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """What has to be encoded of each form, and the id of the mark cut from its end or -1: forms that differ
+        in case or in a closing mark only share a body. Others than ASCII are left as they are, as are special tokens."""
+        plain = pc.and_(pc.string_is_ascii(forms), pc.invert(pc.match_substring(forms, "<|")))
+        if self.lowers:
+            forms = pc.if_else(plain, pc.ascii_lower(forms), forms)
+        tails = np.full(len(forms), -1, np.int64)
+        for mark, own in self.tails.items():
+            closed = pc.and_(plain, pc.match_substring_regex(forms, f"[A-Za-z0-9][{mark}]$"))
+            tails[closed.to_numpy(zero_copy_only=False)] = own
+        return pc.if_else(pa.array(tails >= 0), pc.utf8_slice_codeunits(forms, 0, -1), forms), tails
+
     @staticmethod
     def _ends(forms: pa.Array) -> np.ndarray:
         """64 bits of each form's first and last eight bytes and its length."""
@@ -149,7 +191,7 @@ class WordIds:
         places = self._places(keys, checks)
         missing = np.flatnonzero(places < 0)
         if len(missing):
-            self._add([forms[i] for i in missing.tolist()], keys[missing], checks[missing])
+            self._add(coded.dictionary.take(pa.array(missing)), keys[missing], checks[missing])
             places = self._places(keys, checks)
             if (places < 0).any():
                 raise ValueError("more word forms than can be told apart share a hash")
@@ -167,9 +209,17 @@ class WordIds:
 _words: dict[str, WordIds] = {}
 
 
+def _known(path: str) -> WordIds:
+    """This worker's word forms. Named by the function a task gets, not its variable, which would be copied with it:
+    what one task has learnt serves the next."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
+
+
 def _cutter(path: str, capacity: int, end: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words.setdefault(path, None) or _words.__setitem__(path, WordIds(path)) or _words[path]
+        words = _known(path)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in arrow_slices(batches, "text"):
             ids, bounds = words.encode(batch.column(1).cast(pa.string()), end)
