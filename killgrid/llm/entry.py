@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, divergence, exact_dedup, fingerprint, html_extract, language_id, mixing, near_dedup, packing, quality, suffix_dedup
+from . import chat_format, divergence, exact_dedup, fingerprint, html_extract, language_id, license_scan, mixing, near_dedup, packing, periodic_runs, quality, suffix_dedup
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_license_scan": license_scan.op11_license_scan,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
         "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op13_divergence": divergence.OP13_SQL}
+    return {"op5_chat_format": chat_format.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op11_license_scan": license_scan.OP11_SQL, "op13_divergence": divergence.OP13_SQL}
