@@ -78,14 +78,7 @@ query("dedup_first", "SELECT id, brand FROM (SELECT p_partkey AS id, p_brand AS
 query("shard_first_wins", "SELECT id, shard FROM (SELECT id, shard, row_number() OVER (PARTITION BY id ORDER BY shard) AS r FROM (SELECT c_custkey AS id, 0 AS shard FROM {customer} WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 1 FROM {customer}) u) t WHERE r = 1")
 # --- paired statistics -------------------------------------------------------------
 _DIFF = "d AS (SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN value WHEN event_type = 'click' THEN -value ELSE 0 END), 6) AS d, count(*) AS w FROM {events} GROUP BY user_id)"
-query("effect_sizes", f"""WITH {_DIFF}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / cast(2 AS double) AS rk FROM d WHERE abs(d) > cast(1e-12 AS double))
-SELECT (SELECT CASE WHEN count(*) >= 2 AND stddev_samp(d) > cast(1e-12 AS double) THEN round(avg(d) / stddev_samp(d), 6) END FROM d) AS dz, round(sum(CASE WHEN d > 0 THEN rk ELSE -rk END) / sum(rk), 6) AS rank_biserial FROM r""")
 query("sign_counts", f"WITH {_DIFF} SELECT count_if(d > cast(1e-12 AS double)) AS wins, count_if(d < cast(-1e-12 AS double)) AS losses, count_if(abs(d) <= cast(1e-12 AS double)) AS ties FROM d")
-query("paired_sign_test", f"""WITH {_DIFF}, c AS (SELECT count_if(d > cast(1e-12 AS double)) AS w, count_if(d < cast(-1e-12 AS double)) AS l FROM d),
- f AS (SELECT explode(sequence(cast(1 AS bigint), greatest(w + l, cast(1 AS bigint)))) AS i FROM c), g AS (SELECT i, sum(ln(cast(i AS double))) OVER (ORDER BY i) AS lf FROM f UNION ALL SELECT 0, cast(0 AS double)),
- p AS (SELECT c.w, c.l, a.lf - k.lf - m.lf + (c.w + c.l) * ln(cast(0.5 AS double)) AS lp FROM c JOIN g a ON a.i = c.w + c.l JOIN g k ON k.i <= least(c.w, c.l) JOIN g m ON m.i = c.w + c.l - k.i)
-SELECT w AS wins, l AS losses, round(least(cast(1 AS double), 2 * sum(exp(lp))), 6) AS p FROM p GROUP BY w, l""", f"""WITH {_DIFF}, c AS (SELECT count_if(d > 1e-12) AS w, count_if(d < -1e-12) AS l FROM d)
-SELECT w AS wins, l AS losses, round(least(1.0::double, 2 * sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) + (w + l) * ln(0.5::double)))), 6) AS p FROM c, range(0, least(w, l) + 1) t(i) GROUP BY w, l""")
 query("weighted_delta", f"WITH {_DIFF} SELECT round(sum(w * d) / sum(w), 6) AS delta FROM d")
 query("subset_paired", "SELECT c.c_nationkey AS subset, count(*) AS n, round(avg(o.o_totalprice - c.c_acctbal), 4) AS mean_delta, count_if(o.o_totalprice > c.c_acctbal) AS wins FROM {customer} c JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey")
 # counter-based resampling: the index depends on (replica, row, seed) only

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranks import numbered
+from ..operators.ranks import numbered, range_bounds, range_of
 from .registry import dataframe_query
 
 _PLACES = "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer"
@@ -59,11 +59,9 @@ def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("method"), F.col("l_extendedprice").cast("double").alias("x"))
     values = lines.where("x is not null").groupBy("method", "x").agg(F.count(F.lit(1)).alias("k"))
     # ranges of values with their counts, then places within ranges: no window spans a group
-    low, high = values.agg(F.min("x"), F.max("x")).first()
-    span = max((high or 0.0) - (low or 0.0), 1e-9)
-    dealt = values.withColumn("part", F.floor((F.col("x") - (low or 0.0)) / span * 256))
+    dealt = values.withColumn("part", range_of(F.col("x"), range_bounds(values, "x")))
     parts = dealt.groupBy("method", "part").agg(F.sum("k").alias("rows"))
-    ranges = Window.partitionBy("method").orderBy("part")  # at most 257 rows a method
+    ranges = Window.partitionBy("method").orderBy("part")  # at most ranks.MOST_RANGES rows a method
     shifts = parts.select("method", "part", (F.sum("rows").over(ranges) - F.col("rows")).alias("shift"), F.sum("rows").over(Window.partitionBy("method")).alias("n"))
     upto = F.sum("k").over(Window.partitionBy("method", "part").orderBy("x"))
     placed = dealt.join(F.broadcast(shifts), ["method", "part"]).withColumn("last", F.col("shift") + upto - 1)

@@ -24,7 +24,7 @@ DIALECT = {
 _DISTANCE = re.compile(r"@distance\(([^;]+); ([^)]+)\)")
 _DISTANCES = (r"sqrt(aggregate(zip_with(\1, \2, (u, v) -> (u - v) * (u - v)), cast(0 AS double), (s, u) -> s + u))", r"list_distance(\1, \2)")
 _statements: dict[str, tuple[str, str]] = {}
-_built: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+_built: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
 def _closing(sql: str, at: int) -> int:
@@ -60,8 +60,8 @@ def query(name: str, sql: str, oracle: str | None = None) -> None:
     _statements[name] = spark, twin.replace("regexp_replace_all(", "regexp_replace(")
 
 
-def dataframe_query(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str) -> None:
-    """Register a query that is built with DataFrame functions, with an oracle written apart from it."""
+def dataframe_query(name: str, run: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
+    """Register a query that is built with DataFrame functions, with an oracle written apart from it where SQL has one."""
     _built[name] = run, oracle
 
 
@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: twin.replace("{", "").replace("}", "") for name, (_, twin) in _statements.items()} | {name: sql for name, (_, sql) in _built.items()}
+    return {name: twin.replace("{", "").replace("}", "") for name, (_, twin) in _statements.items()} | {name: sql for name, (_, sql) in _built.items() if sql}

@@ -14,7 +14,7 @@ from killgrid.plans.ordered import selected
 def test_numbered(spark, values):
     rows = [(i, None if v is None else float(v)) for i, v in enumerate(values)]
     random.Random(2).shuffle(rows)
-    got = numbered(spark.createDataFrame(rows, "id long, v double").repartition(7), "v", "id", total="n", buckets=8).collect()
+    got = numbered(spark.createDataFrame(rows, "id long, v double").repartition(7), "v", "id", total="n", range_rows=40).collect()
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
     assert [(r.id, r.v) for r in sorted(got, key=lambda r: r.i)] == want and [r.i for r in sorted(got, key=lambda r: r.i)] == list(range(len(rows)))
     assert all(r.n == len(rows) for r in got)
