@@ -46,12 +46,20 @@ def numbered(rows: DataFrame, by: str, *ties: str, name: str = "i", total: str |
     return found.select("row.*", F.col("place").alias(name), *([F.col("total").cast("long").alias(total)] if total else []))
 
 
-def tied_ranks(values: DataFrame, by: str, times: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """values (one row a distinct `by`, `times` rows of it each) with `mean_rank`, the average rank from 1 that its
-    rows share. Ties are one row whatever their number, so no range holds more than distinct values."""
+def tied_ranks(values: DataFrame, by: str, times: str, range_rows: int = RANGE_ROWS, keys: list[str] | None = None) -> DataFrame:
+    """values (one row a distinct `by` of its keys, `times` rows of it each) with `mean_rank`, the average rank from 1
+    within the keys that its rows share. Ties are one row whatever their number, so no range holds more than
+    distinct values; a null key is a key."""
     bounds = range_bounds(values, by, range_rows)
-    dealt = values.select(range_of(F.col(by), bounds).alias("range"), F.struct("*").alias("row"))
-    upto = Window.partitionBy("range").orderBy(F.col("row")[by]).rowsBetween(Window.unboundedPreceding, 0)
     n = F.col("row")[times]
-    found = _shifted(dealt, n).withColumn("last", F.sum(n).over(upto) + F.col("shift"))
+    key = F.struct(*keys) if keys else F.lit(0)
+    dealt = values.select(key.alias("key"), range_of(F.col(by), bounds).alias("range"), F.struct("*").alias("row"))
+    if keys:
+        earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        sums = dealt.groupBy("key", "range").agg(F.sum(n).alias("sum"))
+        found = dealt.join(sums.select("key", "range", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("shift")), ["key", "range"])
+    else:
+        found = _shifted(dealt, n)
+    upto = Window.partitionBy("key", "range").orderBy(F.col("row")[by]).rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("last", F.sum(n).over(upto) + F.col("shift"))
     return found.select("row.*", (F.col("last") - (n - 1) / 2).alias("mean_rank"))

@@ -82,7 +82,7 @@ def test_asof(spark, seed, best):
         seen = [(a, v, w) for q, a, v, w in right if q == k and a is not None and t is not None and a <= t]
         row = max(((v, w) for _, v, w in seen) if best else seen, default=None)
         want.append((k, t, i, *((row if best else row[1:]) if row else (None, None))))
-    for size in (7, 10**6):
+    for size in (7, 10**6, None):
         got = asof.asof(spark.createDataFrame(left, "k string, t double, range long"), spark.createDataFrame(right, "k string, t double, v long, w string"), ["k"], "t", ["v", "w"], best, range_rows=size)
         key = lambda x: tuple(map(repr, x))
         assert sorted(rows_of(got), key=key) == sorted(want, key=key)
