@@ -24,13 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/killgrid-{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is still there when the driver ends goes with it."""
+    path = f"{shared_dir(spark).rstrip('/')}/killgrid-{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def files_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
+    """Files for a table of at most `rows` short rows: one a core of the cluster, or enough for `each` rows a file."""
+    return max(spark.sparkContext.defaultParallelism, rows // each)
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+def persist(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. With
+    `files`, the tasks that write are no more than that; nothing is shuffled for it."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, end_round, free_unused, join_skewed, persist, release, table, text_or_empty
+from .common import arrow_slices, end_round, files_for, free_unused, join_skewed, persist, release, table, text_or_empty
 from .components import connected_components
 
 BANDS, ROWS, SKETCH_BITS, SEED = 32, 4, 512, 5
@@ -228,11 +228,11 @@ def _shared(sets: DataFrame) -> DataFrame:
     return sizes.join(unique, "id", "left").select("id", "n", F.when(F.col("rows") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("f"))
 
 
-def _mixed(members: DataFrame, what: str, used: list[DataFrame]) -> DataFrame:
+def _mixed(members: DataFrame, what: str, used: list[DataFrame], few: int, files: int) -> DataFrame:
     """The members of buckets that hold several components, with the bucket's size and least n. used: gets the frames written."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least_n")).where("lo <> hi").select("key", "size", "least_n")
-    sizes = persist(sizes, f"{what}-sizes")
-    live = persist(join_skewed(members, sizes, ["key"], "size"), what)
+    sizes = persist(sizes, f"{what}-sizes", few)
+    live = persist(join_skewed(members, sizes, ["key"], "size"), what, files)
     used += [sizes, live]
     return live
 
@@ -254,9 +254,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return persist(own.join(ids.distinct().hint("merge"), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
 
 
-def _pairs(members: DataFrame, percent: int, used: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _pairs(members: DataFrame, percent: int, used: list[DataFrame], few: int, files: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of this round among members (key, id, comp, n, f, sketch), and the members that stay in their buckets."""
-    live = _mixed(members, "mixed", used)
+    live = _mixed(members, "mixed", used, few, files)
     # members that can't be linked with any set as large as the bucket's smallest leave it
     live = live.where(f"100 * f >= {percent} * (n + greatest(least_n, f) - f)").drop("least_n")
     small = live.where(F.col("size") <= SMALL)
@@ -269,11 +269,11 @@ def _pairs(members: DataFrame, percent: int, used: list[DataFrame]) -> tuple[Dat
     large = live.where(F.col("size") > SMALL).drop("size")
     # CENTRES members of each large bucket, those of its smallest components first: once they have met all
     # others, mostly one component is left. Gathered with bounded state.
-    own = persist(large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("mates")), "mates")
-    large = persist(join_skewed(large, own, ["key", "comp"], "mates"), "large")
+    own = persist(large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("mates")), "mates", few)
+    large = persist(join_skewed(large, own, ["key", "comp"], "mates"), "large", files)
     spread = large.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
     top = spread.withColumn("r", F.row_number().over(Window.partitionBy("key", "part").orderBy("mates", "id"))).where(F.col("r") <= CENTRES)
-    top = persist(top.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("mates", "id"))).where(F.col("r") <= CENTRES).drop("r", "part"), "centres")
+    top = persist(top.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("mates", "id"))).where(F.col("r") <= CENTRES).drop("r", "part"), "centres", files)
     b = side(large, "b").withColumnRenamed("key", "key_b")
     met = side(top, "a").join(b, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & possible)
     met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
@@ -297,66 +297,69 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.where("la <> lb")
 
 
-def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+def _joined(labels: DataFrame | None, links: DataFrame, few: int) -> DataFrame | None:
     """labels (node, label) once links (a, b) are added: only pairs of different labels are looked at."""
-    pairs = persist(_across(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "label-pairs")
+    pairs = persist(_across(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "label-pairs", few)
     if not pairs.take(1):
         release(pairs)
         return labels
-    moves = connected_components(pairs)
+    moves = connected_components(pairs, few)
     release(pairs)
     if labels is None:
         return moves
     moved = labels.join(moves.select(F.col("node").alias("label"), F.col("label").alias("m")), "label", "left").select("node", F.coalesce("m", "label").alias("label"))
-    new = persist(moved.unionByName(moves.join(labels, "node", "left_anti")), "labels")
+    new = persist(moved.unionByName(moves.join(labels, "node", "left_anti")), "labels", few)
     release(moves, labels)
     return new
 
 
 def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """(node, label) of all classes that are linked with another one."""
+    # tables of numbers, and of numbers with sketches, have a row a class and band at most
+    rows = BANDS * classes.count()
+    few, files = files_for(docs.sparkSession, rows), files_for(docs.sparkSession, rows, 50_000)
     members = classes.select("id", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("a")).where("size > 1")
-    sizes = persist(sizes, "bucket-sizes")
-    active = persist(join_skewed(members, sizes, ["key"], "size").select("key", "id", "a").where("id <> a"), "buckets")
+    sizes = persist(sizes, "bucket-sizes", few)
+    active = persist(join_skewed(members, sizes, ["key"], "size").select("key", "id", "a").where("id <> a"), "buckets", few)
     sketches = classes.select("id", "sketch")
     hubs = active.groupBy(F.col("id").alias("b"), "a").agg(F.count(F.lit(1)).alias("shared"))
     hubs = hubs.join(sketches.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
-    hubs = persist(hubs.where(sketches_alike("sa", "sb", percent)).select("a", "b", "shared"), "hubs")
+    hubs = persist(hubs.where(sketches_alike("sa", "sb", percent)).select("a", "b", "shared"), "hubs", few)
     sets = _sets_of(docs, hubs.select(F.explode(F.array("a", "b")).alias("id")), width)
     best = hubs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), F.col("a"))).alias("a"))
     checked = _confirmed(best, sets, percent)
-    labels = _joined(None, checked.where("linked").select("a", "b"))
-    others = persist(_across(hubs.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).select("a", "b"), "others")
+    labels = _joined(None, checked.where("linked").select("a", "b"), few)
+    others = persist(_across(hubs.join(best, ["a", "b"], "left_anti").select("a", "b"), labels).select("a", "b"), "others", few)
     if others.take(1):
         done = _confirmed(others, sets, percent)
         checked = checked.unionByName(done)
-        labels = _joined(labels, done.where("linked").select("a", "b"))
+        labels = _joined(labels, done.where("linked").select("a", "b"), few)
     release(hubs, sets, others)
     found = labels is not None
     if not found:
         labels = docs.sparkSession.createDataFrame([], "node long, label long")
     used: list[DataFrame] = [sizes, active]
-    live = _mixed(_with_components(active.select("key", "id"), labels).withColumn("n", F.lit(0)), "open", used)
+    live = _mixed(_with_components(active.select("key", "id"), labels).withColumn("n", F.lit(0)), "open", used, few, few)
     rest = live.select("key", "id")
     if not rest.take(1):
         release(*used)
         return labels
     sets = _sets_of(docs, rest.select("id"), width)
-    shared = persist(_shared(sets).join(sketches, "id"), "shared")
+    shared = persist(_shared(sets).join(sketches, "id"), "shared", files)
     end_round(docs.sparkSession)
     while True:
-        named = persist(_with_components(rest, labels).join(shared.where(f"100 * f >= {percent} * n"), "id"), "members")
+        named = persist(_with_components(rest, labels).join(shared.where(f"100 * f >= {percent} * n"), "id"), "members", files)
         used.append(named)
-        candidates, rest = _pairs(named, percent, used)
-        rest = persist(rest, "rest")
-        near = persist(candidates.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near")
+        candidates, rest = _pairs(named, percent, used, few, files)
+        rest = persist(rest, "rest", few)
+        near = persist(candidates.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "near", files)
         release(*used)
         used = [rest]
         if near.take(1):
             done = _confirmed(near, sets, percent)
             checked = checked.unionByName(done)
-            joined = _joined(labels if found else None, done.where("linked").select("a", "b"))
+            joined = _joined(labels if found else None, done.where("linked").select("a", "b"), few)
             found = joined is not None
             labels = joined if found else labels
         release(near)
