@@ -6,7 +6,9 @@ compared with the index by a sort-merge anti-join (the index side is read in
 bucket order, without a shuffle), and what is new is appended; how often a
 batch repeats what the index has goes to a second table of the same buckets.
 An index that is given stays as it is left, for the next documents; one made
-here is dropped once the result is written. Only DataFrame functions run here.
+here is dropped once the result is written. The number of buckets follows from
+the first batch's digests and stays with the table. Only DataFrame functions run
+here.
 
 Defined results
 * null text counts as the empty text; texts are equal after lower-casing A-Z;
@@ -27,12 +29,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, new_path, persist, release, table, text_or_empty
+from .common import delete, files_for, new_path, persist, release, table, text_or_empty
 
 #: Groups of at least 1/HOT_SHARE of a batch are joined by broadcast; there are HOT_SHARE of them at most.
 HOT_SHARE = 200
 HOT_LEAST = 1000
-BUCKETS, BATCHES = 64, 2
+#: Digests a bucket holds on average when its table is made.
+BUCKET_ROWS, BATCHES = 1_000_000, 2
 
 
 def normalised(column: str = "text"):
@@ -48,11 +51,20 @@ class DigestIndex:
     """Digests seen so far, with the id that stands for each: a table bucketed and sorted by digest, and one
     beside it for the rows that later batches had of them."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or new_path(spark, "digest-index")
-        self.buckets = buckets
+        self._buckets = buckets
+
+    def buckets(self, rows: int = 0) -> int:
+        """Those of the table where there is one, else enough for these rows."""
+        if self._buckets is None and self.exists():
+            described = self.spark.sql(f"DESCRIBE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()
+            self._buckets = int(described["data_type"])
+        if self._buckets is None:
+            self._buckets = files_for(self.spark, rows, BUCKET_ROWS)
+        return self._buckets
 
     def exists(self, which: str = "") -> bool:
         return self.spark.catalog.tableExists(self.name + which)
@@ -66,13 +78,14 @@ class DigestIndex:
 
     def _append(self, rows: DataFrame, which: str) -> None:
         # dealt by bucket number, so that each bucket is one sorted file of this batch whatever the number of tasks
-        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
-        writer = rows.repartition(4 * self.buckets, bucket).write.bucketBy(self.buckets, "digest").sortBy("digest")
+        n = self.buckets()
+        writer = rows.repartition(4 * n, F.pmod(F.hash("digest"), F.lit(n))).write.bucketBy(n, "digest").sortBy("digest")
         writer.format("parquet").mode("append").option("path", f"{self.path}/{which or 'digests'}").saveAsTable(self.name + which)
 
-    def add(self, batch: DataFrame) -> None:
-        """Append the digests of (doc_id, digest) that the index lacks."""
-        own = persist(batch.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size")), "batch")
+    def add(self, batch: DataFrame, files: int | None = None) -> None:
+        """Append the digests of (doc_id, digest) that the index lacks. files: as in persist."""
+        own = persist(batch.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size")), "batch", files)
+        self.buckets(own.count())
         known = self.read().select("digest").hint("merge")
         if self.exists():
             self._append(own.join(known, "digest", "left_semi").select("digest", "size"), "_repeats")
@@ -114,9 +127,10 @@ def _batches(digests: DataFrame, batches: int) -> list[DataFrame]:
 def _decided(docs: DataFrame, index: DigestIndex, batches: int) -> DataFrame:
     """doc_id, digest, keep, size, kept of every row, once all batches are in the index."""
     digests = persist(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest")), "digests")
+    files = files_for(docs.sparkSession, digests.count())
     for batch in _batches(digests, batches):
-        index.add(batch)
-    found = persist(index.look_up(digests).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep"))), "decided")
+        index.add(batch, files)
+    found = persist(index.look_up(digests).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep"))), "decided", files)
     release(digests)
     return found
 
@@ -139,7 +153,7 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batches: int
         own.drop()
     # (id, digest) as one binary key: a null id has a key of its own and stays an equi-join
     key = lambda d: F.concat(F.coalesce(F.encode(F.col("doc_id").cast("long").cast("string"), "utf-8"), F.lit(b"-")), d).alias("key")
-    keyed = persist(found.select(key(F.col("digest")), "kept").groupBy("key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1"), "copies")
+    keyed = persist(found.select(key(F.col("digest")), "kept").groupBy("key").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1"), "copies", files_for(docs.sparkSession, found.count()))
     release(found)
     # the caller's columns are one struct: no name of theirs can meet one of ours
     stay = docs.select(key(digest()), F.struct("*").alias("row")).join(keyed.where("not kept").select("key"), "key", "left_anti")

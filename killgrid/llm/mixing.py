@@ -30,7 +30,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import persist, table
+from .common import files_for, persist, table
 
 BLOCKS, SEED = 1024, 17
 TARGET_ENTROPY, MOST_REPEATS = 0.9, 2.0
@@ -82,8 +82,9 @@ def block_plan(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float =
     """One row per source and block: whole epochs, whether the fractional epoch takes the block (part: 0 no,
     1 rows up to hash `upto`, 2 all), the source's weight and epochs."""
     rows = persist(_keyed(docs, F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\S+")).cast("long").alias("tokens")), "mix-rows")
-    blocks = persist(rows.groupBy("_source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
-    totals = persist(blocks.groupBy("_source").agg(F.sum("tokens").cast("double").alias("tokens")), "mix-sources")
+    files = files_for(docs.sparkSession, rows.count())
+    blocks = persist(rows.groupBy("_source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks", files)
+    totals = persist(blocks.groupBy("_source").agg(F.sum("tokens").cast("double").alias("tokens")), "mix-sources", files)
     exponent, most = temperature(totals, target, repeats)
     epochs = F.when(F.col("tokens") > 0, _epochs(F.col("tokens"), max(most, 1.0), exponent, repeats)).otherwise(1.0)
     named = totals.withColumn("epochs", epochs)
@@ -96,7 +97,7 @@ def block_plan(docs: DataFrame, target: float = TARGET_ENTROPY, repeats: float =
     order = Window.partitionBy("_source").orderBy(F.xxhash64("_source", "block", "whole", F.lit(SEED)), "block")
     ranked = blocks.join(named, "_source").withColumn("left", F.col("quota") - F.sum("tokens").over(order) + F.col("tokens"))
     part = F.when(F.col("left") >= F.col("tokens"), 2).when(F.col("left") > 0, 1).otherwise(0)
-    ranked = persist(ranked.withColumn("part", F.when(F.col("quota") > 0, part).otherwise(0)), "mix-ranked")
+    ranked = persist(ranked.withColumn("part", F.when(F.col("quota") > 0, part).otherwise(0)), "mix-ranked", files)
     # the one block of each source where its quota ends
     ends = rows.join(ranked.where("part = 1").select("_source", "block", "left"), ["_source", "block"])
     upto = Window.partitionBy("_source", "block").orderBy("hash").rangeBetween(Window.unboundedPreceding, 0)

@@ -57,3 +57,17 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, Key string, digest int, `row` int")
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted([r for i, r in enumerate(docs.collect()) if i in (1, 3)], key=str)
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    """An index takes its number of buckets from its first batch and keeps it when it is opened again."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 10)
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    index = exact_dedup.DigestIndex(spark)
+    first = exact_dedup.find_copies(docs.where("doc_id < 100"), index, batches=1)
+    assert first.where("kept").count() == 100 and index.buckets() == 10
+    again = exact_dedup.DigestIndex(spark, index.name, index.path)
+    second = exact_dedup.find_copies(docs, again, batches=2)
+    assert again.buckets() == 10 and second.where("kept").count() == 200
+    assert spark.sql(f"DESCRIBE EXTENDED {index.name}").where("col_name = 'Num Buckets'").first()["data_type"] == "10"
+    index.drop()
