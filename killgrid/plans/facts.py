@@ -18,7 +18,7 @@ _CALLS = """SELECT event_id, user_id, CASE WHEN event_id % 8 < 4 THEN 'proposed'
   CASE WHEN event_id % 8 < 2 THEN 'Layer1' WHEN event_id % 8 < 4 THEN concat('Layer', cast(event_id % 8 AS @text)) ELSE 'Baseline' END AS layer, cast(event_id % 4 + 1 AS bigint) AS attempt,
   CASE event_type WHEN 'view' THEN 'hf' WHEN 'click' THEN 'gemini' WHEN 'purchase' THEN 'openai' END AS provider, CASE WHEN user_id % 3 > 0 THEN concat('model-', cast(user_id % 3 AS @text)) END AS model, event_type,
   cast(user_id % 4 AS bigint) AS target_count, cast(round(value * 100) AS bigint) AS total_tokens, cast(round(value * 100) AS bigint) @div 3 AS prompt_tokens, cast(round(value * 100) AS bigint) - cast(round(value * 100) AS bigint) @div 3 AS completion_tokens,
-  cast(length(props) AS bigint) AS prompt_chars, cast(length(event_type) AS bigint) AS response_chars, round(value, 2) / 10 AS latency_sec, round(value, 2) / 1000 AS estimated_cost_usd, CASE event_type WHEN 'view' THEN 'syntax error' ELSE '' END AS validation_reason
+  cast(length(props) AS bigint) AS prompt_chars, cast(length(event_type) AS bigint) AS response_chars, round(value, 2) / 7 AS latency_sec, round(value, 2) / 1000 AS estimated_cost_usd, CASE event_type WHEN 'view' THEN 'syntax error' ELSE '' END AS validation_reason
   FROM {events}"""
 _MUTANTS = """SELECT concat('T/', cast(l_orderkey AS @text)) AS problem_id, cast(l_linenumber AS bigint) AS mutant, min(p_type) AS operator, CASE WHEN max(l_tax) >= cast(0.08 AS double) THEN 'STATIC_EQUIVALENT' ELSE 'UNKNOWN' END AS equivalence_status, max(l_extendedprice) > 40000 AS official
   FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY l_orderkey, l_linenumber"""
