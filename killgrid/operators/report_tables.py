@@ -189,3 +189,67 @@ def tables(f: Facts, replicas: int = resampling.REPLICAS, keep: Callable[[DataFr
         "llm_call_level_metrics": lambda: call_metrics(calls()),
         "baseline_iteration_history": lambda: baseline_history(calls()).drop("final"),
     }
+
+
+# --- frames behind the plots -----------------------------------------------------------------------------------
+_CONVENTIONS = ("macro_raw", "micro_raw", "macro_equivalent_adjusted", "micro_equivalent_adjusted")
+
+
+def aggregate_bars(rows: DataFrame) -> DataFrame:
+    """method, convention, score."""
+    return _stacked(score_conventions(rows), "convention", {c: {"score": F.col(c)} for c in _CONVENTIONS}, "method")
+
+
+def stopping_totals(rows: DataFrame) -> DataFrame:
+    """view, tokens: the baseline's tokens in all, at its last gain, at its plateau (all where there is none), and the
+    other method's."""
+    flat = F.when(F.col("baseline_tokens_at_plateau") > 0, F.col("baseline_tokens_at_plateau")).otherwise(F.col("baseline_total_tokens"))
+    views = {"baseline_fixed": F.col("baseline_total_tokens"), "baseline_first_final": F.col("baseline_tokens_at_first_final_score"), "baseline_plateau": flat, "proposed": F.col("proposed_total_tokens")}
+    return _stacked(rows, "view", {v: {"tokens": c} for v, c in views.items()}).groupBy("view").agg(F.sum("tokens").alias("tokens"))
+
+
+def matched_means(rows: DataFrame) -> DataFrame:
+    """view, score: the baseline's mean score in all and at the other method's tokens and paid tokens, and its."""
+    views = {"baseline_fixed": "baseline_score", "baseline_matched_tokens": "baseline_score_at_matched_proposed_tokens", "baseline_matched_paid_tokens": "baseline_score_at_matched_proposed_paid_tokens", "proposed": "proposed_score"}
+    return _stacked(rows, "view", {v: {"score": F.col(c)} for v, c in views.items()}).groupBy("view").agg(F.round(F.avg("score"), 6).alias("score"))
+
+
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    """bin, low, high, n of a column in min(12, max(3, floor(sqrt(rows)))) bins of equal width; the greatest value
+    falls in the last one, a single value in a width of 1 around it. Nulls are left out, empty bins are kept."""
+    x = F.col(column).cast("double")
+    known = rows.where(x.isNotNull() & ~F.isnan(x))
+    ends = known.agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).where("n > 0")
+    ends = ends.select(F.least(F.lit(12), F.greatest(F.lit(3), F.floor(F.sqrt("n")))).cast("int").alias("bins"), F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    place = F.least(F.col("bins") - 1, F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins"))).cast("int")
+    counts = known.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # one row
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    edge = lambda i: F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * i / F.col("bins"), 6)
+    return every.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def usage_bars(calls: DataFrame) -> DataFrame:
+    """label (method, provider and model), tokens, productive_call_rate."""
+    label = F.concat_ws(" / ", "method", "provider", "model").alias("label")
+    return usage(calls).select(label, F.col("total_tokens").alias("tokens"), "productive_call_rate")
+
+
+def outcome_pivot(calls: DataFrame) -> DataFrame:
+    """method and a column of calls for each known outcome, and for all others."""
+    known = ("PRODUCTIVE", "VALID_ZERO_KILL", "REJECTED", "ERROR")
+    status = F.coalesce("status", F.lit(""))
+    return calls.groupBy("method").agg(*(F.count_if(status == s).alias(s.lower()) for s in known), F.count_if(~status.isin(*known)).alias("others"))
+
+
+def frames(f: Facts) -> dict[str, Callable[[], DataFrame]]:
+    """The frames that plots of the tables need, by name."""
+    calls = cache(lambda: scored_calls(f))
+    rows = cache(lambda: compare(f, calls()))
+    return {
+        "aggregate_bars": lambda: aggregate_bars(rows()),
+        "stopping_totals": lambda: stopping_totals(rows()),
+        "matched_means": lambda: matched_means(rows()),
+        "compression_histogram": lambda: histogram(rows(), "cluster_compression_ratio"),
+        "usage_bars": lambda: usage_bars(calls()),
+        "outcome_pivot": lambda: outcome_pivot(calls()),
+    }

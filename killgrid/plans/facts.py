@@ -130,6 +130,25 @@ def _report(name: str):
     return run
 
 
+_BARS = " UNION ALL ".join(f"SELECT method, '{c}' AS convention, {c} AS score FROM sc" for c in report_tables._CONVENTIONS)
+_FRAMES = {
+    "aggregate_bars": _ORACLES["aggregate_score_conventions"].replace(" SELECT upper(method", ", sc AS (SELECT upper(method", 1) + f") {_BARS}",
+    "stopping_totals": f"""{_BASE} SELECT 'baseline_fixed' AS view, sum(baseline_total_tokens)::BIGINT AS tokens FROM d UNION ALL SELECT 'baseline_first_final', sum(ft)::BIGINT FROM d
+UNION ALL SELECT 'baseline_plateau', sum(CASE WHEN pt > 0 THEN pt ELSE baseline_total_tokens END)::BIGINT FROM d UNION ALL SELECT 'proposed', sum(proposed_total_tokens)::BIGINT FROM d""",
+    "matched_means": f"{_BASE} {' UNION ALL '.join(f'SELECT {chr(39)}{v}{chr(39)} AS view, round(avg({c}), 6) AS score FROM d' for v, c in (('baseline_fixed', 'baseline_score'), ('baseline_matched_tokens', 'ms'), ('baseline_matched_paid_tokens', 'mp'), ('proposed', 'proposed_score')))}",
+    "compression_histogram": f"""{_BASE}, v AS (SELECT {_Z("total_mutants", "representatives", 4)} AS x FROM d), e AS (SELECT min(x) AS lo, max(x) AS hi, least(12, greatest(3, floor(sqrt(count(*)))))::INTEGER AS bins FROM v), b AS (SELECT unnest(range(bins))::INTEGER AS bin, lo, hi, bins FROM e)
+SELECT bin, round(lo + (hi - lo) * bin / bins, 6) AS low, round(lo + (hi - lo) * (bin + 1) / bins, 6) AS high, (SELECT count(*) FROM v WHERE least(bins - 1, floor((x - lo) / (hi - lo) * bins)) = bin) AS n FROM b""",
+    "usage_bars": f"{_BASE} SELECT method || ' / ' || coalesce(provider, 'unknown') || ' / ' || coalesce(model, 'unknown') AS label, sum(total_tokens)::BIGINT AS tokens, round(count(*) FILTER (new_kills > 0) / count(*)::DOUBLE, 6) AS productive_call_rate FROM calls GROUP BY label",
+    "outcome_pivot": f"{_BASE} SELECT method, {', '.join(f'count(*) FILTER (status = {chr(39)}{s}{chr(39)}) AS {s.lower()}' for s in ('PRODUCTIVE', 'VALID_ZERO_KILL', 'REJECTED', 'ERROR'))}, 0::BIGINT AS others FROM calls GROUP BY method",
+}
+
+
+def _frame(name: str):
+    return lambda spark, sf_dir: report_tables.frames(facts(spark, sf_dir))[name]()
+
+
+for _name, _sql in _FRAMES.items():
+    dataframe_query(f"frame_{_name}", _frame(_name), _text(_sql, False))
 dataframe_query("comparison_full", lambda spark, sf_dir: compare(facts(spark, sf_dir)), _text(f"{_BASE} {_COMPARISON}", False))
 for _name, _sql in _ORACLES.items():
     dataframe_query(f"report_{_name}", _report(_name), _text(_sql, False))
