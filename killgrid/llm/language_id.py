@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import arrow_slices, table
 
 DIMENSIONS, GRAM, TRAIN_DOCS, SEED = 1024, 3, 40_000, 7
+#: Entries of a table of texts by n-grams that cost as much as one n-gram's vector added by itself. Where the table
+#: would be emptier (scripts of many letters) vectors are added; both ways give the same sums.
+SPARSE = 16
 #: Languages that training may yield; more is taken as an error in the labels.
 MOST_LANGUAGES = 5000
 SCALE = 1 << 20
@@ -43,47 +46,29 @@ def _letters() -> np.ndarray:
     return np.array([ord(chr(i).lower()[0]) if chr(i).isalpha() else 0 for i in range(sys.maxunicode + 1)], np.int64)
 
 
-class Grams:
-    """n-gram vectors, made when first met and kept up to a bound."""
-
-    most = 40_000
-
-    def __init__(self, dimensions: int, n: int, seed: int):
-        self.dimensions, self.n, self.seed = dimensions, n, seed
-        self.letters: dict[int, np.ndarray] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.rows = np.zeros((4096, self.dimensions), np.int8)
-
-    def letter(self, code: int) -> np.ndarray:
-        if code not in self.letters:
-            if len(self.letters) > self.most:
-                self.letters.clear()
-            self.letters[code] = np.where(np.random.default_rng((self.seed, code)).random(self.dimensions) < 0.5, -1, 1).astype(np.int8)
-        return self.letters[code]
-
-    def vectors(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of the n-grams whose letters are packed into keys, 21 bits each."""
-        keys = keys.tolist()
-        if len(self.slots) + len(keys) > self.most:
-            self.clear()
-        for key in keys:
-            if key not in self.slots:
-                k = self.slots[key] = len(self.slots)
-                if k == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                row = np.ones(self.dimensions, np.int8)
-                for i in range(self.n):
-                    row *= np.roll(self.letter(key >> 21 * (self.n - 1 - i) & 0x1FFFFF), self.n - 1 - i)
-                self.rows[k] = row
-        return self.rows[[self.slots[key] for key in keys]]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _grams(dimensions: int, n: int, seed: int) -> Grams:
-    return Grams(dimensions, n, seed)
+def letter_vectors(codes: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """A row of random 1 and -1 for each letter: the bits of hashes of seed, letter and place."""
+    words = np.arange(-(-dimensions // 64), dtype=np.uint64) + np.uint64(seed << 32)
+    bits = _mix(_mix(codes.astype(np.uint64))[:, None] + _mix(words * np.uint64(0x9E3779B97F4A7C15)))
+    rows = np.unpackbits(bits.view(np.uint8), axis=1)[:, :dimensions].astype(np.int8)
+    return 2 * rows - 1
+
+
+def gram_vectors(keys: np.ndarray, dimensions: int, n: int, seed: int) -> np.ndarray:
+    """Rows of the n-grams whose letters are packed into keys, 21 bits each."""
+    codes = [keys >> 21 * (n - 1 - i) & 0x1FFFFF for i in range(n)]
+    known, place = np.unique(np.concatenate(codes), return_inverse=True)
+    letters = letter_vectors(known, dimensions, seed)
+    rows = np.ones((len(keys), dimensions), np.int8)
+    for i, own in enumerate(np.split(place, n)):
+        rows *= np.roll(letters, n - 1 - i, axis=1)[own]
+    return rows
 
 
 def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, n: int = GRAM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +79,7 @@ def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, n: int = GRA
     row = np.repeat(np.arange(len(texts)), sizes)
     lettered = np.bincount(row[codes > 0], minlength=len(texts)) > 0
     keep = (codes > 0) | (np.concatenate([[1], codes[:-1]]) > 0)
-    keep[0] = True
+    keep[np.cumsum(sizes) - sizes] = True  # a blank before each text
     codes, row = codes[keep], row[keep]
     if len(codes) < n:
         return np.zeros((len(texts), dimensions), np.float32), lettered
@@ -105,6 +90,8 @@ def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, n: int = GRA
     inside = row[: len(keys)] == row[n - 1 :]
     keys, row = keys[inside], row[: len(keys)][inside]
     kinds, which = _coded(keys)
+    if len(keys) * SPARSE < len(texts) * len(kinds):
+        return _summed(keys, row, len(texts), dimensions, n, seed), lettered
     out = np.zeros((len(texts), dimensions), np.float32)
     step = 8192
     order = None
@@ -115,10 +102,20 @@ def profiles(texts: list[str | None], dimensions: int = DIMENSIONS, n: int = GRA
         b = min(a + step, len(kinds))
         lo, hi = (0, len(which)) if order is None else np.searchsorted(which, [a, b])
         counts = np.bincount(row[lo:hi] * (b - a) + which[lo:hi] - a, minlength=len(texts) * (b - a)).reshape(len(texts), b - a)
-        out += counts.astype(np.float32) @ _grams(dimensions, n, seed).vectors(kinds[a:b]).astype(np.float32)
+        out += counts.astype(np.float32) @ gram_vectors(kinds[a:b], dimensions, n, seed).astype(np.float32)
     return out, lettered
 
 
+def _summed(keys: np.ndarray, row: np.ndarray, texts: int, dimensions: int, n: int, seed: int, step: int = 2048) -> np.ndarray:
+    """The bundles by adding up each occurrence's vector: work in proportion to the letters of the texts."""
+    out = np.zeros((texts, dimensions), np.float32)
+    for a in range(0, len(keys), step):
+        own = row[a : a + step]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[first]] += np.add.reduceat(gram_vectors(keys[a : a + step], dimensions, n, seed), first, axis=0, dtype=np.int32)
+    return out
+
+
 def _coded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and each key's number among them; by table where the letters are few, else by sorting."""
     letters = np.unique(np.concatenate([keys & 0x1FFFFF, keys >> 42 & 0x1FFFFF])) if len(keys) else keys
