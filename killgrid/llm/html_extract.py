@@ -6,10 +6,12 @@ ancestors (all to the parent, half to the grandparent, a third of that and so
 on further up); a container's sum is discounted by its link density. The best
 container is kept, with those of its siblings that score close to it or read
 like prose. Elements that are never content by their tag or role (menus, page
-headers and footers, forms, scripts) and boxes of links are left out. Names
-(classes and ids) only cost points: those of page furniture (adverts, notices,
-comments by readers and so on) FURNITURE_SHARE of all points of the page, so
-such an element stays only if it holds nearly all the prose there is; vaguer ones
+headers and footers, forms, scripts) and boxes of links are left out, but for
+lists under a heading of sources. Names (classes and ids) count word by word:
+an element that is named after page furniture (adverts, notices, comments by
+readers and so on) and nothing else stays only if it holds FURNITURE_SHARE of all
+points of the page, or if it is so named by an id, as generators make them of
+headings, and reads like a section of the article. Vaguer names cost
 UNLIKELY_POINTS, which tells against a container or sibling but takes nothing
 out of the article. A page is read and scored in time linear in its length,
 however deep its elements are nested.
@@ -41,8 +43,18 @@ NEVER = RAW | {"head", "nav", "aside", "footer", "form", "button", "select", "op
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: What an opening tag closes, within the given scope.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
-#: Names of page furniture.
-FURNITURE = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|breadcrumbs?|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|footer|footnav|header|masthead|topbar|menu|menubar|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|modal|overlay|related|recommended|share|sharing|sidebar|social|subscribe|subscription|signup|reader-comments)(?:$|[-_\s\d])", re.I)
+#: Words that name page furniture, and words that stand beside them in such names. A name is one of furniture if its
+#: words are all of these kinds, one of the first at least: `ads-top`, `reader-comments`, but not `related-work`.
+FURNITURE = frozenset("ad ads adbox advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer footnav gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pagination popup promo promotion recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription topbar".split())
+BESIDE = frozenset("area article articles bar block body bottom box button buttons col container count desktop feed fixed follow form global icons inner item items js left line link links list main media mobile module more outer page panel policy post posts primary reader readers right row secondary section settings site slot sm sticky stories stream strip text thread title top unit us user view widget with wrap wrapper your zone facebook friends google inline large leaderboard native rectangle small skyscraper this twitter".split())
+#: Of the first, those that headings are made of, too: by such an id alone a section that reads like one of the article stays.
+TOPICS = frozenset("banner consent cookies header menu navigation notice overlay promotion share sharing social subscription".split())
+#: Furniture by form rather than by content: beside a name of content, as in `content-header`, they tell nothing.
+FORMS = frozenset("banner header masthead modal notice notification overlay popup".split())
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+CONTROLS = {"button", "form", "select", "label", "fieldset", "option", "dialog", "menu"}
+#: Headings of lists of links that belong to an article.
+SOURCES = re.compile(r"\W*(?:sources?|references|bibliography|further reading|literature|quellen|literatur|sources et références|références|bibliographie|fuentes|referencias|bibliografía)\W*$", re.I)
 #: Names that content seldom has.
 UNLIKELY = re.compile(r"(?:^|[-_\s])(?:alert|combx|community|disclaimer|discussion|extra|foot|legends|login|pager|remark|reply|rss|shoutbox|skip|tags|toolbar|tools|widget)(?:$|[-_\s\d])", re.I)
 FURNITURE_SHARE, UNLIKELY_POINTS = 0.9, 25.0
@@ -54,11 +66,12 @@ COMMAS = re.compile(r"[,،、，﹐]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "never", "points", "below", "chars", "linked", "blocks", "hint", "furniture", "unlikely", "state")
+    __slots__ = ("tag", "parent", "never", "points", "below", "chars", "linked", "blocks", "hint", "furniture", "topic", "unlikely", "controls", "state")
 
-    def __init__(self, tag, parent, never=False, hint=0.0, furniture=False, unlikely=False):
-        self.tag, self.parent, self.never, self.hint, self.furniture, self.unlikely = tag, parent, never, hint, furniture, unlikely
+    def __init__(self, tag, parent, never=False, hint=0.0, furniture=False, topic=False, unlikely=False):
+        self.tag, self.parent, self.never, self.hint, self.furniture, self.topic, self.unlikely = tag, parent, never, hint, furniture, topic, unlikely
         self.points, self.below, self.chars, self.linked, self.blocks = 0.0, 0.0, 0, 0, 0
+        self.controls = tag in CONTROLS
         self.state = None
 
 
@@ -72,16 +85,28 @@ class Block:
         self.points *= 1.0 - linked / n
 
 
-def _kind(tag: str, attrs: str, inside_content: bool) -> tuple[bool, float, bool, bool]:
-    """Whether an element is never content, the points its names give it, and whether they are of furniture, or unlikely."""
+def _furniture_words(name: str) -> set[str]:
+    """The words of a class or id that name furniture; none if another word stands beside them."""
+    plain = re.sub(r"[^a-z]", "", name.lower())
+    if plain in FURNITURE:
+        return {plain}
+    words = {w.lower() for w in WORDS.findall(name)}
+    return words & FURNITURE if words <= FURNITURE | BESIDE else set()
+
+
+def _kind(tag: str, attrs: str, inside_content: bool) -> tuple[bool, float, bool, bool, bool]:
+    """Whether an element is never content, the points its names give it, and whether they are of furniture, of
+    furniture by an id that may be a heading's, or unlikely."""
     if tag in NEVER or tag == "header" and not inside_content:
-        return True, 0.0, False, False
-    names, hidden, role = "", False, ""
+        return True, 0.0, False, False, False
+    classes, ident, hidden, role = [], "", False, ""
     if attrs.strip():
         for key, a, b, c in ATTR.findall(attrs):
             key, value = key.lower(), html_lib.unescape(a or b or c)
-            if key in ("class", "id"):
-                names += f" {value}"
+            if key == "class":
+                classes += value.split()
+            elif key == "id":
+                ident = value.strip()
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 hidden = True
             elif key == "role":
@@ -89,18 +114,21 @@ def _kind(tag: str, attrs: str, inside_content: bool) -> tuple[bool, float, bool
             elif key == "aria-modal" and value == "true":
                 hidden = True
     if tag in ("html", "body"):
-        return False, 0.0, False, False
+        return False, 0.0, False, False, False
     if hidden or role in ROLES:
-        return True, 0.0, False, False
+        return True, 0.0, False, False, False
+    names = " ".join([*classes, ident])
     maybe = bool(MAYBE.search(names))
     if tag in ("article", "main"):
         # an article among readers' comments is one of them; other names on it tell nothing
-        return False, 25.0 * maybe, bool(re.search(r"(?:^|[-_\s])comment", names, re.I)), False
-    furniture = bool(FURNITURE.search(names))
-    if furniture and maybe and not re.search(r"comment|sidebar|footer|related|cookie|\bads?\b", names, re.I):
-        furniture = False
+        return False, 25.0 * maybe, bool(re.search(r"(?:^|[-_\s])comment", names, re.I)), False, False
+    by_class = set().union(*map(_furniture_words, classes)) if classes else set()
+    by_id = _furniture_words(ident)
+    if maybe and by_class | by_id <= FORMS:
+        by_class = by_id = set()
+    furniture = bool(by_class or by_id)
     unlikely = bool(UNLIKELY.search(names)) and not maybe
-    return False, 25.0 * maybe - UNLIKELY_POINTS * unlikely, furniture, unlikely
+    return False, 25.0 * maybe - UNLIKELY_POINTS * unlikely, furniture, furniture and not by_class and by_id <= TOPICS, unlikely
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
@@ -171,6 +199,7 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                 flush()
             continue
         if tag in VOID:
+            stack[-1].controls = stack[-1].controls or tag == "input"
             continue
         if tag in BLOCK:
             flush()
@@ -188,12 +217,12 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             parent = root
             flush()
             close(1)
-        never, hint, furniture, unlikely = _kind(tag, m[3], bool(where.get("article") or where.get("main")))
+        never, hint, furniture, topic, unlikely = _kind(tag, m[3], bool(where.get("article") or where.get("main")))
         if never and not parent.never:
             flush()
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
-        node = Node(tag, parent, never or parent.never, hint, furniture, unlikely)
+        node = Node(tag, parent, never or parent.never, hint, furniture, topic, unlikely)
         nodes.append(node)
         where.setdefault(tag, []).append(len(stack))
         if tag in BLOCK:
@@ -204,20 +233,39 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
 
 
 def _without_furniture(nodes: list[Node], blocks: list[Block]) -> list[Block]:
-    """The blocks outside of elements that are named as furniture and don't hold nearly all the page's points."""
+    """The blocks outside of elements that are named as furniture and neither hold nearly all the page's points nor,
+    named so by an id that may be a heading's, read like a section: a heading first, then two paragraphs or more, few
+    links, nothing to press or fill in."""
     if not any(node.furniture for node in nodes):
         return blocks
     total = sum(block.points for block in blocks)
     for block in blocks:
-        block.node.below += block.points
+        node = block.node
+        node.below += block.points
+        node.chars += len(block.text)
+        node.linked += block.linked
+        node.blocks += block.points >= 1.0
     for node in reversed(nodes):
-        if node.parent:
-            node.parent.below += node.below
+        if parent := node.parent:
+            parent.below += node.below
+            parent.chars += node.chars
+            parent.linked += node.linked
+            parent.blocks += node.blocks
+            parent.controls = parent.controls or node.controls
+    starts: dict[int, Block] = {}  # of each element, its first block in page order
+    if any(node.topic for node in nodes):
+        for block in blocks:
+            node = block.node
+            while node and id(node) not in starts:
+                starts[id(node)] = block
+                node = node.parent
     for node in nodes:
-        node.state = bool(node.parent and node.parent.state) or node.furniture and node.below <= FURNITURE_SHARE * total
+        first = starts.get(id(node))
+        section = node.topic and first and first.node.tag in HEADINGS and node.blocks >= 2 and not node.controls and node.linked < 0.3 * node.chars
+        node.state = bool(node.parent and node.parent.state) or node.furniture and not section and node.below <= FURNITURE_SHARE * total
     kept = [block for block in blocks if not block.node.state]
     for node in nodes:
-        node.below, node.state = 0.0, None
+        node.below, node.chars, node.linked, node.blocks, node.state = 0.0, 0, 0, 0, None
     return kept
 
 
@@ -264,6 +312,15 @@ def extract(page: str | None) -> str:
             density = node.linked / max(1, node.chars)
             if score(node) >= floor and density < 0.5 or node.tag == "p" and (node.chars > 80 and density < 0.25 or 0 < node.chars <= 80 and density == 0 and top.tag not in ("article", "main")) or node.tag in HEADINGS and density == 0:
                 kept.add(id(node))
+    # lists that follow a heading of sources are part of the article
+    cited, before = set(), None
+    for block in blocks:
+        box = block.node
+        while box.parent and box.tag not in ("ul", "ol", "dl"):
+            box = box.parent
+        if box.parent and before and before.node.tag in HEADINGS and SOURCES.match(before.text):
+            cited.add(id(box))
+        before = block
     # by element: whether it is inside what is kept, in a box of links there, in a header there, in a heading there
     for node in nodes:
         inside, links, header, heading = node.parent.state if node.parent else (False, False, False, False)
@@ -271,7 +328,7 @@ def extract(page: str | None) -> str:
             node.state = (True, False, False, False)
             continue
         # lists, tables and boxes of links inside the article are menus
-        box = node.tag in ("ul", "ol", "dl", "table", "div", "section") and (node.blocks >= 2 and node.linked > 0.8 * node.chars or node.unlikely and node.linked > 0.5 * node.chars)
+        box = node.tag in ("ul", "ol", "dl", "table", "div", "section") and id(node) not in cited and (node.blocks >= 2 and node.linked > 0.8 * node.chars or node.unlikely and node.linked > 0.5 * node.chars)
         node.state = (inside, links or box, header or node.tag == "header", heading or node.tag in HEADINGS)
     out = []
     for block in blocks:
