@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import report_tables, shards
+from ..operators import comparison, report_tables, shards
 from ..sources import call_log, documents, loading, publish, shared, task_folder
 from . import facts
 from .registry import dataframe_query
@@ -71,6 +71,23 @@ dataframe_query("document_counts", document_counts, f"""WITH d AS (SELECT event_
 SELECT event_type, count(body) AS bodies, count(*) FILTER (json_valid(body)) AS parsed, CASE WHEN count(*) FILTER (json_valid(body)) > 0 THEN 'OBJECT<k: BIGINT>' END AS schema FROM d GROUP BY event_type""")
 
 
+# --- a task's nested documents, written and read again -----------------------------------------------------------
+def tracker_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers and timings of the proposed method as the documents have them, which were made from the facts."""
+    f = facts.facts(spark, sf_dir)
+    calls = comparison.scored_calls(f).where("method = 'proposed'")
+    totals = f.mutants.groupBy("problem_id").agg(F.count(F.lit(1)).alias("total_mutants"))
+    folder = shared.scratch(spark, "documents")
+    documents.write_documents(documents.tracker_documents(f.tasks, calls, f.timings, f.clusters, totals), folder)
+    docs = documents.read_documents(spark, folder)
+    spent = documents.timings(docs).groupBy("problem_id").agg(F.count(F.lit(1)).alias("stages"))
+    tried = documents.items(docs, "$.llm_calls", documents.CALL, "problem_id").groupBy("problem_id", "layer").agg(F.max("attempt").alias("last_attempt"))
+    return documents.layers(docs).drop("total_time_sec", "estimated_cost_usd").join(spent, "problem_id").join(tried, ["problem_id", "layer"])
+
+
+dataframe_query("tracker_layers", tracker_layers, facts._text(f"""{facts._BASE} SELECT problem_id, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY min(attempt)) - 1 AS INTEGER) AS place, layer, max(total) AS total_mutants, max(cumulative_kills) AS killed_mutants, sum(new_kills)::BIGINT AS new_kills, count(*) AS llm_calls, sum(total_tokens)::BIGINT AS total_tokens, max(cumulative_score) AS mutation_score, 4::BIGINT AS stages, max(attempt) AS last_attempt FROM calls WHERE method = 'proposed' GROUP BY problem_id, layer""", False))
+
+
 # --- the log, with a batch that comes twice ----------------------------------------------------------------
 def replayed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls appended in three batches, the second of them again: totals by batch and provider."""

@@ -78,3 +78,38 @@ def clusters(docs: DataFrame) -> DataFrame:
 def summaries(docs: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """path and the wanted fields of each document's `summary`; documents without one are left out."""
     return fields(docs.where(F.try_variant_get("doc", "$.summary", "variant").isNotNull()), "doc", wanted, "$.summary").drop("doc")
+
+
+# --- documents from facts ---------------------------------------------------------------------------------------
+def tracker_documents(tasks: DataFrame, calls: DataFrame, timings: DataFrame, clusters: DataFrame, totals: DataFrame) -> DataFrame:
+    """problem_id and body, a task's nested document as JSON text: metadata, timing, layers, llm_calls and a summary.
+
+    calls are one method's scored calls (comparison.scored_calls); layers are their sums in the order the layers were
+    first called. A task without calls has empty lists. The lists of a task are gathered in one row: its calls are few.
+    """
+    order = F.struct("attempt", "layer")
+    call = F.struct(*(F.col(c).cast(t).alias(c) for c, t in CALL.items()))
+    listed = calls.groupBy("problem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), call.alias("c")))), lambda x: x["c"]).alias("llm_calls"), F.sum("total_tokens").alias("tokens"), F.max("cumulative_kills").alias("kills"), F.sum(F.when(F.col("paid"), F.col("total_tokens")).otherwise(0)).alias("paid_tokens"))
+    sums = calls.groupBy("problem_id", "layer").agg(F.min("attempt").alias("first"), F.max("cumulative_kills").alias("killed_mutants"), F.sum("new_kills").alias("new_kills"), F.count(F.lit(1)).alias("llm_calls"), F.sum("total_tokens").alias("total_tokens"), F.round(F.sum("latency_sec"), 6).alias("total_time_sec"), F.round(F.sum("estimated_cost_usd"), 8).alias("estimated_cost_usd"), F.max("cumulative_score").alias("mutation_score"))
+    sums = sums.join(totals, "problem_id", "left").withColumn("total_mutants", F.coalesce("total_mutants", F.lit(0)))
+    layer = F.struct(*(F.col(c).cast(t).alias(c) for c, t in LAYER.items()))
+    stacked = sums.groupBy("problem_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", layer.alias("l")))), lambda x: x["l"]).alias("layers"))
+    spent = timings.groupBy("problem_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "seconds")))).alias("timing"))
+    rows = tasks.join(listed, "problem_id", "left").join(stacked, "problem_id", "left").join(spent, "problem_id", "left").join(clusters, "problem_id", "left").join(totals, "problem_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    empty = lambda c, of: F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c)
+    about = F.struct(zero("total_mutants").alias("mutant_count"), F.struct("dataset_subset", "parent_task_id").alias("dataset_metadata"), zero("num_clusters").alias("num_clusters"), zero("representatives").alias("representatives"))
+    summary = F.struct("problem_id", zero("total_mutants").alias("total_mutants"), zero("kills").alias("killed_mutants"), zero("tokens").alias("total_tokens"), F.when(F.col("total_mutants") > 0, F.round(zero("kills") / F.col("total_mutants"), 6)).otherwise(0.0).alias("final_score"))
+    whole = F.struct("problem_id", about.alias("metadata"), F.col("timing"), empty("layers", stacked), empty("llm_calls", listed), zero("paid_tokens").alias("paid_api_tokens"), summary.alias("summary"))
+    return rows.select("problem_id", F.to_json(whole).alias("body"))
+
+
+def write_documents(docs: DataFrame, folder: str) -> None:
+    """The documents (problem_id, body) as JSON lines below folder, which `read_documents` reads; not a file a task."""
+    docs.select(F.col("body").alias("value")).write.text(folder)
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """path, problem_id, doc of what write_documents wrote; doc is null for a line that isn't JSON."""
+    rows = parsed(spark.read.text(folder).select(F.col("_metadata.file_path").alias("path"), "value"), "value").drop("value")
+    return rows.select("path", F.try_variant_get("doc", "$.problem_id", "string").alias("problem_id"), "doc")

@@ -67,3 +67,28 @@ def report_markdown(tables: dict[str, DataFrame], most: int = 20) -> str:
         rows = df.limit(most).collect()
         parts += [f"## {name}", " | ".join(df.columns), " | ".join("-" for _ in df.columns), *[" | ".join("" if v is None else str(v) for v in r) for r in rows]]
     return "\n".join(parts) + "\n"
+
+
+CLUSTER = "problem_id string, cluster_id int, members array<string>, representative_ids array<string>, strategy string"
+
+
+def save_mutants(mutants: DataFrame, path: str) -> None:
+    """Mutants as JSON lines, dealt to folders by a hash of the task, not to a folder each: a task's are in one."""
+    mutants.withColumn("part", F.pmod(F.hash("problem_id"), F.lit(64))).write.partitionBy("part").json(path, ignoreNullFields=False)
+
+
+def load_mutants(spark: SparkSession, path: str, schema: str = MUTANT) -> DataFrame:
+    return spark.read.schema(f"{schema}, part int").json(path).drop("part")
+
+
+def save_clusters(stacks: DataFrame, path: str) -> None:
+    """One row a task and cluster (stacks.representatives): its members and representatives in order, as JSON lines."""
+    order = F.struct(F.coalesce("place", F.lit(1 << 30)), "id")
+    ids = lambda where: F.transform(F.array_sort(F.collect_list(F.when(where, F.struct(order.alias("o"), F.col("id").cast("string").alias("id"))))), lambda x: x["id"])
+    rows = stacks.groupBy(F.col("task").cast("string").alias("problem_id"), F.col("cluster").cast("int").alias("cluster_id"))
+    rows.agg(ids(F.lit(True)).alias("members"), ids(F.col("representative")).alias("representative_ids"), F.lit("UBIG-RS").alias("strategy")).write.json(path, ignoreNullFields=False)
+
+
+def load_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """problem_id, cluster_id, members, representative_ids, strategy; an empty frame where nothing was saved."""
+    return spark.read.schema(CLUSTER).json(path)

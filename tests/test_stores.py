@@ -1,5 +1,6 @@
 """Published sets, merged shards, and the queries that go through a store at a larger size."""
 
+import json
 import random
 from datetime import datetime
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from killgrid import catalogue
 from killgrid.operators import shards
 from killgrid.plans import stores
-from killgrid.sources import publish
+from killgrid.sources import documents, publish, results
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,24 @@ def test_larger_tables(spark, name):
     columns = [d[0] for d in want.description]
     got = catalogue.queries()[name](spark, "/root/testdata/sf0.01")
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_mutants_and_clusters_are_read_again(spark, tmp_path):
+    mutants = spark.createDataFrame([("m1", "a/1", "OP", "KILLED", 3, 0), ("m2", None, None, None, None, None)], results.MUTANT)
+    results.save_mutants(mutants, f"{tmp_path}/mutants")
+    assert sorted(map(repr, results.load_mutants(spark, f"{tmp_path}/mutants").collect())) == sorted(map(repr, mutants.collect()))
+    stacks = spark.createDataFrame([("t", 0, 5, 2, False), ("t", 0, 9, 1, True), ("t", 0, 1, None, False), ("t", 1, 2, 1, True), (None, None, 3, None, False)], "task string, cluster int, id long, place int, representative boolean")
+    results.save_clusters(stacks, f"{tmp_path}/clusters")
+    got = {(r.problem_id, r.cluster_id): (r.members, r.representative_ids, r.strategy) for r in results.load_clusters(spark, f"{tmp_path}/clusters").collect()}
+    assert got == {("t", 0): (["9", "5", "1"], ["9"], "UBIG-RS"), ("t", 1): (["2"], ["2"], "UBIG-RS"), (None, None): (["3"], [], "UBIG-RS")}
+
+
+def test_documents_of_tasks_without_calls(spark):
+    """Every task has a document, with empty lists where a fact lacks it."""
+    tasks = spark.createDataFrame([("A", "d", None, "", ""), ("B", "d", "s", "", "p")], "problem_id string, dataset_name string, dataset_subset string, source_task_id string, parent_task_id string")
+    calls = spark.createDataFrame([("A", 1, "Layer1", 5, True, 2)], "problem_id string, attempt long, layer string, total_tokens long, paid boolean, cumulative_kills long").selectExpr("*", *(f"cast(null as {t}) AS {c}" for c, t in documents.CALL.items() if c not in ("attempt", "layer", "total_tokens")))
+    none = lambda shape: spark.createDataFrame([], shape)
+    docs = documents.tracker_documents(tasks, calls, none("problem_id string, stage string, seconds double"), none("problem_id string, num_clusters long, representatives long"), spark.createDataFrame([("A", 4)], "problem_id string, total_mutants long"))
+    got = {r.problem_id: json.loads(r.body) for r in docs.collect()}
+    assert got["B"]["layers"] == got["B"]["llm_calls"] == [] and got["B"]["summary"]["final_score"] == 0.0
+    assert got["A"]["summary"] == {"problem_id": "A", "total_mutants": 4, "killed_mutants": 2, "total_tokens": 5, "final_score": 0.5} and got["A"]["layers"][0]["layer"] == "Layer1" and got["A"]["paid_api_tokens"] == 5
