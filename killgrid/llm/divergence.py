@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, join_skewed, persist, table, text_or_empty
+from .common import arrow_slices, free_unused, join_skewed, persist, table, text_or_empty
 
 SCALE = 10**9
 #: Documents a term must be in, and terms reported a source.
 LEAST_DOCS, TOP_TERMS = 3, 200
 #: Partial counts a worker holds before it hands them on.
-HELD = 200_000
+HELD = 500_000
 #: Letters of any script: what isn't ASCII, or a-z after lower-casing.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _PARTIAL = "lang string, source string, term string, n long, d long"
@@ -52,30 +52,31 @@ _PARTIAL = "lang string, source string, term string, n long, d long"
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, occurrences, documents) of slices of (lang, source, text)."""
-    held: dict[tuple, list[dict]] = defaultdict(lambda: [defaultdict(int), defaultdict(int)])
+    held: dict[tuple, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))  # occurrences << 32 | documents
     size = 0
 
     def handed_on() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (times, docs) in held.items():
-            terms = pa.array(list(times), pa.binary()).cast(pa.string())
+        for (lang, source), counts in held.items():
+            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
             same = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
-            yield pa.RecordBatch.from_arrays([*same, terms, pa.array(times.values(), pa.int64()), pa.array([docs[t] for t in times], pa.int64())], ["lang", "source", "term", "n", "d"])
+            n, d = [v >> 32 for v in counts.values()], [v & 0xFFFFFFFF for v in counts.values()]
+            yield pa.RecordBatch.from_arrays([*same, terms, pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "source", "term", "n", "d"])
         held.clear()
 
     for batch in arrow_slices(batches, "text"):
         texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-            times, docs = held[lang, source]
-            before = len(times)
+            counts = held[lang, source]
+            before = len(counts)
             # bytes.lower() changes A-Z only
             for term, n in Counter(_TERM.findall(text.as_py().lower())).items():
-                times[term] += n
-                docs[term] += 1
-            size += len(times) - before
+                counts[term] += n << 32 | 1
+            size += len(counts) - before
             if size >= HELD:
                 yield from handed_on()
                 size = 0
     yield from handed_on()
+    free_unused()
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
