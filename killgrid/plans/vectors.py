@@ -42,8 +42,9 @@ query(
     "SELECT l_orderkey AS task, concat_ws('\n\n', transform(array_sort(collect_list(struct(l_linenumber, l_returnflag))), x -> x.l_returnflag)) AS suite FROM {lineitem} GROUP BY l_orderkey",
     "SELECT l_orderkey AS task, string_agg(l_returnflag, '\n\n' ORDER BY l_linenumber, l_returnflag) AS suite FROM {lineitem} GROUP BY l_orderkey",
 )
-_PROBES = """probes AS (SELECT * FROM (VALUES (0, 24.0, 0.04), (1, 24.0, 0.05), (2, 25.0, 0.05), (3, 25.0, 0.06), (4, 26.0, 0.05), (5, 1.0, 0.1)) AS v(ix, q, d)),
- seen AS (SELECT ix, q < 25 AND d >= 0.05 AS want, q <= 25 AND d >= 0.05 AS boundary, q < 25 AND d > 0.05 AS strict, q >= 25 AND d >= 0.05 AS flip, q < 25 OR d >= 0.05 AS bool_flip, q < 24 AND d >= 0.05 AS const FROM probes),
+# probes from lineitem: of each line number the greatest quantity and discount up to bounds around the predicate's
+_PROBES = """probes AS (SELECT l_linenumber - 1 AS ix, max(CASE WHEN l_quantity <= 23 + l_linenumber % 3 THEN l_quantity END) AS q, max(CASE WHEN round(l_discount * 100) <= 4 + l_linenumber % 4 THEN l_discount END) AS d FROM {lineitem} GROUP BY l_linenumber),
+ seen AS (SELECT ix, q < 25 AND d >= cast(0.05 AS double) AS want, q <= 25 AND d >= cast(0.05 AS double) AS boundary, q < 25 AND d > cast(0.05 AS double) AS strict, q >= 25 AND d >= cast(0.05 AS double) AS flip, q < 25 OR d >= cast(0.05 AS double) AS bool_flip, q < 24 AND d >= cast(0.05 AS double) AS const FROM probes),
  m AS (SELECT 'BOUNDARY_SHIFT' AS operator, ix, boundary <> want AS diff FROM seen UNION ALL SELECT 'BOUNDARY_STRICT', ix, strict <> want FROM seen UNION ALL SELECT 'COMPARISON_FLIP', ix, flip <> want FROM seen
  UNION ALL SELECT 'BOOLEAN_FLIP', ix, bool_flip <> want FROM seen UNION ALL SELECT 'CONSTANT_CHANGE', ix, const <> want FROM seen)"""
 query("behaviour_signature", f"WITH {_PROBES} SELECT operator, count(*) AS probes, cast(sum(CASE WHEN diff THEN power(2, ix) ELSE 0 END) AS bigint) AS code, count_if(diff) AS killing, max(CASE WHEN diff THEN 1 ELSE 0 END) AS killed FROM m GROUP BY operator")

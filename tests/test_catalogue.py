@@ -63,3 +63,29 @@ def test_ward_finds_two_groups(spark):
     x = np.array([[0.0], [0.1], [0.2], [9.0], [9.1]])
     labels = ward(x)
     assert len(set(labels[:3])) == 1 and len(set(labels[3:])) == 1 and labels[0] != labels[4]
+
+
+def test_tasks_from_rows_pass_their_own_checks(spark):
+    """Every supplier's task: its source meets its check, and its prompt's examples hold."""
+    from killgrid.plans import custom
+
+    rows = custom._tasks(spark, SF).collect()
+    suppliers = spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert len({r.problem_id for r in rows}) == len(rows) == suppliers
+    for r in rows:
+        space = {}
+        exec(r.source, space)
+        exec(r.test, space)
+        space["check"](space[r.entry])
+        assert r.entry in r.prompt or "power" in r.prompt
+    shared = custom._shared_tasks(spark, SF).collect()
+    assert sum(r.rows for r in shared) == suppliers and len({r.source for r in shared}) == len(shared)
+
+
+def test_code_queries_follow_the_table(spark):
+    """What reads suppliers has more to do at a larger size."""
+    for name, column in (("ast_mutants", "mutant_id"), ("probe_build", "problem_id"), ("contract_check", "id"), ("static_equivalents", "mutant_id")):
+        small, large = (catalogue.queries()[name](spark, f"/root/testdata/{sf}").select(column).distinct().count() for sf in ("sf0.001", "sf0.01"))
+        assert large > 5 * small > 0
+    marked = catalogue.queries()["static_equivalents"](spark, SF).where("status = 'STATIC_EQUIVALENT'").collect()
+    assert marked and all("max" in r.reason for r in marked)

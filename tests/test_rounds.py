@@ -81,7 +81,7 @@ def test_failed_calls_end_a_layer_after_two(spark):
 
 def test_custom_queries_run(spark):
     for name in ("mock_round", "extract_check", "mutant_diffs"):
-        assert catalogue.queries()[name](spark, "").count() > 0
+        assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
 def test_result_folders(spark, tmp_path):
