@@ -82,7 +82,8 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Kept terms: lang, term, total (occurrences in the language), vector (sorted array of source and n)."""
     rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), text_or_empty().alias("text"))
-    counts = rows.mapInArrow(_partial_counts, _PARTIAL).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    # dealt once, by what both sums need: workers have added up already, another sum before the shuffle finds no pairs
+    counts = rows.mapInArrow(_partial_counts, _PARTIAL).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     # a vector has a place for each source of the language at most
     terms = counts.groupBy("lang", "term").agg(F.sum("d").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vector"))
     return terms.where(F.col("docs") >= least_docs).drop("docs")
