@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics, clusters, custom, evaluation, facts, ordered, registry, reports, stores, texts, vectors  # noqa: F401  these register their queries
+from .plans import analytics, clusters, custom, evaluation, facts, oracles, ordered, registry, reports, stores, texts, vectors  # noqa: F401  these register their queries
 
 
 def queries() -> dict:

@@ -24,6 +24,7 @@ DIALECT = {
 _DISTANCE = re.compile(r"@distance\(([^;]+); ([^)]+)\)")
 _DISTANCES = (r"sqrt(aggregate(zip_with(\1, \2, (u, v) -> (u - v) * (u - v)), cast(0 AS double), (s, u) -> s + u))", r"list_distance(\1, \2)")
 _statements: dict[str, tuple[str, str]] = {}
+_apart: set[str] = set()
 _built: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -82,4 +83,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: twin.replace("{", "").replace("}", "") for name, (_, twin) in _statements.items()} | {name: sql for name, (_, sql) in _built.items() if sql}
+    return {name: twin if name in _apart else twin.replace("{", "").replace("}", "") for name, (_, twin) in _statements.items()} | {name: sql for name, (_, sql) in _built.items() if sql}
+
+
+def apart(name: str, oracle: str) -> None:
+    """Give a statement an oracle of its own wording, in the oracle's dialect: by the definition, not by the same plan."""
+    _statements[name] = _statements[name][0], oracle
+    _apart.add(name)
