@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import report_tables
 from ..operators.comparison import Facts, compare
+from ..sources import shared
 from .registry import DIALECT, dataframe_query
 
 _CALLS = """SELECT event_id, user_id, CASE WHEN event_id % 8 < 4 THEN 'proposed' ELSE 'baseline' END AS method, concat('T/', cast(event_id @div 8 AS @text)) AS problem_id,
@@ -123,9 +124,20 @@ SELECT *, round(productive_calls / calls::DOUBLE, 6) AS productive_call_rate, {_
 }
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once and read again by all that need it."""
+    path = shared.scratch(df.sparkSession, f"report-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables that read comparison rows several times.
+_SEVERAL = ("effectiveness_summary", "paired_comparison_summary", "evoeval_subset_paired_comparison", "official_agreement_summary")
+
+
 def _report(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report_tables.tables(facts(spark, sf_dir), replicas=0)[name]()
+        return report_tables.tables(facts(spark, sf_dir), 0, *([kept] if name in _SEVERAL else []))[name]()
 
     return run
 

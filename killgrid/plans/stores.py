@@ -127,13 +127,7 @@ UNION ALL SELECT 'sketch', 'price', CASE WHEN o_totalprice > 0 THEN 'b' || CAST(
 # --- the report set -----------------------------------------------------------------------------------------------
 def publish_reports(spark: SparkSession, sf_dir: str, folder: str, replicas: int) -> str:
     """The 17 report tables over the driver's tables, published as one set; what several share is written once."""
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        path = shared.scratch(spark, f"report-{name}")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    tables = report_tables.tables(facts.facts(spark, sf_dir), replicas, keep)
+    tables = report_tables.tables(facts.facts(spark, sf_dir), replicas, facts.kept)
     return publish.publish(spark, tables, folder, {"replicas": replicas})
 
 
