@@ -187,3 +187,23 @@ def values_for_type(hint: Column) -> Column:
         for inside, values in kinds:
             found = F.coalesce(found, F.when(any_of & (has(inside) if inside else F.lit(True)), literal(values)))
     return F.coalesce(found, literal(OTHER_VALUES))
+
+
+def attempt_histories(attempts: DataFrame, *keys: str) -> DataFrame:
+    """keys, attempt_count, productive_attempts, infrastructure_errors, first_error of attempts (keys, attempt, status,
+    failure_category, error).
+
+    Failures of the infrastructure (status ERROR, or category LLM_API_ERROR) are no attempts of a strategy: they are
+    counted apart, with the first one's message, 300 characters of it at most, 'unknown error' where it has none.
+    """
+    failed = (F.coalesce("status", F.lit("")) == "ERROR") | (F.coalesce("failure_category", F.lit("")) == "LLM_API_ERROR")
+    first = F.min_by(F.when(failed, F.coalesce("error", F.lit("unknown error"))), F.when(failed, F.col("attempt")))
+    return attempts.groupBy(*keys).agg(F.count_if(~failed).alias("attempt_count"), F.count_if(~failed & (F.col("status") == "PRODUCTIVE")).alias("productive_attempts"), F.count_if(failed).alias("infrastructure_errors"), F.substring(first, 1, 300).alias("first_error"))
+
+
+def compact_summaries(scored: DataFrame) -> DataFrame:
+    """What a prompt is told of a mutant: ids, operator, change, signature as text, centrality and information to four
+    places (0 where there are none), status and equivalence."""
+    four = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c)
+    codes = F.array_join(F.transform(F.coalesce("signature", F.array().cast("array<int>")), lambda x: x.cast("string")), "")
+    return scored.select("task", "id", "cluster", "operator", "change", codes.alias("signature"), four("centrality"), four("information"), F.when(F.col("active"), "SURVIVED").otherwise("KILLED").alias("status"), F.coalesce("equivalence_status", F.lit("UNKNOWN")).alias("equivalence_status"))

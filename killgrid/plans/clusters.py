@@ -89,6 +89,16 @@ def layer_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacks.layer_metrics(rows)
 
 
+def compact_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stacks.compact_summaries(stacks.centralities(_mutants(spark, sf_dir)))
+
+
+def attempt_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as attempts; every seventh purchase's provider failed although a reply came."""
+    rows = _table(spark, sf_dir, "events").selectExpr("user_id AS task", "event_id AS attempt", "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'PRODUCTIVE' WHEN 'click' THEN 'REJECTED' END AS status", "CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN 'LLM_API_ERROR' END AS failure_category", "CASE WHEN event_id % 3 > 0 THEN repeat(props, 40) END AS error")
+    return stacks.attempt_histories(rows, "task")
+
+
 # --- oracles -------------------------------------------------------------------------------------------
 _STACKS = """WITH m AS (SELECT vec_id // 20 AS task, CAST(label % 3 AS INTEGER) AS cluster, vec_id AS id, embedding::DOUBLE[] AS x, [CASE WHEN v > 0.1 THEN 2 WHEN v < -0.1 THEN 1 ELSE 0 END FOR v IN (embedding::DOUBLE[])[2:9]] AS sig, 'OP' || label AS operator, embedding[1] > 0 AS active, 'change ' || vec_id AS change, CASE WHEN vec_id % 9 = 0 THEN 'STATIC_EQUIVALENT' ELSE 'UNKNOWN' END AS eq FROM embeddings WHERE embedding IS NOT NULL),
 u AS (SELECT task, cluster, id, unnest(x) AS v, unnest(range(len(x))) AS dim FROM m), sd AS (SELECT task, cluster, dim, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS s FROM u GROUP BY ALL),
@@ -100,6 +110,9 @@ st AS (SELECT *, CASE WHEN short THEN row_number() OVER (PARTITION BY task, clus
 tg AS (SELECT * FROM (SELECT task, cluster, id, place, row_number() OVER (PARTITION BY task, cluster ORDER BY CASE WHEN place = 1 THEN 0 ELSE 1 END, information DESC, centrality DESC, differing DESC, id) AS k FROM st WHERE active) t WHERE k = 1)"""
 dataframe_query("representative_stacks", representative_stacks, f"{_STACKS} SELECT task, cluster, id, round(centrality, 4) AS centrality, round(information, 4) AS information, CAST(place AS INTEGER) AS place, coalesce(place = 1, false) AS representative FROM st")
 dataframe_query("live_targets", live_targets, f"{_STACKS} SELECT task, cluster, id, CASE WHEN place = 1 THEN 'representative' ELSE 'fallback' END AS why FROM tg")
+dataframe_query("compact_summaries", compact_summaries, f"{_STACKS} SELECT task, id, cluster, operator, change, array_to_string(sig, '') AS signature, round(centrality, 4) AS centrality, round(information, 4) AS information, CASE WHEN active THEN 'SURVIVED' ELSE 'KILLED' END AS status, eq AS equivalence_status FROM st")
+dataframe_query("attempt_histories", attempt_histories, """WITH a AS (SELECT user_id AS task, event_id, event_type, event_type = 'error' OR event_type = 'purchase' AND event_id % 7 = 0 AS failed, CASE WHEN event_id % 3 > 0 THEN repeat(props, 40) ELSE 'unknown error' END AS said FROM events)
+SELECT task, count(*) FILTER (NOT failed) AS attempt_count, count(*) FILTER (NOT failed AND event_type = 'purchase') AS productive_attempts, count(*) FILTER (failed) AS infrastructure_errors, (list(said[1:300] ORDER BY event_id) FILTER (failed))[1] AS first_error FROM a GROUP BY task""")
 dataframe_query("cluster_contexts", cluster_contexts, f"""{_STACKS}, oc AS (SELECT task, cluster, string_agg(operator || ':' || n, ',' ORDER BY operator) AS operators FROM (SELECT task, cluster, operator, count(*) AS n FROM st WHERE active GROUP BY ALL) o GROUP BY ALL)
 SELECT st.task, st.cluster, count(*) AS size, count(*) FILTER (active) AS surviving, coalesce(string_agg(CAST(id AS VARCHAR), ',') FILTER (place = 1), '') AS representative_ids, coalesce(any_value(oc.operators), '') AS operators, count(DISTINCT sig) FILTER (active) AS distinct_signatures FROM st LEFT JOIN oc ON oc.task = st.task AND oc.cluster = st.cluster GROUP BY st.task, st.cluster""")
 dataframe_query("handoff_texts", handoff_texts, f"""{_STACKS}, lv AS (SELECT st.*, row_number() OVER (PARTITION BY st.task, st.cluster ORDER BY centrality DESC, st.id) AS k FROM st WHERE active),
