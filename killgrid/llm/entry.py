@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op11_license_scan": license_scan.OP11_SQL, "op13_divergence": divergence.OP13_SQL}
+    return {"op5_chat_format": chat_format.OP5_SQL, "op7_near_dedup": near_dedup.OP7_SQL, "op8_suffix_dedup": suffix_dedup.OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op11_license_scan": license_scan.OP11_SQL, "op13_divergence": divergence.OP13_SQL}

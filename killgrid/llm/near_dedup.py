@@ -40,6 +40,7 @@ smallest doc_id, keeps one.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -411,3 +412,20 @@ def keep_one_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFra
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85, 3)
+
+
+#: By the definition: shingles that two texts share are counted by a join on the shingle, components by what can be reached.
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT k, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS sh FROM d
+), x AS (SELECT k, unnest(sh) AS t FROM s),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM x a JOIN x b ON a.t = b.t AND a.k < b.k GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN s p ON p.k = c.a JOIN s q ON q.k = c.b WHERE 100 * c.n >= 85 * (len(p.sh) + len(q.sh) - c.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k, k AS m FROM d UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.m),
+g AS (SELECT r.k, min(d.doc_id) AS component_id FROM r JOIN d ON d.k = r.m GROUP BY r.k)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, g.component_id, s.doc_id = g.component_id AS kept FROM s JOIN g ON g.k = s.k
+"""

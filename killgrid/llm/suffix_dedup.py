@@ -381,3 +381,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, large: int = LARGE, br
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: By the definition, on bytes as pairs of hexadecimal digits: every 400-byte string by its digest.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+f AS (SELECT k, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT k, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d) p),
+c AS (SELECT k, i, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i) > 400, true) AS fresh FROM f WHERE m IN (SELECT m FROM f GROUP BY m HAVING count(*) > 1)),
+n AS (SELECT k, i, sum(fresh::INTEGER) OVER (PARTITION BY k ORDER BY i) AS run FROM c),
+s AS (SELECT k, run, min(i) AS a, max(i) + 400 AS b FROM n GROUP BY k, run),
+t AS (SELECT s.*, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM s),
+u AS (SELECT t.k, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM t JOIN d ON d.k = t.k GROUP BY t.k),
+z AS (SELECT d.doc_id, length(d.h) // 2 AS n, u.n_removed, u.n_spans, unhex(coalesce(u.kept, '') || substr(d.h, 2 * coalesce(u.last, 0) + 1)) AS rest FROM d LEFT JOIN u ON u.k = d.k)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(rest) AS kept_sha256, decode(rest) AS text FROM z
+"""
