@@ -31,7 +31,7 @@ Defined results: null text is empty; a text without words has n_shingles 0 and
 is linked with nothing; a text of fewer words than a shingle has is one
 shingle; a null doc_id orders before all others; rows that share a doc_id, or
 have none, are linked by their texts only, as all others: the search runs over
-an id of each row's own, a 128-bit hash of doc_id and text, and doc_id only says
+an id of each row's own, a 64-bit hash of doc_id and text, and doc_id only says
 which row of a component stays; repeated rows are one class and, in
 `near_duplicates`, are kept or not together; an empty table gives no rows;
 `keep_one_each` carries all columns through and, of rows that tie on the
@@ -218,12 +218,12 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             x = np.frombuffer(values.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.repeat(pa.scalar(i, pa.binary()), len(x))], names=["shingle", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), i))], names=["shingle", "id"])
 
 
 def _shared(sets: DataFrame) -> DataFrame:
     """(id, n, f): set size, and how many of its shingles some other candidate has. No link can have more in common."""
-    unique = sets.mapInArrow(_flat, "shingle long, id binary").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    unique = sets.mapInArrow(_flat, "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
     sizes = sets.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n")).groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("rows"))
     # repeated rows bring their set more than once: nothing is ruled out for them
     return sizes.join(unique, "id", "left").select("id", "n", F.when(F.col("rows") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("u", F.lit(0))).alias("f"))
@@ -243,16 +243,21 @@ def _with_components(rest: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _own_id() -> Column:
-    """An id of the row's own, 128 bits: rows have the same one only if they share doc_id (or lack it) and text."""
-    number = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-"))
-    return F.unhex(F.md5(F.concat(number, F.lit(" "), text_or_empty())))
+    """An id of the row's own: rows have the same one only if they share doc_id (or lack it) and text."""
+    number = F.col("doc_id").cast("long")
+    return F.xxhash64(number.isNull(), F.coalesce(number, F.lit(0)), text_or_empty())
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the rows with these ids."""
     own = docs.select(_own_id().alias("id"), text_or_empty().alias("text"))
     # by shuffle at every size: the ids are a share of all rows
-    return persist(own.join(ids.distinct().hint("merge"), "id", "left_semi").mapInArrow(_sets(width), "id binary, shingles binary"), "sets")
+    return persist(own.join(ids.distinct().hint("merge"), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+
+
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """rows with `keys`, the buckets among them that the id is in (BANDS at most), in order."""
+    return rows.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("id"))))
 
 
 def _pairs(members: DataFrame, percent: int, used: list[DataFrame], few: int, files: int) -> tuple[DataFrame, DataFrame]:
@@ -261,9 +266,11 @@ def _pairs(members: DataFrame, percent: int, used: list[DataFrame], few: int, fi
     # members that can't be linked with any set as large as the bucket's smallest leave it
     live = live.where(f"100 * f >= {percent} * (n + greatest(least_n, f) - f)").drop("least_n")
     small = live.where(F.col("size") <= SMALL)
-    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "f", "sketch")))
-    # in the join itself, so that pairs ruled out are never made
-    possible = F.expr(_possible("n_a", "f_a", "n_b", "f_b", percent)) & sketches_alike("sketch_a", "sketch_b", percent)
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "n", "f", "sketch", "keys")))
+    # in the join itself, so that pairs ruled out are never made, and a pair only in the first bucket both are in
+    once = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key")
+    possible = F.expr(_possible("n_a", "f_a", "n_b", "f_b", percent)) & once & sketches_alike("sketch_a", "sketch_b", percent)
+    small = _with_keys(small)
     a, b = side(small, "a"), side(small, "b").withColumnRenamed("key", "key_b")
     pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & possible)
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
@@ -275,8 +282,8 @@ def _pairs(members: DataFrame, percent: int, used: list[DataFrame], few: int, fi
     spread = large.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
     top = spread.withColumn("r", F.row_number().over(Window.partitionBy("key", "part").orderBy("mates", "id"))).where(F.col("r") <= CENTRES)
     top = persist(top.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("mates", "id"))).where(F.col("r") <= CENTRES).drop("r", "part"), "centres", files)
-    b = side(large, "b").withColumnRenamed("key", "key_b")
-    met = side(top, "a").join(b, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & possible)
+    b = side(_with_keys(large), "b").withColumnRenamed("key", "key_b")
+    met = side(_with_keys(top), "a").join(b, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & possible)
     met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     used += [own, large, top]
     rest = large.join(top.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
@@ -286,7 +293,7 @@ def _pairs(members: DataFrame, percent: int, used: list[DataFrame], few: int, fi
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) of pairs (a, b), by their full sets."""
     filled = pairs.select("a", "b").join(sets.withColumnsRenamed({"id": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"id": "a", "shingles": "x"}), "a").select("a", "b", "x", "y")
-    return persist(filled.mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "confirmed")
+    return persist(filled.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "confirmed")
 
 
 def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -339,7 +346,7 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -
     release(hubs, sets, others)
     found = labels is not None
     if not found:
-        labels = docs.sparkSession.createDataFrame([], "node binary, label binary")
+        labels = docs.sparkSession.createDataFrame([], "node long, label long")
     used: list[DataFrame] = [sizes, active]
     live = _mixed(_with_components(active.select("key", "id"), labels).withColumn("n", F.lit(0)), "open", used, few, few)
     rest = live.select("key", "id")
@@ -373,7 +380,7 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int, width: int) -
 def _classified(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """(id, doc_id, n, component_id, kept) of every row. id is the row's own; component_id is the component's smallest doc_id."""
     own = docs.select(_own_id().alias("id"), text_or_empty().alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = persist(own.mapInArrow(_features(width), "id binary, doc_id long, n long, same binary, keys array<long>, sketch array<long>"), "shingled")
+    rows = persist(own.mapInArrow(_features(width), "id long, doc_id long, n long, same binary, keys array<long>, sketch array<long>"), "shingled")
     # first: the row that stays, if only this class is looked at
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "id")).alias("first")
     groups = persist(rows.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), first), "classes")
