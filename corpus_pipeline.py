@@ -3,6 +3,13 @@
 Quality classifier, exact dedup, MinHash near-dedup, mixing of sources, best-fit
 packing. Each stage reads the Parquet table its predecessor wrote; all but the
 last return the columns of documents.
+
+Defined results: a null or empty text is kept or dropped by its evidence like any
+other, all of them are one text to the exact dedup and linked with nothing by the
+near dedup; a null doc_id is smaller than any other; of rows that tie (one id and
+text) one stays; a null source is the source ''; columns beside those of
+documents, whatever their names, are carried up to the last stage; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
