@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,26 @@ ALIASES = {
     "subset": ("evoeval_subset", "dataset_subset", "subset"),
 }
 
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]', re.S)
+
+
+def _documents(text: str) -> Iterator[str]:
+    """The documents of a file, one after the other; what follows the last one is one more, for the parser to refuse."""
+    at = depth = 0
+    for mark in _MARK.finditer(text):
+        depth += (mark[0] in "{[") - (mark[0] in "}]")
+        if depth == 0 and mark[0] in "}]":
+            yield text[at : mark.end()]
+            at = mark.end()
+    if text[at:].strip():
+        yield text[at:]
+
+
+def _json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of files of JSON documents, any number a file. Spark's multiLine reads the first of a file only."""
+    files = spark.read.text(path, wholetext=True)
+    return spark.read.json(files.rdd.flatMap(lambda r: _documents(r.value)), mode="FAILFAST")
+
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     end = path.rsplit(".", 1)[-1].lower()
@@ -28,7 +50,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     if end in ("jsonl", "ndjson"):
         return spark.read.json(path, mode="FAILFAST")
     if end == "json":
-        rows = spark.read.json(path, multiLine=True, mode="FAILFAST")
+        rows = _json_documents(spark, path)
         inner = [c for c in ("data", "tasks", "problems") if c in rows.columns]
         if not inner:
             return rows

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from killgrid.sources import call_log, documents, loading, task_folder
+from killgrid.sources import call_log, documents, loading, readers, task_folder
 from killgrid.sources.shared import Files
 
 
@@ -199,3 +199,17 @@ def test_files_are_replaced_whole(spark, tmp_path):
     files.replace(f"{tmp_path}/x", "one")
     files.replace(f"{tmp_path}/x", "two")
     assert (tmp_path / "x").read_text() == "two" and not [n for n in os.listdir(tmp_path) if n.endswith(".new")]
+
+
+def test_a_file_of_several_json_documents_is_read_whole(spark, tmp_path):
+    folder = tmp_path / "rows.json"
+    folder.mkdir()
+    docs = [{"tasks": [{"task_id": f"T/{i}", "text": 'a } "{[ \\'} for i in range(n, n + 3)]} for n in (0, 3, 6)]
+    (folder / "a").write_text("\n".join(json.dumps(d) for d in docs[:2]) + "\n")
+    (folder / "b").write_text(json.dumps(docs[2], indent=1) + json.dumps([{"task_id": "T/9"}, {"task_id": "T/10"}]))
+    got = readers.read_rows(spark, str(folder))
+    assert sorted(r.task_id for r in got.collect()) == sorted(f"T/{i}" for i in range(11))
+    assert {r.text for r in got.where("text is not null").collect()} == {'a } "{[ \\'}
+    (folder / "b").write_text('{"tasks": []}, {"task_id": "T/9"}')
+    with pytest.raises(Exception):  # noqa: B017  what is between documents is no document
+        readers.read_rows(spark, str(folder)).collect()
