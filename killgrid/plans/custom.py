@@ -24,9 +24,20 @@ def tasks_from(rows: DataFrame) -> DataFrame:
     return own.selectExpr("problem_id", "entry", pick("source", source), pick("test", test), pick("prompt", prompt))
 
 
+#: Suppliers a Spark task has, and Spark tasks at most.
+SUPPLIERS, MOST_DEALT = 500, 10_000
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows over as many Spark tasks as their number asks for. A row of some bytes is milliseconds of work on source
+    code, and Spark cuts files, and joins its partitions, by bytes: all rows would be the work of one."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SUPPLIERS))
+    return rows.repartition(min(MOST_DEALT, parts), key)
+
+
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task for each supplier."""
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    rows = _dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey")
     return tasks_from(rows.selectExpr("cast(s_suppkey AS string) AS key", "s_nationkey % 4 AS kind", "s_suppkey AS n"))
 
 
@@ -81,8 +92,7 @@ def extract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mutant_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change each mutant makes, and the first mutant of each change."""
-    tasks = _tasks(spark, sf_dir)
-    pairs = mutation.mutants(tasks).join(tasks.select("problem_id", "source"), "problem_id")
+    pairs = mutation.mutants(_tasks(spark, sf_dir), with_source=True)
     diff = F.pandas_udf(lambda a, b: a.combine(b, code.source_diff), "string")
     rows = pairs.select("problem_id", "mutant_id", "operator", diff("source", "mutated_source").alias("diff"))
     return rows.groupBy("problem_id", "diff").agg(F.min_by("operator", "mutant_id").alias("operator"), F.min("mutant_id").alias("mutant_id"))
@@ -106,8 +116,7 @@ def mutant_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def static_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = _tasks(spark, sf_dir).select("problem_id", "source")
-    return probes.mark_equivalents(mutation.mutants(tasks).join(tasks, "problem_id"))
+    return probes.mark_equivalents(mutation.mutants(_tasks(spark, sf_dir), with_source=True))
 
 
 def queries() -> dict:
