@@ -20,36 +20,43 @@ GROWTH = 1.02
 ENTRY = "shard string, attempt long, kind string, name string, key string, amount long, at timestamp, value string"
 
 
-def _entries(rows: DataFrame, kind: str, name: str, key: Column, amount: Column | None = None, at: Column | None = None, value: Column | None = None) -> DataFrame:
-    none = lambda t: F.lit(None).cast(t)
-    return rows.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), key.cast("string").alias("key"), (amount if amount is not None else none("long")).cast("long").alias("amount"), (at if at is not None else none("timestamp")).alias("at"), (value if value is not None else none("string")).alias("value"))
-
-
 def _bucket(value: Column) -> Column:
     """0 for values of 0 or less, else the bucket's number."""
     return F.when(value > 0, F.concat(F.lit("b"), F.ceil(F.log(value) / math.log(GROWTH)).cast("string"))).otherwise("zero")
 
 
-def state(rows: DataFrame, shard: str, attempt: int, sums: dict[str, tuple[str, str]] | None = None, sets: dict[str, str] | None = None, settings: dict[str, tuple[str, str, str]] | None = None, sketches: dict[str, str] | None = None) -> DataFrame:
-    """The state of one shard's rows. sums: name to (key column, column to add up, '*' to count); sets: name to column;
-    settings: name to (key, value, time columns); sketches: name to number column. Null keys, members, values and
-    times are left out, null amounts count 0."""
+def states(rows: DataFrame, shard: Column, attempt: Column, sums: dict[str, tuple[str, str]] | None = None, sets: dict[str, str] | None = None, settings: dict[str, tuple[str, str, str]] | None = None, sketches: dict[str, str] | None = None) -> DataFrame:
+    """The states of the shards and attempts that rows are of. sums: name to (key column, column to add up, '*' to
+    count); sets: name to column; settings: name to (key, value, time columns); sketches: name to number column. Null
+    keys, members, values and times are left out, null amounts count 0.
+
+    All sums, sets and sketches of all shards are one aggregation, settings another one; both hold numbers only, so
+    that Spark hashes them and sorts no row."""
+    none = F.lit(None).cast("long")
+    entry = lambda kind, name, key, amount=none: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), key.cast("string").alias("key"), amount.cast("long").alias("amount"))
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    counted = [entry("sum", n, F.col(k), F.lit(1) if c == "*" else F.coalesce(F.col(c).cast("long"), F.lit(0))) for n, (k, c) in (sums or {}).items()]
+    counted += [entry("set", n, F.col(c)) for n, c in (sets or {}).items()]
+    counted += [entry("sketch", n, F.when(number(c).isNotNull(), _bucket(number(c))), F.lit(1)) for n, c in (sketches or {}).items()]
+    dated = [F.struct(F.lit("setting").alias("kind"), F.lit(n).alias("name"), F.col(k).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(v).cast("string").alias("value")) for n, (k, v, at) in (settings or {}).items()]
+    of, place = (shard.cast("string").alias("shard"), attempt.cast("long").alias("attempt")), ["shard", "attempt", "kind", "name", "key"]
+    each = lambda entries: rows.select(*of, F.inline(F.array(*entries))).where("key IS NOT NULL")
     parts = []
-    for name, (key, amount) in (sums or {}).items():
-        own = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k"))
-        total = F.count(F.lit(1)) if amount == "*" else F.coalesce(F.sum(F.col(amount).cast("long")), F.lit(0))
-        parts.append(_entries(own.agg(total.alias("n")), "sum", name, F.col("k"), F.col("n")))
-    for name, member in (sets or {}).items():
-        parts.append(_entries(rows.where(F.col(member).isNotNull()).select(F.col(member).cast("string").alias("k")).distinct(), "set", name, F.col("k")))
-    for name, (key, value, at) in (settings or {}).items():
-        own = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull() & F.col(at).isNotNull())
-        last = own.groupBy(F.col(key).cast("string").alias("k")).agg(F.max(F.struct(F.col(at).cast("timestamp").alias("at"), F.col(value).cast("string").alias("v"))).alias("x"))
-        parts.append(_entries(last, "setting", name, F.col("k"), at=F.col("x.at"), value=F.col("x.v")))
-    for name, number in (sketches or {}).items():
-        v = F.col(number).cast("double")
-        parts.append(_entries(rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(_bucket(v).alias("k")).agg(F.count(F.lit(1)).alias("n")), "sketch", name, F.col("k"), F.col("n")))
+    if counted:
+        parts.append(each(counted).groupBy(*place).agg(F.sum("amount").alias("amount")).select(*place, "amount", F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("value")))
+    if dated:
+        known = each(dated).where("at IS NOT NULL AND value IS NOT NULL").distinct()
+        last = known.groupBy(*place).agg(F.max("at").alias("at"))
+        same = reduce(lambda a, b: a & b, [F.col(f"k.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*place, "at")])
+        found = known.alias("k").join(last.alias("l"), same, "left_semi").groupBy(*place, "at").agg(F.max("value").alias("value"))
+        parts.append(found.select(*place, none.alias("amount"), "at", "value"))
     whole = reduce(DataFrame.unionByName, parts)
-    return whole.select(F.lit(shard).alias("shard"), F.lit(attempt).cast("long").alias("attempt"), "*")
+    return whole.select("shard", "attempt", "kind", "name", "key", "amount", "at", "value")
+
+
+def state(rows: DataFrame, shard: str, attempt: int, **what: dict) -> DataFrame:
+    """The state of one shard's rows: see states."""
+    return states(rows, F.lit(shard), F.lit(attempt), **what)
 
 
 def merge(states: DataFrame) -> DataFrame:
