@@ -17,3 +17,12 @@ def test_rows_of_orders_that_no_event_reaches_are_left_out(spark):
     for rows in (f.mutants, f.official, f.clusters):
         assert rows.where(~key.between(low, high)).count() == 0
     assert f.mutants.count() == inside
+
+
+def test_tasks_of_spark_grow_with_calls_not_with_bytes(spark, monkeypatch):
+    monkeypatch.setattr(facts, "CALLS", 500)
+    f = facts.facts(spark, SF)
+    wanted = -(-spark.read.parquet(f"{SF}/events.parquet").count() // 500)
+    assert wanted > spark.sparkContext.defaultParallelism
+    for rows in (f.mutants, f.kills):
+        assert rows.rdd.getNumPartitions() == wanted
