@@ -2,13 +2,14 @@ r"""Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns are its
 context and only that reply is trainable. As the template of a prefix is a
-prefix of the template of the whole conversation, the examples of a
-conversation share their segments, one row per rendered turn; example k is the
-concatenation of the segments up to its last one. So the output grows with the
-input, not with the square of a conversation's length (a third of all rows may
-be one conversation), and a conversation of any length is streamed turn by
-turn. `materialise` writes the examples out, and `read_examples` reads the
-same results from those; tests hold the two equal on whole tables.
+prefix of the template of the whole conversation, every turn is rendered and stored once, as a segment, and `expand`
+explodes a row for each (conversation, reply), which holds its context as a
+range of stored segments, how many code points they are, and the span of its reply. So the output grows with the input, not with
+the square of a conversation's length (a third of all rows may be one
+conversation). `read_back` reads every example out of its range: one with a
+segment missing, repeated or changed in length is an error, not a shorter text.
+`materialise` writes the examples out, and `read_examples` reads the same
+results from those; tests hold the two equal on whole tables.
 
 Template: `<|im_start|>ROLE\nTEXT<|im_end|>\n`. Control strings inside roles and
 texts get one backslash after their first character, control strings that
@@ -44,7 +45,9 @@ UNESCAPE = re.compile(rf"({_heads})\\(\\*)({_tails})")
 TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"\n\Z", re.S)
 
 _RESULT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-SEGMENTS = "conv_id long, segment long, role string, rendered string, start long, example long, loss_start long, loss_end long"
+#: What expand stores. A segment has rendered and start; an example has first and last, the segments of its context and
+#: reply, and chars, their code points; its own `segment` is its last one.
+EXPANDED = "conv_id long, segment long, role string, rendered string, start long, example long, first long, last long, chars long, loss_start long, loss_end long"
 _ROLE = str.maketrans({"\n": "\\n", "\\": "\\\\"})
 
 
@@ -83,94 +86,107 @@ def _ordered(turns: DataFrame) -> DataFrame:
     return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("role", pa.string()), ("rendered", pa.string()), ("start", pa.int64()), ("example", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-    names, nothing = schema.names, object()
-    last, held = nothing, None  # the last turn waits, as only the next row tells whether its conversation goes on
+_TYPES = [(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in EXPANDED.split(", ")]
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema, none = pa.schema(_TYPES), [None] * 6
+    last, count = object(), 0
     segment = start = example = 0
+    open_end = False  # whether the last turn was no reply: its conversation may end so
 
-    def closed(row):
-        if row and row[5] is None:  # ends without a reply: a last example with an empty mask
-            row[5], row[6], row[7] = example, row[4] + len(row[3]), row[4] + len(row[3])
-        return row
+    def explode(a, b):
+        """The example whose reply is the last segment: all from the conversation's start on is its context."""
+        return [last, segment - 1, None, None, None, example, 0, segment - 1, start, a, b]
 
     for batch in batches:
         out = []
         for conv, role, text in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
-            if conv != last or last is nothing:
-                if held:
-                    out.append(closed(held))
+            if conv != last or not count:
+                if open_end:
+                    out.append(explode(start, start))  # ends without a reply: a last example with an empty mask
                 last, segment, start, example = conv, 0, 0, 0
-            elif held:
-                out.append(held)
             rendered, a, b = render(role, text)
-            held = [conv, segment, role, rendered, start, None, None, None]
-            if role == "assistant":
-                held[5:] = [example, start + a, start + b]
+            out.append([conv, segment, role, rendered, start, *none])
+            count, segment, start = count + 1, segment + 1, start + len(rendered)
+            open_end = role != "assistant"
+            if not open_end:
+                out.append(explode(start - len(rendered) + a, start - len(rendered) + b))
                 example += 1
-            segment, start = segment + 1, start + len(rendered)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=names)
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(closed(held), schema.types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=schema.names)
+    if open_end:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(explode(start, start), schema.types, strict=True)], names=schema.names)
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """Segments of all examples, in order within a partition: see SEGMENTS. start, loss_start and loss_end
-    are code points from the conversation's start; example is set where an example ends."""
-    return _ordered(turns).mapInArrow(_segments, SEGMENTS)
+    """Segments, and a row for each (conversation, reply) with its prefix as a range over them: see EXPANDED. In order
+    within a partition; start, loss_start and loss_end are code points from the conversation's start."""
+    return _ordered(turns).mapInArrow(_expand, EXPANDED)
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     conv, prefix = object(), []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["conv_id"] != conv or row["segment"] == 0:
-                conv, prefix = row["conv_id"], []
-            prefix.append(row["rendered"])
-            if row["example"] is not None:
+            if row["example"] is None:
+                if row["conv_id"] != conv or row["segment"] == 0:
+                    conv, prefix = row["conv_id"], []
+                prefix.append(row["rendered"])
+            else:
                 yield pa.RecordBatch.from_pylist([{"conv_id": conv, "example": row["example"], "text": "".join(prefix), "loss_start": row["loss_start"], "loss_end": row["loss_end"]}], schema=pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())]))
 
 
-def materialise(segments: DataFrame) -> DataFrame:
+def materialise(expanded: DataFrame) -> DataFrame:
     """One row per example with its full text and the span of its trainable reply. For export: by nature
     this writes every prefix, so it is as large as the examples are."""
-    return segments.mapInArrow(_examples, "conv_id long, example long, text string, loss_start long, loss_end long")
+    return expanded.mapInArrow(_examples, "conv_id long, example long, text string, loss_start long, loss_end long")
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    state = None
+    state = conv = None
+    at = start = length = 0  # segments and code points read, and where the last segment is
+    rendered = ""
 
     def result():
-        conv, n, turns, chars, loss, formatted = state
-        return conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted
+        if state[4] != at:
+            raise ValueError(f"conversation {conv}: segments that no example has")
+        return conv, at, state[0].hexdigest(), state[1], state[2].hexdigest(), state[3]
 
     for batch in batches:
         out = []
-        for conv, segment, rendered, start, example, a, b in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("conv_id", "segment", "rendered", "start", "example", "loss_start", "loss_end")), strict=True):
-            if segment == 0:
+        for own, segment, text, example, first, last, chars, a, b in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("conv_id", "segment", "rendered", "example", "first", "last", "chars", "loss_start", "loss_end")), strict=True):
+            if state is None or own != conv:
                 if state:
                     out.append(result())
-                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            role, text = parse(rendered)
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode())
-            if example is not None:
-                reply = unescape(rendered[a - start : b - start])
-                state[3] += len(reply)
-                state[4].update(reply.encode())
-                state[5] += start + len(rendered)
+                state, conv, at, length = [hashlib.sha256(), 0, hashlib.sha256(), 0, 0], own, 0, 0
+            if example is None:
+                if segment != at:
+                    raise ValueError(f"conversation {conv}: segment {segment} in place {at}")
+                rendered, start = text, length
+                at, length = at + 1, length + len(text)
+                role, body = parse(rendered)
+                state[0].update(f"{role}\n{body}\n".encode())
+                continue
+            # the example's whole range has been read: all of its context, and its reply last
+            if (first, last, chars) != (0, at - 1, length):
+                raise ValueError(f"conversation {conv}: example {example} is not what its segments are")
+            reply = unescape(rendered[a - start : b - start])
+            state[1] += len(reply)
+            state[2].update(reply.encode())
+            state[3] += chars
+            state[4] = at
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=schema.names)
     if state:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(result(), schema.types, strict=True)], names=schema.names)
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Per conversation, from its examples: turns, their digest, trainable text, and the code points of all
-    its examples (every example counts with its whole context)."""
-    return segments.mapInArrow(_read_back, _RESULT)
+def read_back(expanded: DataFrame) -> DataFrame:
+    """Per conversation, from its examples and the segments they range over, in the order that expand has them: turns,
+    their digest, trainable text, and the code points of all its examples (every example counts with its whole context)."""
+    return expanded.mapInArrow(_read_back, _RESULT)
 
 
 def _turns(text: str) -> list[tuple[str, str]]:

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 
+import pytest
+
 from killgrid.llm import chat_format
 
 SHAPE = "conv_id long, turn long, role string, text string"
@@ -52,3 +54,14 @@ def test_repeated_rows_clashing_columns_and_no_rows(spark):
     (got,) = chat_format.read_back(chat_format.expand(turns)).collect()
     assert (got.n_turns, got.loss_chars) == (2, 2)
     assert chat_format.read_back(chat_format.expand(turns.limit(0))).count() == 0
+
+
+def test_every_reply_is_a_row_and_a_missing_context_is_seen(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (2, 0, "user", "e"), (None, 0, "assistant", "f")]
+    expanded = chat_format.expand(spark.createDataFrame(rows, SHAPE))
+    examples = expanded.where("example IS NOT NULL").orderBy("conv_id", "example").collect()
+    assert [(r.conv_id, r.example, r.first, r["last"]) for r in examples] == [(None, 0, 0, 0), (1, 0, 0, 1), (1, 1, 0, 3), (2, 0, 0, 0)]
+    assert sorted(r.n_turns for r in chat_format.read_back(expanded).collect()) == [1, 1, 4]
+    for gone in ("segment = 0", "segment = 2", "segment = 3"):
+        with pytest.raises(Exception, match="conversation 1"):
+            chat_format.read_back(expanded.where(f"NOT (conv_id <=> 1 AND example IS NULL AND {gone})")).collect()
