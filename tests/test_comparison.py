@@ -1,8 +1,11 @@
 """Comparison rows and report tables where facts are missing, null, repeated or empty."""
 
+import random
+from dataclasses import replace
+
 import pytest
 
-from killgrid.operators import comparison, report_tables
+from killgrid.operators import comparison, kill_sets, report_tables
 
 SHAPES = {
     "tasks": "problem_id string, dataset_name string, dataset_subset string, source_task_id string, parent_task_id string",
@@ -67,3 +70,38 @@ def test_no_facts(spark):
     none = comparison.Facts(**{n: spark.createDataFrame([], s) for n, s in SHAPES.items()})
     made = {n: build().count() for n, build in (report_tables.tables(none, 5) | report_tables.frames(none)).items()}
     assert sum(made.values()) <= 2, made  # at most a row of an aggregate over nothing
+
+
+def test_calls_are_read_once(facts, spark, tmp_path):
+    """Each reading of the calls is a shuffle of all of them."""
+    facts.calls.write.parquet(f"{tmp_path}/calls_table")
+    stored = replace(facts, calls=spark.read.parquet(f"{tmp_path}/calls_table"))
+    plan = comparison.compare(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("validation_reason") == plan.count("Relation [method") == 1
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert key(comparison.compare(stored)) == key(comparison.compare(facts))
+
+
+def test_calls_meet_their_kills(spark):
+    """Against kill_sets.progress, with repeated and missing attempts, kills of calls that aren't listed, and tables dealt alike."""
+    rng = random.Random(3)
+    pick = lambda *values: rng.choice(values)
+    tasks = [f"T{i}" for i in range(40)]
+    rows = {
+        "tasks": [(t, "d", None, "", "") for t in tasks[:35]],
+        "mutants": [(t, m, "X", None) for t in tasks for m in rng.sample(range(-80, 200), 20)],
+        "kills": [(pick("proposed", "baseline"), pick(*tasks), pick(None, 1, 2, 3, 4, 5), rng.randrange(-80, 200)) for _ in range(900)],
+        "official": [(t, rng.randrange(-80, 200)) for t in tasks for _ in range(3)],
+        "calls": [call(m, t, "Layer1", pick(1, 2, 3, 5), "hf", "PRODUCTIVE", 10) for t in tasks for m in comparison.METHODS for _ in range(4)],
+        "clusters": [], "timings": [],
+    }
+    made = {n: spark.createDataFrame(rows[n], s) for n, s in SHAPES.items()}
+    dealt = {n: df.repartition(7, "problem_id") for n, df in made.items()}
+    got = comparison.scored_calls(comparison.Facts(**dealt, parts=7))
+    two = spark.createDataFrame([(m,) for m in comparison.METHODS], "method string")
+    keys = ["method", "problem_id", "attempt"]
+    steps = kill_sets.progress(made["calls"], made["kills"], made["official"].crossJoin(two), made["mutants"].crossJoin(two), keys[:2], "attempt").selectExpr(*keys, "kills", "new", "cumulative", "round(cumulative / (cumulative + left), 6) AS score")
+    want = made["calls"].join(steps, keys).join(made["tasks"].select("problem_id"), "problem_id", "left_semi")
+    names = ["killed_mutants", "new_kills", "cumulative_kills", "cumulative_score"]
+    assert sorted(map(tuple, got.select(*keys, *names).collect())) == sorted(map(tuple, want.select(*keys, "kills", "new", "cumulative", "score").collect()))
+    assert got.count() == 35 * 8

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from killgrid.operators import comparison
 from killgrid.plans import facts
 
 SF = "/root/testdata/sf0.01"
@@ -26,3 +27,13 @@ def test_tasks_of_spark_grow_with_calls_not_with_bytes(spark, monkeypatch):
     assert wanted > spark.sparkContext.defaultParallelism
     for rows in (f.mutants, f.kills):
         assert rows.rdd.getNumPartitions() == wanted
+
+
+def test_no_call_counts_twice(spark):
+    """Mutants and official ones are dealt alike and may be one shuffle that is used twice."""
+    rows = comparison.scored_calls(facts.facts(spark, SF))
+    every = rows.select("problem_id", "cumulative_score").collect()
+    reached = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id div 8 AS o_orderkey").join(spark.read.parquet(f"{SF}/orders.parquet"), "o_orderkey", "left_semi").count()
+    assert len(every) == reached > 0
+    assert rows.groupBy("problem_id", "method").count().where("count > 4").count() == 0
+    assert 0 < max(r.cumulative_score for r in every) <= 1
