@@ -82,6 +82,13 @@ def test_calls_are_read_once(facts, spark, tmp_path):
     assert key(comparison.compare(stored)) == key(comparison.compare(facts))
 
 
+def test_tables_of_scores_read_no_calls(facts):
+    """What kills alone decide is the same without a single call at hand."""
+    whole, alone = report_tables.tables(facts, 0), report_tables.tables(replace(facts, calls=None), 0, alone=True)
+    for name in ("effectiveness_summary", "official_agreement_summary", "paired_comparison_summary", "evoeval_subset_paired_comparison", "aggregate_score_conventions"):
+        assert sorted(map(str, whole[name]().collect())) == sorted(map(str, alone[name]().collect())), name
+
+
 def test_calls_meet_their_kills(spark):
     """Against kill_sets.progress, with repeated and missing attempts, kills of calls that aren't listed, and tables dealt alike."""
     rng = random.Random(3)
