@@ -99,20 +99,21 @@ def _kind(tag: str, attrs: str, inside_content: bool) -> tuple[bool, float, bool
     furniture by an id that may be a heading's, or unlikely."""
     if tag in NEVER or tag == "header" and not inside_content:
         return True, 0.0, False, False, False
+    if not attrs or attrs.isspace():  # no names to be read
+        return False, 0.0, False, False, False
     classes, ident, hidden, role = [], "", False, ""
-    if attrs.strip():
-        for key, a, b, c in ATTR.findall(attrs):
-            key, value = key.lower(), html_lib.unescape(a or b or c)
-            if key == "class":
-                classes += value.split()
-            elif key == "id":
-                ident = value.strip()
-            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                hidden = True
-            elif key == "role":
-                role = value.lower()
-            elif key == "aria-modal" and value == "true":
-                hidden = True
+    for key, a, b, c in ATTR.findall(attrs):
+        key, value = key.lower(), html_lib.unescape(a or b or c)
+        if key == "class":
+            classes += value.split()
+        elif key == "id":
+            ident = value.strip()
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            hidden = True
+        elif key == "role":
+            role = value.lower()
+        elif key == "aria-modal" and value == "true":
+            hidden = True
     if tag in ("html", "body"):
         return False, 0.0, False, False, False
     if hidden or role in ROLES:
@@ -157,7 +158,11 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             blocky.pop()
 
     def last(tags) -> int:
-        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+        found = 0
+        for t in tags:
+            if (places := where.get(t)) and places[-1] > found:
+                found = places[-1]
+        return found
 
     at, end = 0, len(page)
     while at < end:
@@ -170,13 +175,13 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if not m:
             break
         at = m.end()
-        name = m[2]
+        closing, name, attrs = m.groups()
         if not name:
             if m[0].startswith("<![CDATA["):
                 run.append(html_lib.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = name.lower()
-        if m[1]:  # closing
+        if closing:
             if tag == "br":
                 run.append(" ")
                 continue
@@ -189,8 +194,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                 close(k)
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/"):
+                stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
         if tag in ("br", "hr"):
@@ -202,7 +207,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             stack[-1].controls = stack[-1].controls or tag == "input"
             continue
         if tag in BLOCK:
-            flush()
+            if run:
+                flush()
             if tag in ENDS_P and (k := last(("p",))):
                 close(k)
         if tag in CLOSES:
@@ -217,10 +223,10 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             parent = root
             flush()
             close(1)
-        never, hint, furniture, topic, unlikely = _kind(tag, m[3], bool(where.get("article") or where.get("main")))
+        never, hint, furniture, topic, unlikely = _kind(tag, attrs, tag != "header" or bool(where.get("article") or where.get("main")))
         if never and not parent.never:
             flush()
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if tag not in BLOCK and attrs.rstrip().endswith("/"):
             continue
         node = Node(tag, parent, never or parent.never, hint, furniture, topic, unlikely)
         nodes.append(node)
@@ -313,14 +319,15 @@ def extract(page: str | None) -> str:
             if score(node) >= floor and density < 0.5 or node.tag == "p" and (node.chars > 80 and density < 0.25 or 0 < node.chars <= 80 and density == 0 and top.tag not in ("article", "main")) or node.tag in HEADINGS and density == 0:
                 kept.add(id(node))
     # lists that follow a heading of sources are part of the article
-    cited, before = set(), None
-    for block in blocks:
-        box = block.node
-        while box.parent and box.tag not in ("ul", "ol", "dl"):
-            box = box.parent
-        if box.parent and before and before.node.tag in HEADINGS and SOURCES.match(before.text):
-            cited.add(id(box))
-        before = block
+    cited, climbed = set(), set()
+    for before, block in zip(blocks, blocks[1:], strict=False):
+        if before.node.tag in HEADINGS and SOURCES.match(before.text):
+            box = block.node
+            while box.parent and box.tag not in ("ul", "ol", "dl") and id(box) not in climbed:
+                climbed.add(id(box))  # what is above has been seen to once
+                box = box.parent
+            if box.tag in ("ul", "ol", "dl"):
+                cited.add(id(box))
     # by element: whether it is inside what is kept, in a box of links there, in a header there, in a heading there
     for node in nodes:
         inside, links, header, heading = node.parent.state if node.parent else (False, False, False, False)

@@ -98,6 +98,21 @@ def test_deep_nesting_is_linear():
         assert time.process_time() - start < 1.5
 
 
+def test_elements_without_attributes_have_no_names_to_read(monkeypatch):
+    read = []
+    names = html_extract._furniture_words
+    monkeypatch.setattr(html_extract, "_furniture_words", lambda name: read.append(name) or names(name))
+    assert html_extract.extract(f"<div><ul ><li\n><b></b></ul></div><div class='post'><p>{PROSE}</p></div>") == PROSE
+    assert read == ["post", ""]
+
+
+@pytest.mark.parametrize("page", ["<div><p>one</p>" * 20_000, "<div><h2>Sources</h2><p>one</p>" * 10_000, f"{'<svg/>' * 60_000}<p>one</p>"])
+def test_blocks_and_empty_elements_of_any_number_are_linear(page):
+    start = time.process_time()
+    assert "one" in html_extract.extract(page)
+    assert time.process_time() - start < 5
+
+
 def test_rows_of_every_kind(spark):
     page = f"<article><h1>T</h1><p>{PROSE}</p></article>"
     rows = [(1, "u", page, "x", 1), (1, "u", page, "x", 1), (2, None, None, None, 2), (None, "v", "", "y", None), (3, "w", "no markup, just words", "z", 4), (4, "big", f"<p>{'word, ' * 200_000}</p>", "z", 4)]
